@@ -51,6 +51,11 @@ def drop_table(df: DataFrame) -> None:
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A hint to broadcast ``df``, given only after a count has shown that it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns. Extra columns, whatever their names, never reach an operator's plan."""
     if missing := [c for c in columns if c not in df.columns]:
