@@ -31,7 +31,7 @@ SPACES, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 #: What rejecting a share of the good documents weighs against rejecting the same share of the bad ones.
 COST = 10
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks"]
 
 #: Rules: a rate of a document's counts (numerator, denominator) and the cutoffs tried, loosest first.
 _PERCENT = [95, 90, 80, 70, 60, 50, 45, 40, 35, 30, 25, 20, 17, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
@@ -43,7 +43,6 @@ RULES: dict[str, tuple[str, str, list[float]]] = {
     "digits": ("100 * n_digits", "word_chars", _PERCENT),
     "marks": ("100 * n_marks", "n_words", [200, 150, 120, 100, *_PERCENT[1:]]),
     "long words": ("word_chars", "n_words", [60, 50, 40, 30, 25, 20, 18, 16, 15, 14, 13, 12, 11, 10, 9, 8]),
-    "few words": ("100 * (n_words - n_distinct)", "n_words", [99, 98, 97, 96, *_PERCENT]),
 }
 
 
@@ -76,7 +75,7 @@ def counts_of(text: bytes | None) -> tuple[int, ...]:
     without = lambda drop: len(text) - len(text.translate(None, drop))
     return (
         len(words), len(text.translate(None, SPACES + _CONTINUATION)), without(SYMBOLS), len(lines) - len(set(lines)), repeated_words(words),
-        len(lines), without(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), without(b"0123456789"), without(b"!?"), len(set(words)),
+        len(lines), without(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), without(b"0123456789"), without(b"!?"),
     )
 
 
@@ -118,7 +117,7 @@ def chosen_cutoff(grid: list[float], good: list[int], bad: list[int], risk: floa
             break
         gain = true / max(n_bad, 1) - COST * false / n_good
         if gain > best + 1e-12:
-            best, choice = gain, cutoff
+            best, choice = gain, float(cutoff)
     return choice
 
 
@@ -157,7 +156,7 @@ def thresholds(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label
     each = tally.groupBy("stratum", "rule").agg(F.collect_list(F.struct("broken", "good", "bad")).alias("tally"))  # a row for each cutoff at most
 
     @F.udf("double")
-    def cutoff(rule: str, tally: list) -> float | None:
+    def cutoff(rule, tally):
         grid = RULES[rule][2]
         good, bad = [0] * (len(grid) + 1), [0] * (len(grid) + 1)
         for x in tally:
