@@ -18,16 +18,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialized, need, spread, tuned
+from lodestone.llm.keyfilter import KeyFilter, maybe
 from lodestone.llm.wordhash import alnum_words, run_hashes, word_codes
 
 #: Words of a shingle; an item with fewer words has one shingle, the whole item.
 SHINGLE_WORDS = 5
-#: Bits of the filter: 16 for each shingle, within these bounds (128 KB and 8 MB).
-MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 20, 1 << 26
+
 
 
 def _windows(window_words: int, shingle_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -58,35 +58,6 @@ def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window_w
     return items.mapInArrow(_windows(window_words, shingle_words), schema).dropDuplicates(["item", "window"])
 
 
-class ShingleFilter:
-    """Which 64-bit hashes may be in a set: two bits each, no misses. Its size is bounded (``MAX_FILTER_BITS``)."""
-
-    def __init__(self, hashes: DataFrame, column: str):
-        spark = hashes.sparkSession
-        n = hashes.count()
-        self.bits = MIN_FILTER_BITS
-        while self.bits < min(16 * n, MAX_FILTER_BITS):
-            self.bits *= 2
-        bit = F.explode(F.array(*[self._slot(F.col(column), shift) for shift in (0, 32)]))
-        words = hashes.select(bit.alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word"))
-        found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits")).toArrow()  # bits/32 rows at most
-        table = np.zeros(self.bits // 32, np.uint32)
-        table[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
-        self.shared = spark.sparkContext.broadcast(table.tobytes())
-
-    def _slot(self, h: Column, shift: int) -> Column:
-        return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(self.bits - 1).cast("bigint"))
-
-
-def _maybe(table: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
-    """Positions of the hashes that pass the filter."""
-    there = np.arange(len(hashes))
-    for shift in (0, 32):
-        slot = (hashes[there] >> np.uint64(shift)) & np.uint64(bits - 1)
-        there = there[(table[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & 1 == 1]
-    return there
-
-
 def _batch_words(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """Words of each text, the codes of all of them in a row, and where each text begins in that row."""
     words = [alnum_words(t) for t in texts]
@@ -97,7 +68,7 @@ def _batch_words(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarr
 def _matches(codes: np.ndarray, begins: np.ndarray, wide: int, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, place in the row of codes, hash) of the shingles that pass the filter and lie in one document."""
     hashes = run_hashes(codes, wide)
-    at = _maybe(table, bits, hashes)
+    at = maybe(table, bits, hashes)
     doc = np.searchsorted(begins, at, side="right") - 1
     inside = at + wide <= begins[doc + 1]
     return doc[inside], at[inside], hashes[at[inside]].view(np.int64)
@@ -148,14 +119,14 @@ def hit_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     widths = [r.wide for r in windows.select(wide.alias("wide")).distinct().collect()]  # shingle_words values at most
     spots = windows.select("item", "window", "size", F.posexplode("shingles").alias("offset", "shingle"))
 
-    known = ShingleFilter(spots.select("shingle").distinct(), "shingle")
+    known = KeyFilter(spots.select("shingle").distinct(), "shingle")
     counted = docs.select(text_col).mapInArrow(_frequencies(known.shared, known.bits, widths), "shingle bigint, n bigint")
     often = counted.groupBy("shingle").agg(F.sum("n").alias("docs"))
     rarest = F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "shingle", "offset")).alias("rarest")
     prefixes = spots.join(often, "shingle", "left").groupBy("item", "window", "size").agg(rarest)
     prefixes = materialized(prefixes.select("item", "window", "size", F.col("rarest.shingle").alias("prefix"), F.col("rarest.offset").alias("offset")), "prefixes")
 
-    wanted = ShingleFilter(prefixes.select("prefix").distinct(), "prefix")
+    wanted = KeyFilter(prefixes.select("prefix").distinct(), "prefix")
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, n_words bigint, hits array<struct<prefix:bigint,at:int,around:string,in_around:int>>"
     places = docs.mapInArrow(_places(wanted.shared, wanted.bits, widths, max(0, window_words - 1)), schema)
