@@ -14,7 +14,7 @@ No key of that join is frequent, as the frequent ones never enter it.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -100,15 +100,15 @@ class Vocabulary:
 
 def _encoded(shared, base_total: int, end_count: int, class_totals: np.ndarray):
     """class_totals: of each class, its tokens, its distinct words and one for what was never seen."""
-    rare_type = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int32()), ("class", pa.int16())]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_keys, hot_n, hot_symbol = shared.value
         log_total, log_class = math.log10(base_total), np.log10(class_totals)
         for batch in batches:
             texts = [space_words(x) for x in batch.column(2).cast(pa.binary()).to_pylist()]
-            number: dict[bytes, int] = {}
-            rows = [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)) for words in texts]
+            lengths = np.array([len(words) for words in texts], np.int64)
+            number: defaultdict[bytes, int] = defaultdict()
+            number.default_factory = number.__len__  # words get numbers as they come up
+            flat = np.fromiter((number[w] for words in texts for w in words), np.int64, lengths.sum())
             keys = word_keys(list(number))
             classes = np.fromiter(map(word_class, number), np.int64, len(number))
             if len(hot_keys):
@@ -118,22 +118,23 @@ def _encoded(shared, base_total: int, end_count: int, class_totals: np.ndarray):
             else:
                 hot, symbol, count = np.zeros(len(keys), bool), np.full(len(keys), -1), np.zeros(len(keys), np.int64)
             base = np.log10(count + 1) - log_total
-            # Within its class, a hot word that is no symbol of its own; rare words get this part from the join.
-            within = np.where(hot & (symbol < 0), np.log10(count + 1) - log_class[classes], 0.0)
-            coded = np.where(symbol >= 0, symbol, END + 1 + classes).astype(np.uint16)
-            out: dict[str, list] = {k: [] for k in ("symbols", "n_tokens", "n_known", "base", "inside", "rare")}
-            for row in rows:
-                out["symbols"].append(np.append(coded[row], np.uint16(END)).tobytes())
-                out["n_tokens"].append(len(row) + 1)
-                out["n_known"].append(int(hot[row].sum()) + (end_count > 0))
-                # The rare words' count is still open; their denominators are not.
-                out["base"].append(math.fsum(base[row]) + math.log10(end_count + 1) - log_total)
-                left = row[~hot[row]]
-                out["inside"].append(math.fsum(within[row]) - math.fsum(log_class[classes[left]]))
-                which, times = np.unique(left, return_counts=True)
-                out["rare"].append([{"key": k, "n": n, "class": c} for k, n, c in zip(keys[which].tolist(), times.tolist(), classes[which].tolist(), strict=True)])
+            # Within its class: a hot word that is no symbol of its own, and the open count's denominator of a rare one.
+            within = np.where(symbol < 0, np.log10(count + 1) - log_class[classes], 0.0)
+            coded = np.where(symbol >= 0, symbol, END + 1 + classes).astype(np.uint16)[flat]
+            doc = np.repeat(np.arange(len(texts)), lengths)
+            summed = lambda x: np.bincount(doc, weights=x[flat], minlength=len(texts))
+            ends = np.cumsum(lengths)
+            symbols = [coded[end - n : end].tobytes() + np.uint16(END).tobytes() for n, end in zip(lengths.tolist(), ends.tolist(), strict=True)]
+            left = ~hot[flat]
+            pairs, times = np.unique(doc[left] * max(1, len(number)) + flat[left], return_counts=True)
+            owner, word = np.divmod(pairs, max(1, len(number)))
+            offsets = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+            rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(keys[word]), pa.array(times.astype(np.int32))], ["key", "n"]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out["symbols"], pa.binary()), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["inside"], pa.float64()), pa.array(out["rare"], rare_type)],
+                [
+                    batch.column(0), batch.column(1), pa.array(symbols, pa.binary()), pa.array(lengths + 1), pa.array(summed(hot).astype(np.int64) + (end_count > 0)),
+                    pa.array(summed(base) + math.log10(end_count + 1) - log_total), pa.array(summed(within)), rare,
+                ],
                 names=["id", "held_out", "symbols", "n_tokens", "n_known", "base", "inside", "rare"],
             )
 
@@ -167,7 +168,7 @@ def _padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """Texts, longest first, as the columns of a table by time; how many are still going at each time; their order."""
     lengths = np.array([len(t) for t in texts])
     order = np.argsort(-lengths, kind="stable")
-    table = np.zeros((lengths.max(), len(texts)), np.int64)
+    table = np.zeros((lengths.max(), len(texts)), np.uint16)
     for column, i in enumerate(order):
         table[: lengths[i], column] = texts[i]
     return table, np.searchsorted(-lengths[order], -np.arange(lengths.max()), side="left"), order
@@ -255,18 +256,38 @@ def baum_welch(encoded: DataFrame, frequencies: np.ndarray, states: int = 6, rou
     return model, likelihoods
 
 
-def _scored(model: Model, together: int = 4000):
+def groups(texts: list[np.ndarray], cells: int = 1 << 22) -> Iterator[list[int]]:
+    """Positions of texts that are scored together, alike in length; a padded table has ``cells`` cells or one text."""
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    at = 0
+    while at < len(order):
+        many = max(1, cells // max(1, len(texts[order[at]])))
+        yield order[at : at + many]
+        at += many
+
+
+def _scored(model: Model, tokens: int = 4_000_000):
+    """Texts are gathered up to so many tokens, so that those alike in length go together."""
+
+    def scores(ids: list[int], texts: list[np.ndarray]) -> pa.RecordBatch:
+        out = np.zeros(len(texts))
+        for group in groups(texts):
+            out[group] = forward(model, [texts[i] for i in group])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out)], names=["row", "ln"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         texts: list[np.ndarray] = []
+        gathered = 0
         for batch in batches:
             ids += batch.column(0).to_pylist()
             texts += [_symbols(x) for x in batch.column(1).to_pylist()]
-            if len(ids) >= together:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forward(model, texts))], names=["row", "ln"])
-                ids, texts = [], []
+            gathered += sum(map(len, texts[-batch.num_rows :])) if batch.num_rows else 0
+            if gathered >= tokens:
+                yield scores(ids, texts)
+                ids, texts, gathered = [], [], 0
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forward(model, texts))], names=["row", "ln"])
+            yield scores(ids, texts)
 
     return run
 
@@ -283,7 +304,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, f
     rows = need(docs, id_col, text_col).select(F.col(id_col).alias("id"), (F.pmod(id_crc(F.col(id_col)), F.lit(folds)) == held_out_fold).alias("held_out"), F.col(text_col).alias("text"))
     words = Vocabulary(rows.where("not held_out"), "text")
     class_totals = words.class_tokens + words.class_words + 1
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, symbols binary, n_tokens bigint, n_known bigint, base double, inside double, rare array<struct<key:bigint,n:int,class:smallint>>"
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, symbols binary, n_tokens bigint, n_known bigint, base double, inside double, rare array<struct<key:bigint,n:int>>"
     coded = rows.mapInArrow(_encoded(words.shared, words.base_total, words.texts, class_totals), schema)
     coded = materialized(coded.withColumn("row", F.monotonically_increasing_id()), "coded")  # written, so that row stays
     frequencies = np.concatenate([words.symbol_tokens, [words.texts], words.class_tokens])
