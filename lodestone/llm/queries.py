@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, hmm, linededup, pieces, quality, simhash, toxicity, url_filter, warc
+from lodestone.llm import decontam, hmm, linededup, pieces, quality, simhash, substring, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("ids", "ids_sha256")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.repeated(table(spark, sf_dir, "documents"))
+    spans = F.transform("spans", lambda s: F.concat_ws("-", s["begin"], s["end"]))
+    return found.select("doc_id", "n_words", "n_repeated", F.size("spans").cast("bigint").alias("n_passages"), F.array_join(spans, ",").alias("passages"), "n_links", "linked_to", "class_id")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("broken", ",").alias("broken_rules"))
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_line_dedup": op5_line_dedup,
         "op6_sentencepiece": op6_sentencepiece,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_quality": op8_quality,
         "op9_hmm": op9_hmm,
         "op10_warc": op10_warc,
