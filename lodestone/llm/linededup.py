@@ -12,7 +12,8 @@ pairs of a group. Each tie's edit distance is then verified on the texts.
 
 Only lines that can have a neighbour emit variants. An edit leaves the first or the last half of a line as it was,
 so lines are first keyed by their halves (four hashes of a line); what shares a half with no other line is out. Lines
-are 128-bit hashes up to here; the texts of those left are fetched by a second pass that skips the others.
+are 128-bit hashes up to here; the texts of those left are fetched by a second pass that skips the others. They are
+keyed once more by all but one of ``PARTS`` parts, as an edit touches one part, with the same result for what shares no key.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from lodestone.llm.common import materialized, need, tuned
 from lodestone.llm.keyfilter import KeyFilter, maybe
 from lodestone.llm.wordhash import mixed
 
-MIN_CHARS = 20
+MIN_CHARS, PARTS = 20, 16
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -41,15 +42,17 @@ def line_key(line: str) -> tuple[int, int]:
     return int.from_bytes(whole[:8], "little", signed=True), int.from_bytes(whole[8:], "little", signed=True)
 
 
-def halves(line: str) -> list[int]:
-    """Hashes of the first and last half of the line, as a line of its own length and as one that had a character less."""
+def outlines(line: str, parts: int) -> list[int]:
+    """Hashes of the line without one of its parts, for each part, as a line of its own length and as one that had a
+    character less: two lines an edit apart have one in common. With two parts that is either half."""
     import xxhash
 
     n, out = len(line), set()
     for m in (n - 1, n):
-        half = m // 2
-        for side, part in ((0, line[:half]), (1, line[n - (m - half) :])):
-            h = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), seed=2 * m + side)
+        for part in range(parts):
+            head, tail = m * part // parts, m - m * (part + 1) // parts
+            kept = line[:head].encode("utf-8", "surrogatepass") + b"\xff" + line[n - tail :].encode("utf-8", "surrogatepass")
+            h = xxhash.xxh3_64_intdigest(kept, seed=m * parts + part)
             out.add(h - (1 << 64) if h >> 63 else h)
     return sorted(out)
 
@@ -80,7 +83,7 @@ def _lines(min_chars: int):
                     if not line.strip():
                         continue
                     if (seen := known.get(line)) is None:
-                        seen = known[line] = (*line_key(line), halves(line) if len(line) >= min_chars else None)
+                        seen = known[line] = (*line_key(line), outlines(line, 2) if len(line) >= min_chars else None)
                     owner.append(row)
                     place.append(at)
                     first.append(seen[0])
@@ -107,6 +110,17 @@ def _wanted_lines(shared, bits: int, min_chars: int):
     return run
 
 
+def _outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [outlines(line, PARTS) for line in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["h1", "h2", "outlines"])
+
+
+def _sharing(keyed: DataFrame) -> DataFrame:
+    """(h1, h2) of the lines of (h1, h2, key) that share a key with another line."""
+    return keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("h1", "h2").distinct()
+
+
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for h1, h2, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -140,12 +154,13 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int =
     distinct = lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     if max_edits:
         distinct = materialized(distinct, "distinct-lines")
-        keyed = lines.where("halves is not null").select("h1", "h2", "halves").dropDuplicates(["h1", "h2"]).select("h1", "h2", F.explode("halves").alias("half"))
-        shared_half = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("half"))).where("n > 1").select("h1", "h2").distinct()
-        maybe_near = materialized(distinct.join(shared_half, ["h1", "h2"]).select("h1", "h2", "first"), "maybe-near")
+        keyed = lines.where("halves is not null").select("h1", "h2", "halves").dropDuplicates(["h1", "h2"]).select("h1", "h2", F.explode("halves").alias("key"))
+        maybe_near = materialized(distinct.join(_sharing(keyed), ["h1", "h2"]).select("h1", "h2", "first"), "maybe-near")
         wanted = KeyFilter(maybe_near.select("h1").distinct(), "h1")
         found = rows.select("text").mapInArrow(_wanted_lines(wanted.shared, wanted.bits, max(4, min_chars)), "h1 bigint, h2 bigint, line string")
         texts = materialized(found.dropDuplicates(["h1", "h2"]).join(maybe_near.select("h1", "h2"), ["h1", "h2"]), "near-texts")
+        outlined = texts.mapInArrow(_outlined, "h1 bigint, h2 bigint, outlines array<bigint>").select("h1", "h2", F.explode("outlines").alias("key"))
+        texts = materialized(texts.join(_sharing(outlined), ["h1", "h2"]), "narrowed-texts")
         later = _later_lines(maybe_near, texts).withColumn("later", F.lit(True))
         distinct = distinct.join(later, ["h1", "h2"], "left")
     else:
