@@ -77,7 +77,7 @@ class Vocabulary:
         self.texts = train.count()
         totals = self.table.agg(F.count(F.lit(1)), F.sum("n")).first()
         self.distinct, self.tokens = totals[0] + bool(self.texts), (totals[1] or 0) + self.texts
-        hot = self.table.orderBy(F.desc("n"), "key").limit(HOT).toArrow()  # HOT rows at most
+        hot = self.table.where(F.col("n") >= self._least_hot()).toArrow()  # HOT rows at most
         keys, n = hot["key"].to_numpy(), hot["n"].to_numpy()
         first = np.lexsort((keys, -n))
         symbol = np.full(len(keys), -1, np.int32)
@@ -92,6 +92,21 @@ class Vocabulary:
         order = np.argsort(keys)
         self.shared = spark.sparkContext.broadcast((keys[order], n[order], symbol[order]))
 
+    def _least_hot(self) -> int:
+        """The least count at which at most ``HOT`` words have it or more, among powers of two and steps between them.
+
+        An aggregation of a few hundred groups, where sorting for the first HOT words would end in one task.
+        """
+        step = F.when(F.col("n") < 32, F.col("n")).otherwise(F.floor(F.log2("n") * 32).cast("bigint"))
+        rows = self.table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("least")).collect()
+        total, least = 0, 1 << 62
+        for row in rows:
+            total += row.words
+            if total > HOT:
+                break
+            least = row.least
+        return least
+
     @property
     def base_total(self) -> int:
         """N + 1 * (V + 1)."""
