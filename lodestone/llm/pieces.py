@@ -30,40 +30,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.common import need, tuned
+from lodestone.llm.wordhash import mixed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: The model ranks its pieces; a piece of rank r weighs 1 / (r + RANK_OFFSET) ** sharpness. Bytes rank last.
 RANK_OFFSET, SHARPNESS = 10, 1.5
-LONG, REMEMBERED = 64, 250_000
-#: A unit's paths are listed and remembered if there are at most ``LISTED``, once ``1 / DRAWS_TO_PATHS`` as many were drawn.
-LISTED, DRAWS_TO_PATHS = 512, 12
+LONG, REMEMBERED = 64, 25_000
+#: Paths of a unit of at most ``ONE_DRAW`` characters are chosen by one number, in the order of the backward search; they are
+#: listed and remembered if there are at most ``LISTED``, once ``1 / DRAWS_TO_PATHS`` as many were drawn. Either way the
+#: same number gives the same path, so samples don't depend on what a task met before.
+ONE_DRAW, LISTED, DRAWS_TO_PATHS = 12, 512, 12
+#: Texts encoded together.
+ROWS = 100
+
+
+HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Unit:
     """A stretch of the lattice between two nodes that all paths share."""
 
-    __slots__ = ("ahead", "apart", "best", "drawn", "listed", "p_best", "text", "ways")
+    __slots__ = ("ahead", "best", "drawn", "listed", "p_best", "text", "ways")
 
     def __init__(self, text: str, best: tuple[int, ...], p_best: float, ahead: list[float] | None):
         self.text, self.best, self.p_best, self.ahead = text, best, p_best, ahead
         self.listed: tuple[list[tuple[int, ...]], list[float]] | None = None  # the other paths and their probabilities, summed up
-        self.apart: tuple[list[float], dict[int, int]] | None = None  # see Pieces.apart
         self.drawn, self.ways = 0, 0
 
 
 class Units(dict):
-    """Units by their text, made as they come up; emptied when there are ``REMEMBERED``."""
+    """Units by their text, made as they come up. When there are ``REMEMBERED``, they become the old ones; of these, those
+    met again move back and the rest go with the next change, so frequent units stay."""
 
     def __init__(self, pieces: Pieces):
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.old = pieces, {}
 
     def __missing__(self, text: str) -> Unit:
+        unit = self.old.get(text) or self.pieces.unit(text)
+        self.add(text, unit)
+        return unit
+
+    def add(self, text: str, unit: Unit) -> None:
         if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        self[text] = unit = self.pieces.unit(text)
-        return unit
+        self[text] = unit
+
+    def unknown(self, texts: set[str]) -> set[str]:
+        return texts - self.keys() - self.old.keys()
 
 
 class Pieces:
@@ -96,6 +112,65 @@ class Pieces:
             at = self.number[[ord(c) for c in p]]
             self.joined[at[:-1], at[1:]] = True
         self.units = Units(self)
+        hashes = self._hashes(list(self.ids))
+        order = np.argsort(hashes)
+        self.known, self.known_weight = hashes[order], np.array(list(self.weight.values()))[order]
+        self.likely = np.zeros(1 << 22, bool)
+        self.likely[(hashes >> np.uint64(42)).astype(np.int64)] = True
+
+    @staticmethod
+    def _heads(texts: list[str], n: int) -> np.ndarray:
+        """Polynomial hashes of all beginnings of texts of one length: a row for each text."""
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), n).astype(np.uint64)
+        heads = np.zeros((n + 1, len(texts)), np.uint64)
+        for at in range(n):
+            heads[at + 1] = heads[at] * HASH_BASE + codes[:, at] + np.uint64(1)
+        return heads
+
+    def _hashes(self, texts: list[str]) -> np.ndarray:
+        out = np.empty(len(texts), np.uint64)
+        lengths = np.array([len(t) for t in texts])
+        for n in np.unique(lengths).tolist():
+            at = np.nonzero(lengths == n)[0]
+            out[at] = mixed(self._heads([texts[i] for i in at], n)[n])
+        return out
+
+    def learn(self, texts: set[str]) -> None:
+        """Makes the units of many texts at once, as columns of those of one length; what ``unit`` does for one."""
+        by_length: dict[int, list[str]] = {}
+        for t in texts:
+            if 1 < len(t) <= LONG:
+                by_length.setdefault(len(t), []).append(t)
+        for n, group in by_length.items():
+            powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, HASH_BASE, np.uint64)]), dtype=np.uint64)
+            heads = self._heads(group, n)
+            ahead, top, came = np.zeros((n + 1, len(group))), np.zeros((n + 1, len(group))), np.zeros((n + 1, len(group)), np.int8)
+            ahead[0] = top[0] = 1.0
+            whole = np.ones(len(group), bool)
+            for end in range(1, n + 1):
+                for at in range(max(0, end - self.longest), end):
+                    h = mixed(heads[end] - heads[at] * powers[end - at])
+                    maybe = np.nonzero(self.likely[(h >> np.uint64(42)).astype(np.int64)])[0]
+                    place = np.minimum(np.searchsorted(self.known, h[maybe]), len(self.known) - 1)
+                    there = self.known[place] == h[maybe]
+                    rows, w = maybe[there], self.known_weight[place[there]]
+                    ahead[end, rows] += ahead[at, rows] * w
+                    high = top[at, rows] * w
+                    better = high > top[end, rows]
+                    top[end, rows[better]], came[end, rows[better]] = high[better], at
+                    if at == end - 1 and len(rows) < len(group):  # a character without a piece of its own
+                        whole[np.setdiff1d(np.arange(len(group)), rows)] = False
+            p_best = (top[n] / np.where(ahead[n] > 0, ahead[n], 1.0)).tolist()
+            for text, sums, back, p, usual in zip(group, ahead.T.tolist(), came.T.tolist(), p_best, whole.tolist(), strict=True):
+                if not usual:
+                    self.units.add(text, self.unit(text))
+                    continue
+                path, node = [], n
+                while node:
+                    path.append(self.ids[text[back[node] : node]])
+                    node = back[node]
+                path.reverse()
+                self.units.add(text, Unit(text, tuple(path), p, sums))
 
     def split(self, text: str) -> list[str]:
         """The units of a text, in order. Spaces are written as the model writes them, with one more in front."""
@@ -184,81 +259,85 @@ class Pieces:
 
     def arriving(self, text: str, node: int) -> list[tuple[int, tuple[int, ...], float]]:
         """(node left, piece ids, weight) of the edges to a node."""
-        out = []
-        for at in range(max(0, node - self.longest), node):
-            if (w := self.weight.get(text[at:node])) is not None:
-                out.append((at, (self.ids[text[at:node]],), w))
+        weight, ids = self.weight, self.ids
+        out = [(at, (ids[piece],), weight[piece]) for at in range(max(0, node - self.longest), node) if (piece := text[at:node]) in weight]
         if not out or out[-1][0] != node - 1:
             out += [(node - 1, got, w) for end, got, w in self.edges(text, node - 1) if end == node]
         return out
 
-    def apart(self, unit: Unit) -> tuple[list[float], dict[int, int]]:
+    def apart(self, unit: Unit) -> tuple[list[float], dict[int, int], dict[int, list]]:
         """Of each node, the summed weight of the paths to it that aren't the best path's own beginning; of each node on
-        the best path, the one before it. Sums only, so small masses keep their digits."""
-        if unit.apart is None:
-            text, logs, ahead = unit.text, len(unit.text) > LONG, unit.ahead
-            before, at = {}, 0
-            for end in self.ends(unit, unit.best):
-                before[end], at = at, end
-            rest = list(ahead)
-            rest[0] = -math.inf if logs else 0.0
-            for node in before:
-                terms = [((rest if before[node] == at else ahead)[at], w) for at, _, w in self.arriving(text, node)]
-                if logs:
-                    high = max(x + math.log(w) for x, w in terms)
-                    rest[node] = high + math.log(math.fsum(math.exp(x + math.log(w) - high) for x, w in terms)) if high > -math.inf else high
-                else:
-                    rest[node] = math.fsum(x * w for x, w in terms)
-            unit.apart = (rest, before)
-        return unit.apart
+        the best path, the one before it; the edges to those nodes. Sums only, so small masses keep their digits."""
+        text, logs, ahead = unit.text, len(unit.text) > LONG, unit.ahead
+        before, at, edges = {}, 0, {}
+        for end in self.ends(unit, unit.best):
+            before[end], at = at, end
+        rest = list(ahead)
+        rest[0] = -math.inf if logs else 0.0
+        for node in before:
+            edges[node] = self.arriving(text, node)
+            terms = [((rest if before[node] == at else ahead)[at], w) for at, _, w in edges[node]]
+            if logs:
+                high = max(x + math.log(w) for x, w in terms)
+                rest[node] = high + math.log(math.fsum(math.exp(x + math.log(w) - high) for x, w in terms)) if high > -math.inf else high
+            else:
+                rest[node] = sum([x * w for x, w in terms])
+        return rest, before, edges
 
     def drawn_path(self, unit: Unit, random: np.random.Generator) -> tuple[tuple[int, ...], float]:
-        """A path of the unit other than the best one, and its probability, drawn backwards through the lattice."""
+        """A path of the unit other than the best one, and its probability, drawn backwards through the lattice: of a short
+        unit by one number that is narrowed down from choice to choice, of others by a number for each choice."""
         text, ahead, logs = unit.text, unit.ahead, len(unit.text) > LONG
-        rest, before = self.apart(unit)
+        rest, before, edges = self.apart(unit)
         node, path, steps, following = len(text), [], [], True
+        short, number = len(text) <= ONE_DRAW, random.random()
         while node:
-            options = self.arriving(text, node)
-            sums = [(rest if following and before[node] == at else ahead)[at] for at, *_ in options]
-            total = (rest if following else ahead)[node]
-            shares = [math.exp(x + math.log(o[2]) - total) if logs else x * o[2] for x, o in zip(sums, options, strict=True)]
-            u, pick = random.random() * math.fsum(shares), max(range(len(shares)), key=shares.__getitem__)
+            if (options := edges.get(node)) is None:
+                options = edges[node] = self.arriving(text, node)
+            on = before[node] if following else -1
+            if logs:
+                total = (rest if following else ahead)[node]
+                shares = [math.exp((rest if at == on else ahead)[at] + math.log(w) - total) for at, _, w in options]
+            else:
+                shares = [(rest if at == on else ahead)[at] * w for at, _, w in options]
+            u, pick = (number if short else random.random()) * sum(shares), -1
             for i, share in enumerate(shares):
-                u -= share
-                if u < 0:
-                    pick = i
+                if u < share:
+                    pick, number = i, u / share
                     break
-            at, got, w = options[pick]
-            following = following and before[node] == at
-            node = at
+                u -= share
+            if pick < 0:  # rounding
+                pick, number = shares.index(max(shares)), 0.5
+            node, got, w = options[pick]
+            following = node == on
             path.append(got)
             steps.append(w)
         return tuple(chain.from_iterable(reversed(path))), self.probability(unit, steps)
 
     def ways(self, unit: Unit) -> int:
-        """How many paths the unit has (LISTED + 1: more than can be listed)."""
+        """How many paths the unit has."""
         if not unit.ways:
             n = len(unit.text)
             ways = [1] + [0] * n
-            for at in range(n if n <= LONG else 0):
+            for at in range(n):
                 for end, _, _ in self.edges(unit.text, at):
                     ways[end] += ways[at]
-            unit.ways = min(ways[n], LISTED + 1) if n <= LONG else LISTED + 1
+            unit.ways = ways[n]
         return unit.ways
 
     def list_others(self, unit: Unit) -> tuple[list[tuple[int, ...]], list[float]]:
-        """All paths but the best with their probabilities summed up; remembered."""
-        n = len(unit.text)
-        steps = [list(self.edges(unit.text, at)) for at in range(n)]
+        """All paths but the best with their probabilities summed up, in the order of the backward search; remembered."""
+        text, whole = unit.text, unit.ahead[-1]
+        steps = [self.arriving(text, node) for node in range(1, len(text) + 1)]
         paths, shares = [], []
-        stack: list[tuple[int, tuple[int, ...], float]] = [(0, (), 1.0)]
+        stack: list[tuple[int, tuple[int, ...], float]] = [(len(text), (), 1.0)]
         while stack:
-            at, path, w = stack.pop()
-            if at < n:
-                stack += [(end, path + got, w * step) for end, got, step in steps[at]]
+            node, path, w = stack.pop()
+            if node:
+                stack += [(at, got + path, w * step) for at, got, step in reversed(steps[node - 1])]
             elif path != unit.best:
                 paths.append(path)
-                shares.append(w / unit.ahead[n])
+                shares.append(w / whole)
         unit.listed = (paths, list(accumulate(shares)))
         return unit.listed
 
@@ -266,7 +345,7 @@ class Pieces:
         """A path of the unit that isn't in ``out`` (which has the best one), and its probability."""
         if unit.listed is None:
             unit.drawn += 1
-            if unit.drawn < 3 or (ways := self.ways(unit)) > LISTED or unit.drawn * DRAWS_TO_PATHS < ways:
+            if len(unit.text) > ONE_DRAW or unit.drawn < 3 or (ways := self.ways(unit)) > LISTED or unit.drawn * DRAWS_TO_PATHS < ways:
                 while True:
                     path, p = self.drawn_path(unit, random)
                     if path not in out:
@@ -278,9 +357,12 @@ class Pieces:
             if paths[i] not in out:
                 return paths[i], sums[i] - (sums[i - 1] if i else 0.0)
 
-    def sampled(self, text: str, k: int, random: np.random.Generator) -> tuple[list[dict], float]:
-        """Up to ``k`` distinct segmentations in the order of their perturbed values, and the threshold after them."""
-        units = list(map(self.units.__getitem__, self.split(text)))
+    def sampled(self, text: str, k: int, random: np.random.Generator, parts: list[str] | None = None) -> tuple[list[dict], float]:
+        """Up to ``k`` distinct segmentations in the order of their perturbed values, and the threshold after them.
+
+        parts: the text's units, if they are known already.
+        """
+        units = list(map(self.units.__getitem__, self.split(text) if parts is None else parts))
         n = len(units)
         p_best = np.array([u.p_best for u in units])
 
@@ -395,9 +477,9 @@ def _worker(shared, sharpness: float) -> Pieces:
     return home.pieces
 
 
-def ids_digest(ids: list[int]) -> str:
+def ids_digest(ids: np.ndarray) -> str:
     """sha256 of the ids as little-endian 32-bit numbers."""
-    return hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
+    return hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
 
 
 def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 3, seed: int = 11, sharpness: float = SHARPNESS, model_path: str = MODEL, digest: bool = False) -> DataFrame:
@@ -417,18 +499,25 @@ def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 
         pieces = _worker(shared, sharpness)
         for batch in batches:
-            owner: list[int] = []
-            out: list[list] = [[] for _ in names[1:]]
-            for row, (key, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                random = np.random.default_rng([seed, xxhash.xxh3_64_intdigest(key.encode())])
-                found, _ = pieces.sampled(text or "", k, random)
-                for number, x in enumerate(found, 1):
-                    owner.append(row)
-                    row_out = (number, ids_digest(x["ids"]) if digest else x["ids"], len(x["ids"]), x["log_p"], x["value"], x["inclusion"], pieces.decoded(x["ids"]) == (text or ""))
-                    for column, v in zip(out, row_out, strict=True):
-                        column.append(v)
-            kinds = (pa.int32(), pa.string() if digest else pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int32())), *(pa.array(c, kind) for c, kind in zip(out, kinds, strict=True))], names=names)
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            keys = batch.column(1).to_pylist()
+            for begin in range(0, len(texts), ROWS):
+                part = texts[begin : begin + ROWS]
+                units = [pieces.split(t) for t in part]
+                pieces.learn(pieces.units.unknown({u for row in units for u in row}))
+                owner: list[int] = []
+                out: list[list] = [[] for _ in names[1:]]
+                for row, text in enumerate(part):
+                    random = np.random.default_rng([seed, xxhash.xxh3_64_intdigest(keys[begin + row].encode())])
+                    found, _ = pieces.sampled(text, k, random, units[row])
+                    for number, x in enumerate(found, 1):
+                        ids = np.array(x["ids"], np.int32)
+                        owner.append(begin + row)
+                        row_out = (number, ids_digest(ids) if digest else ids, len(ids), x["log_p"], x["value"], x["inclusion"], pieces.decoded(x["ids"]) == text)
+                        for column, v in zip(out, row_out, strict=True):
+                            column.append(v)
+                kinds = (pa.int32(), pa.string() if digest else pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int32())), *(pa.array(c, kind) for c, kind in zip(out, kinds, strict=True))], names=names)
 
     rows = need(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.col(text_col).alias("text"))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, sample int, ids {'string' if digest else 'array<int>'}, n_pieces bigint, log_prob double, perturbed double, inclusion double, round_trip boolean"
