@@ -77,9 +77,9 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def _keyed(nodes: DataFrame, masks: list[int], base: Column | None = None) -> DataFrame:
-    """A row for each node and mask: way (which masks), key (the node's bits under them), node, fp."""
-    ways = F.array(*[F.struct((F.lit(i) if base is None else base * 1000 + i).cast("bigint").alias("way"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("bigint")).alias("key")) for i, m in enumerate(masks)])
+def _keyed(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    """A row for each node and mask: way (which mask), key (the node's bits under it), node, fp."""
+    ways = F.array(*[F.struct(F.lit(i).cast("bigint").alias("way"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("bigint")).alias("key")) for i, m in enumerate(masks)])
     return nodes.select("node", "fp", F.inline(ways))
 
 
@@ -112,19 +112,19 @@ def links(nodes: DataFrame, max_bits: int = 3, crowd: int = 256, blocks: int | N
         out = found if out is None else out.union(found)
         crowded = level.where(refined)
         there = [r.way for r in crowded.select("way").distinct().collect()]  # ways are masks: a few thousand at most
+        if not there:
+            return out
         deeper: dict[int, tuple[int, list[int]]] = {}
-        parts = []
+        finer = []
         for way in there:
             mask, rest = ways[way]
-            finer = block_masks(rest, blocks, keep)
-            deeper |= {way * 1000 + i: (mask | m, left) for i, (m, left) in enumerate(finer)}
-            parts.append(_keyed(crowded.where(F.col("way") == way).select("node", "fp"), [mask | m for m, _ in finer], F.lit(way)))
-        if not parts:
-            return out
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.union(p)
-        level, ways = materialized(_together(rows.distinct()), "simhash"), deeper
+            for i, (more, left) in enumerate(block_masks(rest, blocks, keep)):
+                deeper[way * 1000 + i] = (mask | more, left)
+                finer.append((way, way * 1000 + i, _signed(mask | more)))
+        # A row for each mask, 20 for each way that is there.
+        masks = F.broadcast(nodes.sparkSession.createDataFrame(finer, "way bigint, next bigint, mask bigint"))
+        rows = crowded.select("node", "fp", "way").distinct().join(masks, "way")
+        level, ways = materialized(_together(rows.select("node", "fp", F.col("next").alias("way"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))), "simhash"), deeper
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, max_bits: int = 3, blocks: int | None = None, crowd: int = 256) -> DataFrame:
