@@ -11,7 +11,7 @@ from lodestone.functions import markup, scoring, text
 from lodestone.functions.scoring import SearchSettings
 from lodestone.operators import bm25, chunks, dense, evaluation, examples, search, stats
 from lodestone.plans import sql
-from lodestone.sources import help_book, modules
+from lodestone.sources import chat, help_book, modules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -516,6 +516,12 @@ def toc_flatten(spark, d):
     return help_book.in_reading_order(pages).select("reading_ord", "block_id", "depth", "title_ru", "title_en", "html_path")
 
 
+@registered("SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS answer FROM conversations")
+def json_answers(spark, d):
+    fenced = F.concat(F.lit("```json\n"), F.trim("text"), F.lit("\n```"))
+    return table(spark, d, "conversations").select("conv_id", "turn", chat.json_text(fenced).alias("answer"))
+
+
 # --- evaluation and readiness ----------------------------------------------------------------------------------
 
 

@@ -206,3 +206,17 @@ def test_readiness(spark):
     assert codes(True, True, False, True, True, None, False, True, 10, 0, 0) == ["index_missing", "index_broken"]
     assert codes(True, True, True, True, True, False, True, False, 300, 300, 0) == ["embedding_mismatch", "vector_index_missing", "bsp_not_indexed"]
     assert codes(True, True, True, True, True, None, False, True, 300, 100, 0) == ["partial_index", "not_ready"]
+
+
+def test_links_by_a_model(spark):
+    from lodestone.sources import chat
+
+    class Echo:  # local, so that it is sent by value
+        def answer(self, prompt):
+            return '```json\n{"topic_ids": ["t1"], "relevance": 0.9, "summary": "s"}\n```' if "выборка" in prompt else "no idea"
+
+    code = spark.createDataFrame([(1, "e1", "выборка товары", ""), (2, "e2", "ничего", "q")], "ex_ord bigint, id string, code string, query_text string")
+    topics = spark.createDataFrame([(1, "t1", "Товары", "d")], "topic_ord bigint, id string, title string, domain string")
+    assert [(r.id, r.topic_ids, r.relevance, r.summary) for r in chat.linked_by_model(code, topics, Echo()).collect()] == [("e1", ["t1"], 0.9, "s")]
+    answers = spark.createDataFrame([(' {"a": 1} ',), ("x ```\n[1]\n``` y",), ("```json\n```",)], "x string")
+    assert [r[0] for r in answers.select(chat.json_text(F.col("x"))).collect()] == ['{"a": 1}', "[1]", ""]
