@@ -5,9 +5,10 @@ a minimum; a compact window (l, c, r) is all runs from l..c to c..r, which share
 document are the nodes of its Cartesian tree that are wide enough, about 2 n / least of them. Runs that are alike have the same
 minimum with the probability of their Jaccard similarity, so ``functions`` hash functions find nearly all of them.
 
-Windows whose minimum no other window has are dropped. A run of ``least`` shingles has one that lies ``least`` / 2 beside its
-minimum, on one side at least, so windows are grouped by their minimum and the shingle there on either side; without
-that, a phrase that is common but shorter than a passage would bring unlike documents together. Each window is tied to
+Windows whose minimum no other window has are dropped. A run of ``least`` shingles has ``least`` / 2 - 1 shingles beside its
+minimum, on one side at least, so windows are grouped by their minimum and the second minimum there on either side; without
+that, a phrase that is common but shorter than a passage would bring unlike documents together. A second minimum, unlike
+the shingle at a fixed place, stays the same where words are inserted or deleted. Each window is tied to
 the earliest of its groups: as many ties as windows, however many documents share a passage. The ties of two
 documents are joined as intervals across the hash functions, per diagonal; the shingles of the two stretches are
 fetched, and a run of ``least`` shingles counts as repeated where it has a Jaccard similarity of ``similarity`` or more.
@@ -28,7 +29,7 @@ from lodestone.llm.common import drop_table, materialized, need, tuned
 from lodestone.llm.components import connected_components
 from lodestone.llm.wordhash import mixed, run_hashes, space_words, word_codes
 
-SHINGLE, LEAST_WORDS, SIMILARITY, FUNCTIONS = 5, 50, 0.8, 3
+SHINGLE, LEAST_WORDS, SIMILARITY, FUNCTIONS = 5, 50, 0.8, 4
 #: How many words a near copy may have more or less before a place than its original.
 SLACK = 16
 ROUNDS = 2
@@ -56,9 +57,14 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
     return out
 
 
-def beside(least: int) -> list[int]:
-    """The two places beside a minimum whose shingles go with it."""
-    return [-(least // 2) + 1, least // 2 - 1]
+def beside(hashed: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place, the least hash among the ``least`` / 2 - 1 places before it and among those after it; the largest number at an end."""
+    width = least // 2 - 1
+    rest = np.full(width, np.iinfo(np.uint64).max, np.uint64)
+    if not width:
+        return np.zeros_like(hashed), np.zeros_like(hashed)
+    lowest = np.lib.stride_tricks.sliding_window_view(np.concatenate([rest, hashed, rest]), width).min(1)
+    return lowest[: len(hashed)], lowest[width + 1 : width + 1 + len(hashed)]
 
 
 def _windows(least: int, functions: int):
@@ -69,8 +75,6 @@ def _windows(least: int, functions: int):
                 shingles = shingles_of(text)
                 if len(shingles) < least:
                     continue
-                # 32 bits of each shingle beside; places beyond the document's ends are its outermost shingles.
-                short = shingles & np.uint64(0xFFFFFFFF)
                 for f in range(functions):
                     hashed = function(shingles, f)
                     found = np.array(compact_windows(hashed, least), np.int32)
@@ -79,7 +83,9 @@ def _windows(least: int, functions: int):
                     spans.append(found)
                     c = found[:, 1].astype(np.int64)
                     values.append(hashed[c].view(np.int64))
-                    contexts.append(sum(short[np.clip(c + place, 0, len(short) - 1)] << np.uint64(32 * i) for i, place in enumerate(beside(least))).view(np.int64))
+                    # The low 32 bits of each: the high ones of a minimum are mostly zeros.
+                    before, after = (side[c] & np.uint64(0xFFFFFFFF) for side in beside(hashed, least))
+                    contexts.append((before | after << np.uint64(32)).view(np.int64))
             if docs:
                 l, c, r = np.ascontiguousarray(np.concatenate(spans).T)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(docs), np.concatenate(which), np.concatenate(values), np.concatenate(contexts), l, c, r)], names=["doc", "f", "v", "x", "l", "c", "r"])

@@ -173,3 +173,20 @@ def test_passages_of_odd_documents(spark, edge, empty):
     assert got[10].linked_to == [9] and got[10].class_id == 9 and got[9].n_repeated == 6000 and got[9].n_links == 0
     assert got[4].n_words == 0 and got[7].class_id == 7 and got[None].class_id is None and len(got) == len(TEXTS) + 1
     assert substring.repeated(empty).count() == 0
+
+
+def test_passages_with_a_word_more_or_less(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    docs = []
+    for i in range(100):
+        one = [word() for _ in range(51)]
+        two = list(one)
+        at = rng.randrange(5, 46)
+        two[at : at + i % 2] = [] if i % 2 else [word()]
+        for k, passage in enumerate((one, two)):
+            docs.append((2 * i + k, " ".join([word() for _ in range(70)] + passage + [word() for _ in range(70)])))
+    got = {r.doc_id: r.class_id for r in substring.repeated(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
+    least = substring.LEAST_WORDS - substring.SHINGLE + 1
+    near = [i for i in range(0, 200, 2) if all(substring.alike(a, b, least, 0.8) for a, b in [[substring.shingles_of(docs[i + k][1].encode()) for k in (x, 1 - x)] for x in (0, 1)])]
+    assert len(near) >= 90 and sum(got[i] == got[i + 1] for i in near) >= 0.97 * len(near)
