@@ -12,8 +12,12 @@ the shingle at a fixed place, stays the same where words are inserted or deleted
 the earliest of its groups: as many ties as windows, however many documents share a passage. The ties of two
 documents are joined as intervals across the hash functions, per diagonal; the shingles of the two stretches are
 fetched, and a run of ``least`` shingles counts as repeated where it has a Jaccard similarity of ``similarity`` or more.
-Windows whose tie isn't confirmed are tied once more among themselves, as the earliest of their group may have the two
-shingles but not the passage. On the driver tables a second round changes a handful of words and further ones none.
+
+That is not all of a group. A window whose tie isn't confirmed is compared with every other member of its group, twice as
+many in each round, until one confirms it or none is left: where one phrase stands in the passages of many families, each
+family meets, and such a group costs pairs. A window whose tie is confirmed but that goes on beyond the repeated stretch
+may share more with another one: those are grouped anew by the shingle next to the stretch, on either side, and tied again
+until no group has two. Windows that a confirmed stretch covers whole have nothing left to find.
 """
 
 from __future__ import annotations
@@ -32,7 +36,6 @@ from lodestone.llm.wordhash import mixed, run_hashes, space_words, word_codes
 SHINGLE, LEAST_WORDS, SIMILARITY, FUNCTIONS = 5, 50, 0.8, 4
 #: How many words a near copy may have more or less before a place than its original.
 SLACK = 16
-ROUNDS = 2
 
 
 def shingles_of(text: bytes | None) -> np.ndarray:
@@ -93,14 +96,39 @@ def _windows(least: int, functions: int):
     return run
 
 
-def _ties(rows: DataFrame) -> DataFrame:
-    """Each window with the earliest one of each of its groups, where that is another one."""
+ROW = ["key", "doc", "f", "c", "l", "r"]
+TIE = [*ROW, "to_doc", "diagonal", "to_lo", "to_hi"]
+
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """The rows whose key several have."""
+    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
+
+
+def _keyed(windows: DataFrame) -> DataFrame:
+    """A row for each window and group."""
     sides = [F.shiftrightunsigned("x", 32 * i).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")) for i in range(2)]
     keys = F.array(*[F.xxhash64("f", "v", F.lit(i), side) for i, side in enumerate(sides)])
-    keyed = rows.select("doc", "f", "l", "c", "r", F.explode(keys).alias("key"))
+    return windows.select(F.explode(keys).alias("key"), "doc", "f", "c", "l", "r")
+
+
+def _tied(rows: DataFrame) -> DataFrame:
+    """rows: those of TIE's columns that a row has, and to (doc, c, l, r), the window that it is compared with."""
+    return rows.select(*ROW, F.col("to.doc").alias("to_doc"), (F.col("c") - F.col("to.c")).alias("diagonal"), F.col("to.l").alias("to_lo"), F.col("to.r").alias("to_hi"))
+
+
+def _ties(rows: DataFrame) -> DataFrame:
+    """Each window with the earliest one of its group, where that is another one."""
     earliest = F.min(F.struct("doc", "c", "l", "r")).over(Window.partitionBy("key"))
-    tied = keyed.withColumn("to", earliest).where("to.doc <> doc or to.c <> c")
-    return tied.select("doc", "f", "l", "c", "r", F.col("to.doc").alias("to_doc"), (F.col("c") - F.col("to.c")).alias("diagonal"), F.col("to.l").alias("to_lo"), F.col("to.r").alias("to_hi"))
+    return _tied(rows.withColumn("to", earliest).where("to.doc <> doc or to.c <> c"))
+
+
+def _more_ties(open_rows: DataFrame, ranked: DataFrame, low: int, high: int) -> DataFrame:
+    """Each open window with the members of its group at the places from ``low`` to ``high``; two open ones meet once."""
+    others = ranked.where(F.col("place").between(low, high)).select("key", F.struct("doc", "c", "l", "r").alias("to"), F.col("place").alias("to_place"))
+    is_open = open_rows.select("key", F.col("place").alias("to_place"), F.lit(True).alias("to_open"))
+    others = others.join(is_open, ["key", "to_place"], "left")
+    return _tied(open_rows.join(others, "key").where("to_place <> place and (to_open is null or to_place < place)"))
 
 
 def _fetched(least: int):
@@ -142,18 +170,21 @@ def alike(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list[t
 
 def _verified(least: int, similarity: float):
     spans = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+    beyond = pa.list_(pa.struct([("before", pa.int64()), ("after", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, to_doc, diagonal, lo, to_lo, one, two = (batch.column(i).to_pylist() for i in range(7))
-            out: list[list] = [[], []]
+            out: list[list] = [[], [], []]
             for x, y, p, q in zip(lo, to_lo, one, two, strict=True):
                 a, b = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
                 there, here = alike(a, b, least, similarity), alike(b, a, least, similarity)
                 both = bool(there and here)
                 for column, base, found in ((0, x, there), (1, y, here)):
                     out[column].append([{"begin": base + s, "end": base + e + SHINGLE} for s, e in found] if both else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out[0], spans), pa.array(out[1], spans)], names=["doc", "to_doc", "diagonal", "spans", "to_spans"])
+                # The shingle on either side of each span; -1 where the stretch ends.
+                out[2].append([{"before": int(a[s - 1]) if s else -1, "after": int(a[e + 1]) if e + 1 < len(a) else -1} for s, e in there] if both else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out[0], spans), pa.array(out[1], spans), pa.array(out[2], beyond)], names=["doc", "to_doc", "diagonal", "spans", "to_spans", "beyond"])
 
     return run
 
@@ -161,7 +192,7 @@ def _verified(least: int, similarity: float):
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY, functions: int = FUNCTIONS) -> DataFrame:
     """(doc, to_doc, spans, to_spans): passages of ``doc`` that ``to_doc`` has too, in words, end excluded.
 
-    Each passage is tied to the earliest place with it, not to all of them; that may be in the same document. Rows with a null id are left
+    Each passage is tied to the earliest place with it, not to all of them unless the earliest differs; that may be in the same document. Rows with a null id are left
     out here; rows that repeat an id are taken for one document.
     """
     tuned(docs.sparkSession)
@@ -169,32 +200,59 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     rows = need(docs, id_col, text_col).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     windows = rows.mapInArrow(_windows(least, functions), "doc bigint, f byte, v bigint, x bigint, l int, c int, r int")
     shared = windows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("f", "v"))).where("n > 1").drop("n")
-    still = materialized(shared, "windows")
+    members = materialized(_crowded(_keyed(shared)), "members")
     found = docs.sparkSession.createDataFrame([], FOUND)
-    for _ in range(ROUNDS):
-        ties = materialized(_ties(still), "ties")
-        # A run within a window reaches at most from its left to its right end; runs of one diagonal make one stretch.
-        merged = ties.groupBy("doc", "to_doc", "diagonal").agg(F.min("l").alias("lo"), F.max("r").alias("hi"), F.min("to_lo").alias("to_lo"), F.max("to_hi").alias("to_hi"))
-        low = F.greatest("lo", F.col("to_lo") + F.col("diagonal") - SLACK)
-        high = F.least("hi", F.col("to_hi") + F.col("diagonal") + SLACK)
-        merged = merged.withColumn("low", low).withColumn("high", high).where(F.col("high") - F.col("low") + 1 >= least)
-        merged = materialized(merged.select("doc", "to_doc", "diagonal", F.col("low").alias("lo"), F.col("high").alias("hi"), F.greatest("to_lo", F.col("low") - F.col("diagonal") - SLACK).alias("to_lo"), F.least("to_hi", F.col("high") - F.col("diagonal") + SLACK).alias("to_hi")), "merged")
-        wanted = merged.select("doc", "lo", "hi").union(merged.select("to_doc", "to_lo", "to_hi")).distinct().groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-        fetched = rows.join(wanted, "doc").select("doc", "text", "spans").mapInArrow(_fetched(least), "doc bigint, lo int, hi int, shingles binary").dropDuplicates(["doc", "lo", "hi"])
-        fetched = materialized(fetched, "fetched")
-        other = fetched.select(F.col("doc").alias("to_doc"), F.col("lo").alias("to_lo"), F.col("hi").alias("to_hi"), F.col("shingles").alias("to_shingles"))
-        pairs = merged.join(fetched, ["doc", "lo", "hi"]).join(other, ["to_doc", "to_lo", "to_hi"]).select("doc", "to_doc", "diagonal", "lo", "to_lo", "shingles", "to_shingles")
-        span = "array<struct<begin:int,end:int>>"
-        judged = materialized(pairs.mapInArrow(_verified(least, similarity), f"doc bigint, to_doc bigint, diagonal int, spans {span}, to_spans {span}"), "judged")
-        drop_table(fetched)
-        good = judged.where(F.size("spans") > 0).select("doc", "to_doc", "diagonal", "spans", "to_spans")
-        found = found.union(good.drop("diagonal"))
-        confirmed = ties.join(good.select("doc", "to_doc", "diagonal"), ["doc", "to_doc", "diagonal"], "left_semi").select("doc", "f", "c")
-        tied = ties.select("doc", "f", "c").distinct().join(confirmed, ["doc", "f", "c"], "left_anti")
-        still = materialized(still.join(tied, ["doc", "f", "c"], "left_semi"), "windows")
+    while not members.isEmpty():
+        ties, low, ranked, finer = materialized(_ties(members), "ties"), 2, None, None
+        while True:
+            good = _judged(rows, ties, least, similarity)
+            found = found.union(good.select("doc", "to_doc", "spans", "to_spans"))
+            # What the ties of each row came to: the stretches that it stands in, none if no tie is confirmed.
+            told = ties.select(*ROW, "to_doc", "diagonal").join(good.select("doc", "to_doc", "diagonal", F.arrays_zip("spans", "beyond").alias("stretches")), ["doc", "to_doc", "diagonal"])
+            told = told.select(*ROW, "to_doc", F.inline("stretches")).select(*ROW, "to_doc", F.col("spans.begin").alias("begin"), (F.col("spans.end") - SHINGLE).alias("last"), "beyond")
+            told = materialized(told.where("begin <= r and last >= l"), "told")
+            covered = told.where("begin <= l and last >= r").select("doc", "f", "c").distinct()
+            sides = F.array(F.when(F.col("begin") > F.col("l"), F.xxhash64("key", "to_doc", F.lit(0), "beyond.before")), F.when(F.col("last") < F.col("r"), F.xxhash64("key", "to_doc", F.lit(1), "beyond.after")))
+            further = told.join(covered, ["doc", "f", "c"], "left_anti").select(F.explode(sides).alias("key"), *ROW[1:]).where("key is not null").distinct()
+            finer = further if finer is None else finer.union(further)
+            if ranked is None:
+                still = ties.select(*ROW)
+                place = F.row_number().over(Window.partitionBy("key").orderBy("doc", "c", "l", "r"))
+            else:
+                still = open_rows
+            still = still.join(told.select("key", "doc", "f", "c").distinct(), ["key", "doc", "f", "c"], "left_anti").join(covered, ["doc", "f", "c"], "left_anti")
+            if ranked is None:
+                ranked = materialized(members.join(still.select("key").distinct(), "key", "left_semi").withColumn("place", place), "ranked")
+                still = ranked.join(still.select("key", "doc", "f", "c"), ["key", "doc", "f", "c"], "left_semi")
+                largest = ranked.agg(F.max("place")).first()[0] or 0
+            open_rows = materialized(still.select(*ROW, "place"), "open")
+            if low > largest or open_rows.isEmpty():
+                break
+            ties = materialized(_more_ties(open_rows, ranked, low, 2 * low - 1), "ties")
+            low *= 2
+        members = materialized(_crowded(finer.distinct()), "members")
     return found
 
 
+def _judged(rows: DataFrame, ties: DataFrame, least: int, similarity: float) -> DataFrame:
+    """(doc, to_doc, diagonal, spans, to_spans, beyond) of the ties that are confirmed."""
+    # A run within a window reaches at most from its left to its right end; runs of one diagonal make one stretch.
+    merged = ties.groupBy("doc", "to_doc", "diagonal").agg(F.min("l").alias("lo"), F.max("r").alias("hi"), F.min("to_lo").alias("to_lo"), F.max("to_hi").alias("to_hi"))
+    low = F.greatest("lo", F.col("to_lo") + F.col("diagonal") - SLACK)
+    high = F.least("hi", F.col("to_hi") + F.col("diagonal") + SLACK)
+    merged = merged.withColumn("low", low).withColumn("high", high).where(F.col("high") - F.col("low") + 1 >= least)
+    merged = materialized(merged.select("doc", "to_doc", "diagonal", F.col("low").alias("lo"), F.col("high").alias("hi"), F.greatest("to_lo", F.col("low") - F.col("diagonal") - SLACK).alias("to_lo"), F.least("to_hi", F.col("high") - F.col("diagonal") + SLACK).alias("to_hi")), "merged")
+    wanted = merged.select("doc", "lo", "hi").union(merged.select("to_doc", "to_lo", "to_hi")).distinct().groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    fetched = rows.join(wanted, "doc").select("doc", "text", "spans").mapInArrow(_fetched(least), "doc bigint, lo int, hi int, shingles binary").dropDuplicates(["doc", "lo", "hi"])
+    fetched = materialized(fetched, "fetched")
+    other = fetched.select(F.col("doc").alias("to_doc"), F.col("lo").alias("to_lo"), F.col("hi").alias("to_hi"), F.col("shingles").alias("to_shingles"))
+    pairs = merged.join(fetched, ["doc", "lo", "hi"]).join(other, ["to_doc", "to_lo", "to_hi"]).select("doc", "to_doc", "diagonal", "lo", "to_lo", "shingles", "to_shingles")
+    span = "array<struct<begin:int,end:int>>"
+    judged = materialized(pairs.mapInArrow(_verified(least, similarity), f"doc bigint, to_doc bigint, diagonal int, spans {span}, to_spans {span}, beyond array<struct<before:bigint,after:bigint>>").where(F.size("spans") > 0), "judged")
+    drop_table(fetched)
+    return judged
+
+
 FOUND = "doc bigint, to_doc bigint, spans array<struct<begin:int,end:int>>, to_spans array<struct<begin:int,end:int>>"
 
 

@@ -190,3 +190,14 @@ def test_passages_with_a_word_more_or_less(spark):
     least = substring.LEAST_WORDS - substring.SHINGLE + 1
     near = [i for i in range(0, 200, 2) if all(substring.alike(a, b, least, 0.8) for a, b in [[substring.shingles_of(docs[i + k][1].encode()) for k in (x, 1 - x)] for x in (0, 1)])]
     assert len(near) >= 90 and sum(got[i] == got[i + 1] for i in near) >= 0.97 * len(near)
+
+
+def test_families_around_a_common_phrase_all_meet(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    phrase, docs = [word() for _ in range(40)], []
+    for family in range(20):
+        passage = [word() for _ in range(6)] + phrase + [word() for _ in range(6)]
+        docs += [(2 * family + k, " ".join([word() for _ in range(40)] + passage + [word() for _ in range(40)])) for k in range(2)]
+    got = {r.doc_id: r for r in substring.repeated(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
+    assert all(got[i].class_id == got[i + 1].class_id == i and got[i].n_repeated == 52 for i in range(0, 40, 2))
