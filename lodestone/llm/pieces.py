@@ -386,11 +386,14 @@ class Pieces:
                 unit = units[place]
                 if unit.best in ruled_out:
                     odd[place], p = self.other_path(unit, random, ruled_out)
-                else:  # the best one is open still: draw until a path isn't ruled out
-                    path, p = unit.best, unit.p_best
-                    while random.random() >= unit.p_best and (drawn := self.other_path(unit, random, (unit.best,)))[0] not in ruled_out:
-                        path, p = drawn
-                        break
+                else:  # the best one is open still: draw the whole choice until it isn't ruled out
+                    while True:
+                        if random.random() < unit.p_best:
+                            path, p = unit.best, unit.p_best
+                        else:
+                            path, p = self.other_path(unit, random, (unit.best,))
+                        if path not in ruled_out:
+                            break
                     if path != unit.best:
                         odd[place] = path
                 logs = np.append(logs[:place], math.log(p))

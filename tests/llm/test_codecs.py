@@ -74,6 +74,21 @@ def test_samples_follow_the_distribution_without_replacement(vocabulary):
         assert weighed[path] / n == pytest.approx(p[path], abs=0.04)  # inclusion scores make the estimate unbiased
 
 
+def test_later_draws_from_a_unit_of_near_equal_paths():
+    vocabulary, text, n = pieces.Pieces(pieces.read_model(), 0.78), "rea", 6000
+    p = all_paths(vocabulary, text)
+    assert len(p) >= 3 and sorted(p.values())[-3] > 0.28
+    drawn = [Counter(), Counter(), Counter()]
+    for s in range(n):
+        for counter, x in zip(drawn, vocabulary.sampled(text, 3, np.random.default_rng([9, s]))[0], strict=True):
+            counter[tuple(x["ids"])] += 1
+    for path in p:
+        second = sum(p[a] * p[path] / (1 - p[a]) for a in p if a != path)
+        third = sum(p[a] * p[b] / (1 - p[a]) * p[path] / (1 - p[a] - p[b]) for a in p for b in p if len({a, b, path}) == 3)
+        for counter, want in zip(drawn, (p[path], second, third), strict=True):
+            assert counter[path] / n == pytest.approx(want, abs=0.02)
+
+
 def test_short_texts_have_few_segmentations(vocabulary):
     found, threshold = vocabulary.sampled("ab", 50, np.random.default_rng(1))
     assert {tuple(x["ids"]) for x in found} == set(all_paths(vocabulary, "ab")) and threshold == -math.inf
