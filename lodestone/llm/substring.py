@@ -214,6 +214,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
             covered = told.where("begin <= l and last >= r").select("doc", "f", "c").distinct()
             sides = F.array(F.when(F.col("begin") > F.col("l"), F.xxhash64("key", "to_doc", F.lit(0), "beyond.before")), F.when(F.col("last") < F.col("r"), F.xxhash64("key", "to_doc", F.lit(1), "beyond.after")))
             further = told.join(covered, ["doc", "f", "c"], "left_anti").select(F.explode(sides).alias("key"), *ROW[1:]).where("key is not null").distinct()
+            further = materialized(further, "finer")
             finer = further if finer is None else finer.union(further)
             if ranked is None:
                 still = ties.select(*ROW)
@@ -226,11 +227,16 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                 still = ranked.join(still.select("key", "doc", "f", "c"), ["key", "doc", "f", "c"], "left_semi")
                 largest = ranked.agg(F.max("place")).first()[0] or 0
             open_rows = materialized(still.select(*ROW, "place"), "open")
+            drop_table(ties)
+            drop_table(told)
             if low > largest or open_rows.isEmpty():
                 break
             ties = materialized(_more_ties(open_rows, ranked, low, 2 * low - 1), "ties")
             low *= 2
+        drop_table(ranked)
+        drop_table(members)
         members = materialized(_crowded(finer.distinct()), "members")
+        drop_table(finer)
     return found
 
 
@@ -250,6 +256,7 @@ def _judged(rows: DataFrame, ties: DataFrame, least: int, similarity: float) ->
     span = "array<struct<begin:int,end:int>>"
     judged = materialized(pairs.mapInArrow(_verified(least, similarity), f"doc bigint, to_doc bigint, diagonal int, spans {span}, to_spans {span}, beyond array<struct<before:bigint,after:bigint>>").where(F.size("spans") > 0), "judged")
     drop_table(fetched)
+    drop_table(merged)
     return judged
 
 

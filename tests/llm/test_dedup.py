@@ -201,3 +201,15 @@ def test_families_around_a_common_phrase_all_meet(spark):
         docs += [(2 * family + k, " ".join([word() for _ in range(40)] + passage + [word() for _ in range(40)])) for k in range(2)]
     got = {r.doc_id: r for r in substring.repeated(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
     assert all(got[i].class_id == got[i + 1].class_id == i and got[i].n_repeated == 52 for i in range(0, 40, 2))
+
+
+def test_longer_partner_after_a_shorter_first_one(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    docs = []
+    for family in range(40):
+        passage = [word() for _ in range(60)]
+        for k in range(3):  # the first has 50 of the 60 words only
+            docs.append((3 * family + k, " ".join([word() for _ in range(40)] + passage[: 60 if k else 50] + [word() for _ in range(40)])))
+    got = {r.doc_id: r.n_repeated for r in substring.repeated(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == {i: 60 if i % 3 else 50 for i in range(120)}
