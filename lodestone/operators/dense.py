@@ -28,8 +28,11 @@ def check_dimensions(vectors: DataFrame, vector_col: str = "vector") -> int:
     return sizes[0] if sizes else 0
 
 
-def _nearest(queries: list[tuple], metric: str):
-    """Per partition, each query's ``depth`` nearest vectors: a bounded number of rows, whatever the partition's size."""
+def _nearest(queries: list[tuple], metric: str, looked: list[np.ndarray] | None = None):
+    """Per partition, each query's ``depth`` nearest vectors: a bounded number of rows, whatever the partition's size.
+
+    looked: of each query, the cells that it looks into; a row's cell is its fifth column then.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple]] = [[] for _ in queries]
@@ -41,10 +44,13 @@ def _nearest(queries: list[tuple], metric: str):
             if metric == "cosine":
                 lengths = np.sqrt((block**2).sum(1))
                 block = block / np.where(lengths == 0, 1, lengths)[:, None]
+            cell_of = None if looked is None else batch.column(4).to_numpy(zero_copy_only=False)
             domain_of = np.array([d or "" for d in domains], object)
             for at, (_, scope, depth, vector) in enumerate(queries):
                 distance = 1 - block @ vector if metric == "cosine" else ((block - vector) ** 2).sum(1)
                 inside = np.nonzero(domain_of == scope)[0] if scope != "*" else np.arange(len(block))
+                if looked is not None:
+                    inside = inside[looked[at][cell_of[inside]]]
                 pick = inside[np.lexsort((np.array(ords)[inside], np.round(distance[inside], 9)))[:depth]]
                 merged = best[at] + [(round(float(distance[i]), 9), ords[i], ids[i], float(distance[i])) for i in pick.tolist()]
                 best[at] = sorted(merged, key=lambda x: x[:2])[:depth]
@@ -55,11 +61,12 @@ def _nearest(queries: list[tuple], metric: str):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, metric: str = "l2") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, metric: str = "l2", looked: dict[tuple, np.ndarray] | None = None) -> DataFrame:
     """(query_id, scope, chunk_ord, id, distance, rank): exact neighbours by squared L2 or cosine distance, ties by chunk_ord.
 
     vectors: chunk_ord, id, domain, vector. queries: query_id, scope, depth, vector; a stated set, sent to the tasks in blocks
     of ``QUERY_BLOCK``. Each task keeps only its nearest, so one small shuffle by query ends the search.
+    looked: by (query_id, scope), whether it looks into each cell; the vectors have a column cell then.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError("metric is l2 or cosine")
@@ -68,11 +75,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, metric: str = "l2") -> DataF
         v = np.array(r.vector, np.float64)
         length = np.sqrt((v**2).sum())
         asked.append((r.query_id, r.scope, r.depth, v / (length or 1) if metric == "cosine" else v))
-    rows = vectors.select(F.col("chunk_ord").cast("bigint"), F.col("id").cast("string"), "domain", "vector")
+    rows = vectors.select(F.col("chunk_ord").cast("bigint"), F.col("id").cast("string"), "domain", "vector", *([] if looked is None else ["cell"]))
     schema = "query_id bigint, scope string, chunk_ord bigint, id string, distance double"
     found = None
     for at in range(0, max(1, len(asked)), QUERY_BLOCK):
-        part = rows.mapInArrow(_nearest(asked[at : at + QUERY_BLOCK], metric), schema)
+        block = asked[at : at + QUERY_BLOCK]
+        part = rows.mapInArrow(_nearest(block, metric, None if looked is None else [looked[x[:2]] for x in block]), schema)
         found = part if found is None else found.union(part)
     depths = queries.select("query_id", "scope", F.col("depth").alias("_depth"))
     order = Window.partitionBy("query_id", "scope").orderBy(F.round("distance", 9), "chunk_ord")
@@ -94,13 +102,45 @@ def with_cells(vectors: DataFrame, n_cells: int | None = None, seed: int = 1) ->
     return model.transform(rows).drop("features"), np.array(model.clusterCenters())
 
 
+def radii(cells: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """Of each cell, the largest distance of one of its vectors, at length 1, from its centre; -1 for an empty cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far = np.full(len(centres), -1.0)
+        for batch in batches:
+            if batch.num_rows:
+                block, of = np.array(batch.column(0).to_pylist(), np.float64), batch.column(1).to_numpy(zero_copy_only=False)
+                lengths = np.sqrt((block**2).sum(1))
+                block = block / np.where(lengths == 0, 1, lengths)[:, None]
+                np.maximum.at(far, of, np.sqrt(((block - centres[of]) ** 2).sum(1)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centres), dtype=np.int32)), pa.array(far)], names=["cell", "far"])
+
+    out = np.full(len(centres), -1.0)
+    for r in cells.select("vector", "cell").mapInArrow(run, "cell int, far double").groupBy("cell").agg(F.max("far").alias("far")).collect():
+        out[r.cell] = r.far
+    return out
+
+
 def probed(cells: DataFrame, centres: np.ndarray, queries: DataFrame, n_probe: int = 8, metric: str = "cosine") -> DataFrame:
-    """Like ``nearest``, looking only into the ``n_probe`` cells whose centres are nearest to each query."""
-    found = None
-    for r in queries.select("query_id", "scope", "depth", "vector").toLocalIterator():
+    """Like ``nearest``, looking only into the cells that can hold one of a query's neighbours.
+
+    The ``n_probe`` cells whose centres are nearest to each query come first. At length 1 the vectors of a cell lie within its
+    radius of its centre, so a cell can be left out if that keeps all of them farther away than the last neighbour so far; all
+    other cells are looked into. No neighbour is lost, whatever the number of cells. Only cosine allows that: other metrics
+    look into every cell.
+    """
+    if metric != "cosine":
+        return nearest(cells, queries, metric)
+    away = {}
+    for r in queries.select("query_id", "scope", "vector").toLocalIterator():
         v = np.array(r.vector, np.float64)
         v = v / (np.sqrt((v**2).sum()) or 1)
-        chosen = np.argsort(((centres - v) ** 2).sum(1))[:n_probe].tolist()
-        part = nearest(cells.where(F.col("cell").isin(chosen)), queries.where(F.col("query_id") == r.query_id), metric)
-        found = part if found is None else found.union(part)
-    return found
+        away[r.query_id, r.scope] = np.sqrt(((centres - v) ** 2).sum(1))
+    start = {q: np.isin(np.arange(len(centres)), np.argsort(x)[:n_probe]) for q, x in away.items()}
+    begun = nearest(cells, queries, metric, start).groupBy("query_id", "scope").agg(F.max("distance").alias("last"), F.count(F.lit(1)).alias("n"))
+    depths = queries.select("query_id", "scope", "depth").distinct()
+    last = {(r.query_id, r.scope): r.last for r in begun.join(depths, ["query_id", "scope"]).where("n >= depth").collect()}
+    radius = radii(cells, centres)
+    # At length 1 a cosine distance d is an L2 distance of sqrt(2 d); a little more for rounding and ties.
+    looked = {q: (radius >= 0) & (x - radius <= (np.sqrt(2 * max(0.0, last[q]) + 1e-8) + 1e-8 if q in last else np.inf)) for q, x in away.items()}
+    return nearest(cells, queries, metric, looked)

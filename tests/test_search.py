@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.engine import Engine, build_index
 from lodestone.functions.scoring import SearchSettings
 from lodestone.operators import bm25, chunks, dense, search
+from lodestone.plans import catalog
 from lodestone.sources.embedding import backend
 
 ROWS = [
@@ -78,6 +79,23 @@ def test_cells_find_most_neighbours(spark):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_few_probes_lose_no_neighbour(spark):
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(600, 16))
+    frame = spark.createDataFrame([(i, str(i), "ab"[i % 2], p.tolist()) for i, p in enumerate(points)], "chunk_ord bigint, id string, domain string, vector array<double>")
+    queries = spark.createDataFrame([(i, "*" if i % 40 else "a", 10, points[i].tolist()) for i in range(0, 600, 20)], "query_id bigint, scope string, depth int, vector array<double>")
+    cells, centres = dense.with_cells(frame)
+    exact = {(r.query_id, r.id, r["rank"]) for r in dense.nearest(frame, queries, "cosine").collect()}
+    assert {(r.query_id, r.id, r["rank"]) for r in dense.probed(cells, centres, queries, 2).collect()} == exact
+
+
+def test_cells_are_asked_for_every_twentieth_vector(spark):
+    d = "/root/testdata/sf0.001"
+    rows = catalog.QUERIES["ann_cells"](spark, d).collect()
+    ids = {r.vec_id for r in spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    assert {r.query_id for r in rows} == ids and len(rows) == 10 * len(ids)
+
+
 @pytest.mark.parametrize(("n", "cells"), [(3, 1), (32, 8), (100, 10), (33, 8), (10**6, 256)])
 def test_cell_count(n, cells):
     assert dense.cell_count(n) == cells
