@@ -47,7 +47,7 @@ EDGES, UNITS = 3_000_000, 300_000
 #: Texts encoded together: rows, and characters unless one text has more.
 ROWS, CHARS = 200, 500_000
 #: Cells of (unit, end, edge) that are worked on at once.
-CELLS = 1 << 17
+CELLS = 1 << 15
 
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 HASH_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -182,16 +182,16 @@ class Units:
         active, steps, counts = np.arange(len(nodes)), [], np.zeros(len(nodes), np.int64)
         while len(active):
             u = uniform(stream + PLACE * np.array([len(steps)], np.uint64))
-            edge = self.first[nodes]
-            over = np.nonzero(u >= self.till[edge])[0]
+            edge = self.first.take(nodes)
+            over = np.nonzero(u >= self.till.take(edge))[0]
             while len(over):
                 edge[over] += 1
-                over = over[u[over] >= self.till[edge[over]]]
+                over = over[u.take(over) >= self.till.take(edge.take(over))]
             steps.append((active, edge))
             counts[active] += 1
-            nodes = self.before[edge]
+            nodes = self.before.take(edge)
             more = np.nonzero(nodes >= 0)[0]
-            active, nodes, stream = active[more], nodes[more], stream[more]
+            active, nodes, stream = active.take(more), nodes.take(more), stream.take(more)
         at = np.cumsum(counts) - counts
         out = np.empty(int(counts.sum()), np.int32)
         for step, (which, edge) in enumerate(steps):
@@ -340,9 +340,11 @@ class Pieces:
         return out
 
     def byte_edge(self, char: str) -> tuple[int, float]:
-        """(number, weight) of the edge of a character without a piece: its bytes."""
+        """(number, weight) of the edge of a character without a piece: its only byte, or a number below 0 for its bytes."""
         raw = (SPACE if char == "\ud800" else char).encode("utf-8", "replace")
-        if (number := self.byte_run.get(char)) is None:
+        if len(raw) == 1:
+            number = self.bytes[raw[0]]
+        elif (number := self.byte_run.get(char)) is None:
             self.byte_runs.append(tuple(self.bytes[b] for b in raw))
             number = self.byte_run[char] = -len(self.byte_runs)
         return number, self.byte_weight ** len(raw)
@@ -362,13 +364,14 @@ class Pieces:
         g, width = len(units), min(n, self.longest)
         places = coded.starts[units][:, None] + np.arange(n + 1)
         sums, up = coded.sums[places], coded.up[places[:, :-1]]
-        piece = np.zeros((g, n, width), np.int32)  # places in ``id_at``; below 0 the bytes of a character
+        piece = np.zeros((g, n, width), np.int32)  # places in ``id_at``, or below 0 places in ``odd``
+        odd = [0]
         for size in range(1, width + 1):
             h = mixed((sums[:, size:] - sums[:, :-size]) * up[:, size - 1 :])
             slot = (h >> SLOT_SHIFT).astype(np.int64)
-            there = self.known[slot]
+            there = self.known.take(slot)
             hit = there == h
-            piece[:, size - 1 :, width - size] = np.where(hit, self.known_place[slot], 0)
+            piece[:, size - 1 :, width - size] = np.where(hit, self.known_place.take(slot), 0)
             again = np.nonzero((there != 0) & ~hit)
             slot, h = slot[again], h[again]
             while len(h):
@@ -378,9 +381,11 @@ class Pieces:
                 piece[again[0][hit], again[1][hit] + size - 1, width - size] = self.known_place[slot[hit]]
                 more = (there != 0) & ~hit
                 slot, h, again = slot[more], h[more], (again[0][more], again[1][more])
-        weight = self.weight_at[piece]
+        weight = self.weight_at.take(piece)
         for unit, end in zip(*(x.tolist() for x in np.nonzero(piece[:, :, -1] == 0)), strict=True):
-            piece[unit, end, -1], weight[unit, end, -1] = self.byte_edge(chr(coded.codes[places[unit, end]]))
+            made, weight[unit, end, -1] = self.byte_edge(chr(coded.codes[places[unit, end]]))
+            piece[unit, end, -1] = -len(odd)
+            odd.append(made)
         # ahead: the summed weight of all paths to a node; weight becomes the weight of the paths that come over an edge.
         ahead = np.zeros((g, width + n))
         ahead[:, width - 1] = 1.0
@@ -392,7 +397,7 @@ class Pieces:
         share = weight.ravel()[at] / ahead[:, width:].ravel()[node]
         counts = np.bincount(node, minlength=g * n)
         number = piece.ravel()[at]
-        number = np.where(number > 0, self.id_at[np.maximum(number, 0)], number)
+        number = np.where(number > 0, self.id_at[np.maximum(number, 0)], np.array(odd, np.int32)[np.maximum(-number, 0)])
         return coded.keys[units], np.full(g, n), counts, share, node % n - (width - edge), number
 
     def _long(self, coded: Coded, units: np.ndarray) -> tuple:
@@ -472,7 +477,7 @@ class Pieces:
             till = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
             everything = [np.concatenate([x.edges, drawn[a:b]]) if len(x.edges) else drawn[a:b] for x, a, b in zip(opened, till, till[1:], strict=False)]
             flat = np.concatenate(everything)
-            log_p, ids = units.log_p[flat], units.id[flat]
+            log_p, ids = units.log_p.take(flat), units.id.take(flat)
             at = np.cumsum([0, *map(len, everything)]).tolist()
             sets = self._next_sets(opened, everything, log_p, at, mixed(streams[which] + PLACE), k + 1)
             for x, edges, a, b, more in zip(opened, everything, at, at[1:], sets, strict=False):
