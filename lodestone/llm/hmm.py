@@ -2,11 +2,13 @@
 
 Words are counted over all training documents. The ``SYMBOLS`` most frequent ones and the end of a text are symbols of
 the model; every other word is emitted as one of ``CLASSES`` ending classes and then drawn within its class by the
-add-one rule, so every text has a proper probability. Each Baum-Welch round reads all training texts: every
-partition sums its expected counts, and only those sums (states x symbols, a fixed size) meet. Texts are scored whole
-by the scaled forward recursion, many at a time.
+add-one rule, so every text has a proper probability. Each Baum-Welch round reads all training texts whole: every
+partition sums its expected counts, and only those sums (states x symbols, a fixed size) meet. Texts are learned from and
+scored by the scaled forward recursion, many of like length at a time; of texts too long for that the states at the
+borders of stretches are kept, and each stretch is gone through again on the way back, so counts are those of whole texts.
 
-Word counts are a table, however many words there are. Each task gets the counts of the ``HOT`` most frequent words (a
+Word counts are a table, however many words there are. They are summed as packed arrays: each task sends its counts by
+buckets of keys, a row for a bucket, and each bucket is added up by itself. Each task gets the counts of the ``HOT`` most frequent words (a
 fixed size); what is left of a document, its rare words, meets the table of counts in a join on 64-bit word keys.
 No key of that join is frequent, as the frequent ones never enter it.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,10 @@ from lodestone.llm.wordhash import space_words
 SYMBOLS, CLASSES, HOT = 2048, 256, 1 << 18
 END = SYMBOLS
 SIZE = SYMBOLS + 1 + CLASSES
-#: Training texts are cut into pieces of so many tokens; scoring never cuts.
-PIECE, TOGETHER = 512, 2000
+#: Words that a task counts before it sends their counts; buckets of keys at least; cells (tokens of texts gone through together).
+FLUSH, BUCKETS, CELLS = 1_000_000, 256, 1 << 19
+#: Baum-Welch ends before its last round if the log likelihood grows by less than this share.
+TOLERANCE = 1e-4
 
 
 def word_keys(words: list[bytes]) -> np.ndarray:
@@ -46,20 +51,24 @@ def word_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % CLASSES
 
 
-def _counted(flush_at: int = 1_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _counted(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of (bucket, its keys, their counts and classes, packed)."""
+
     def rows(counts: Counter) -> Iterator[pa.RecordBatch]:
         words = list(counts)
         keys, n, classes = word_keys(words), np.fromiter(counts.values(), np.int64, len(words)), np.fromiter(map(word_class, words), np.int16, len(words))
-        for at in range(0, len(words), 100_000):
-            part = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(n[part]), pa.array(classes[part])], names=["key", "n", "class"])
+        bucket = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        there, first = np.unique(bucket[order], return_index=True)
+        parts = [np.split(x[order], first[1:]) for x in (keys, n, classes)] if len(there) else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(there), *(pa.array([x.tobytes() for x in part], pa.binary()) for part in parts)], names=["bucket", "keys", "n", "classes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 counts.update(space_words(text))
-            if len(counts) > flush_at:
+            if len(counts) > FLUSH:
                 yield from rows(counts)
                 counts.clear()
         yield from rows(counts)
@@ -67,13 +76,29 @@ def _counted(flush_at: int = 1_000_000) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bucket's counts added up by key."""
+    parts: list[list[np.ndarray]] = [[], [], []]
+    for batch in batches:
+        for out, column, kind in zip(parts, (1, 2, 3), (np.int64, np.int64, np.int16), strict=True):
+            out += [np.frombuffer(x, kind) for x in batch.column(column).to_pylist()]
+    keys, n, classes = map(np.concatenate, parts)
+    order = np.argsort(keys, kind="stable")
+    keys, n, classes = keys[order], n[order], classes[order]
+    first = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
+    for at in range(0, len(first), 50_000):
+        part, upto = first[at : at + 50_000], first[at + 50_000] if at + 50_000 < len(first) else len(keys)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(np.add.reduceat(n[:upto], part)), pa.array(classes[part])], names=["key", "n", "class"])
+
+
 class Vocabulary:
     """Word counts of the training documents: a table of all, and what tasks need of them in bounded size."""
 
     def __init__(self, train: DataFrame, text_col: str):
         spark = train.sparkSession
-        pairs = train.select(text_col).mapInArrow(_counted(), "key bigint, n bigint, class smallint")
-        self.table = materialized(pairs.groupBy("key").agg(F.sum("n").alias("n"), F.min("class").alias("class")), "vocabulary")
+        buckets = max(BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+        packed = train.select(text_col).mapInArrow(_counted(buckets), "bucket int, keys binary, n binary, classes binary")
+        self.table = materialized(packed.groupBy("bucket").applyInArrow(_added, "key bigint, n bigint, class smallint"), "vocabulary")
         self.texts = train.count()
         totals = self.table.agg(F.count(F.lit(1)), F.sum("n")).first()
         self.distinct, self.tokens = totals[0] + bool(self.texts), (totals[1] or 0) + self.texts
@@ -204,53 +229,74 @@ def forward(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected(model: Model, texts: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
-    """Adds the texts' expected counts to the three arrays (scaled forward and backward); gives their log likelihood."""
+def expected(model: Model, texts: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, cells: int = CELLS) -> float:
+    """Adds the texts' expected counts to the three arrays (scaled forward and backward); gives their log likelihood.
+
+    The states of ``cells`` tokens are kept at a time: of longer texts the ones at the borders of stretches, from which a
+    stretch is gone through again when its turn comes on the way back.
+    """
     table, going, _ = _padded(texts)
     steps, width, k = len(going), len(texts), len(model.start)
-    seen = model.emit[table]  # steps x texts x states
-    ahead, scales = np.zeros((steps, width, k)), np.ones((steps, width))
-    for t, n in enumerate(going):
-        state = (model.start if t == 0 else ahead[t - 1, :n] @ model.move) * seen[t, :n]
-        scales[t, :n] = state.sum(1)
-        ahead[t, :n] = state / scales[t, :n, None]
-    back = np.ones((width, k))
-    weights = np.zeros((steps, width, k))
-    for t in range(steps - 1, -1, -1):
+    stretch = max(1, cells // width)
+
+    def step(t: int, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         n = going[t]
-        weights[t, :n] = ahead[t, :n] * back[:n]
-        if t:
-            arriving = seen[t, :n] * back[:n] / scales[t, :n, None]
-            move += ahead[t - 1, :n].T @ arriving * model.move
-            back[:n] = arriving @ model.move.T
-    start += weights[0].sum(0)
-    there = np.arange(width)[None, :] < going[:, None]
-    flat = table[there]
-    for state in range(k):
-        emit[:, state] += np.bincount(flat, weights=weights[:, :, state][there], minlength=len(emit))
-    return float(np.log(scales[there]).sum())
+        state = (model.start if t == 0 else state[:n] @ model.move) * model.emit[table[t, :n]]
+        scale = state.sum(1)
+        return state / scale[:, None], scale
+
+    borders, state = [None], None
+    for begin in range(0, steps - stretch, stretch):
+        for t in range(begin, begin + stretch):
+            state, _ = step(t, state)
+        borders.append(state)
+    total, back = 0.0, np.ones((width, k))
+    for number in range(len(borders) - 1, -1, -1):
+        begin, end = number * stretch, min((number + 1) * stretch, steps)
+        ahead, scales = np.zeros((end - begin, going[begin], k)), np.ones((end - begin, going[begin]))
+        state = borders[number]
+        for t in range(begin, end):
+            state, scales[t - begin, : going[t]] = step(t, state)
+            ahead[t - begin, : going[t]] = state
+        weights = np.zeros_like(ahead)
+        for t in range(end - 1, begin - 1, -1):
+            n = going[t]
+            weights[t - begin, :n] = ahead[t - begin, :n] * back[:n]
+            if t:
+                arriving = model.emit[table[t, :n]] * back[:n] / scales[t - begin, :n, None]
+                move += (ahead[t - begin - 1, :n] if t > begin else borders[number][:n]).T @ arriving * model.move
+                back[:n] = arriving @ model.move.T
+            else:
+                start += weights[0].sum(0)
+        there = np.arange(going[begin])[None, :] < going[begin:end, None]
+        flat = table[begin:end, : going[begin]][there]
+        for i in range(k):
+            emit[:, i] += np.bincount(flat, weights=weights[:, :, i][there], minlength=len(emit))
+        total += float(np.log(scales[there]).sum())
+    return total
 
 
 def _symbols(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint16)
 
 
-def _gathered(model: Model):
-    """One row for each partition: its expected counts and log likelihood, as one array."""
+def _gathered(model: Model, tokens: int = 4_000_000):
+    """One row for each partition: its expected counts and log likelihood, as one array. Texts are gathered up to so many
+    tokens, so that those alike in length go together."""
     k, size = len(model.start), len(model.emit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0
-        pieces: list[np.ndarray] = []
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                text = _symbols(data)
-                pieces += [text[at : at + PIECE] for at in range(0, len(text), PIECE)]
-            while len(pieces) >= TOGETHER:
-                total += expected(model, pieces[:TOGETHER], start, move, emit)
-                del pieces[:TOGETHER]
-        if pieces:
-            total += expected(model, pieces, start, move, emit)
+        texts: list[np.ndarray] = []
+        gathered = 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                texts += [_symbols(data) for data in batch.column(0).to_pylist()]
+                gathered += sum(map(len, texts[len(texts) - batch.num_rows :]))
+            if gathered >= tokens or batch is None:
+                for group in groups(texts, CELLS):
+                    total += expected(model, [texts[i] for i in group], start, move, emit)
+                texts, gathered = [], 0
         everything = np.concatenate([start, move.ravel(), emit.ravel(), [total]])
         yield pa.RecordBatch.from_arrays([pa.array([everything.tolist()], pa.list_(pa.float64()))], names=["sums"])
 
@@ -258,7 +304,8 @@ def _gathered(model: Model):
 
 
 def baum_welch(encoded: DataFrame, frequencies: np.ndarray, states: int = 6, rounds: int = 4, seed: int = 7) -> tuple[Model, list[float]]:
-    """The model after ``rounds`` passes over all rows of ``encoded`` (symbols: binary), and the log likelihood before each."""
+    """The model after ``rounds`` passes at most over all rows of ``encoded`` (symbols: binary), and the log likelihood before
+    each; no more passes once a round has changed it by less than ``TOLERANCE`` of it."""
     model, likelihoods = Model.initial(frequencies, states, seed), []
     size = len(frequencies)
     for _ in range(rounds):
@@ -266,6 +313,8 @@ def baum_welch(encoded: DataFrame, frequencies: np.ndarray, states: int = 6, rou
         flat = np.zeros(states + states * states + size * states + 1)  # a fixed size, whatever the corpus
         flat[sums["at"].to_numpy()] = sums["x"].to_numpy()
         likelihoods.append(float(flat[-1]))
+        if len(likelihoods) > 1 and abs(likelihoods[-1] - likelihoods[-2]) <= TOLERANCE * abs(likelihoods[-1]):
+            break
         a, b = states, states + states * states
         model = Model.from_counts(flat[:a], flat[a:b].reshape(states, states), flat[b:-1].reshape(size, states), frequencies)
     return model, likelihoods
