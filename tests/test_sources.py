@@ -220,3 +220,17 @@ def test_links_by_a_model(spark):
     assert [(r.id, r.topic_ids, r.relevance, r.summary) for r in chat.linked_by_model(code, topics, Echo()).collect()] == [("e1", ["t1"], 0.9, "s")]
     answers = spark.createDataFrame([(' {"a": 1} ',), ("x ```\n[1]\n``` y",), ("```json\n```",)], "x string")
     assert [r[0] for r in answers.select(chat.json_text(F.col("x"))).collect()] == ['{"a": 1}', "[1]", ""]
+
+
+def test_markdown_of_odd_pages():
+    nested = "<table><tr><td>a<table><tr><td>b</td></tr></table></td><td>c</td></tr></table>"
+    assert markup.page_markdown(nested) == "| a b | b | c |\n| --- | --- | --- |\n| b |"
+    assert markup.page_markdown("<div>x<script>no</script> <em>y</em></div><ul><li>one <b>two</b> <a>three</a><ul><li>four</li></ul></ul>") == "x y- one **two** threefour"
+    assert markup.page_markdown("<p>open<h3>next") == "open\n\n### next"
+
+
+def test_entries_are_found_by_the_ends_of_names(spark):
+    pages = spark.createDataFrame([("f", "x/first.html"), ("f", "x/a-very-long-name.html"), ("f", "none.html"), ("f", "")], "file string, html_path string")
+    entries = spark.createDataFrame([("f", "y/zfirst.html", ""), ("f", "afirst.html", ""), ("f", "q/some-a-very-long-name.html", ""), ("g", "none.html", "")], "file string, entry string, html string")
+    got = {r.html_path: r.entry for r in help_book.resolved_entries(pages, entries).collect()}
+    assert got == {"x/first.html": "afirst.html", "x/a-very-long-name.html": "q/some-a-very-long-name.html", "none.html": None, "": None}
