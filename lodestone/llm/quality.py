@@ -1,15 +1,16 @@
 """Quality rules with risk-controlled thresholds.
 
 Each rule is a rate of a document, and a document breaks it above a cutoff. Labelled documents that nothing else was
-fitted on choose the cutoffs, per stratum and rule, from a grid fixed in advance: going from the loosest cutoff to
-tighter ones, each is certified if an exact binomial test shows that it rejects at most ``risk / rules`` of the good
-documents, and the first failure ends the walk (fixed-sequence testing, so the grid costs no further correction).
-The level of each walk is ``delta`` divided by strata times rules (Bonferroni). So, with probability
-``1 - delta`` over the labelled rows, all rules together reject at most ``risk`` of the good documents of every stratum.
-Among the certified cutoffs the one with the largest gain is taken, the loosest of equals: the share of bad documents
-rejected less ``COST`` times the share of good ones. Without a gain the rule is off. Only documents that pass the
-base rules count, as the others go anyway. A stratum with too few labels
-to certify anything rejects nothing.
+fitted on choose the cutoffs of all rules together, per stratum ("learn, then test"). They are dealt into two parts by a hash of
+their ids. On one part a path is grown: of all rules and cutoffs, the one that adds most goes on next, where what it adds is
+the share of bad documents that it rejects and no earlier one did, less ``COST`` times that of the good ones, until nothing
+adds. The other part tests the path from its beginning: a step is certified if an exact binomial test shows that all
+rules so far together reject at most ``risk`` of the good documents, and the first failure ends the walk (a fixed sequence, so
+its length costs no correction). The level is ``delta`` over the strata that have labels enough to certify anything
+(Bonferroni). So, with probability ``1 - delta`` over the labelled rows, the rules together reject at most ``risk`` of
+the good documents of every stratum. Among the certified steps the one with the largest gain is taken, the first of equals.
+Only documents that pass the base rules count, as the others go anyway. A stratum with too few labels to certify
+anything rejects nothing beyond the base rules.
 """
 
 from __future__ import annotations
@@ -142,28 +143,84 @@ def _broken() -> Column:
     return F.array_compact(F.array(*[F.when(_rate(rule) > F.col("cutoffs")[rule], F.lit(rule)) for rule in RULES]))
 
 
+#: Stands for a rule that is off: more than any number of cutoffs.
+OFF = 1 << 20
+
+
+def grown(alive: dict[tuple[str, int, bool], int], n_good: int, n_bad: int) -> tuple[str, int] | None:
+    """(rule, how many cutoffs of its grid may be broken) that adds most, the loosest of equals; None if none adds.
+
+    alive: of the documents not rejected so far, how many break how many of a rule's cutoffs: by (rule, broken, good).
+    """
+    best, choice = 1e-12, None
+    for rule, (_, _, grid) in RULES.items():
+        for most in range(len(grid) - 1, -1, -1):  # who breaks more than so many of the tightest cutoffs breaks the next looser one
+            false, true = (sum(alive.get((rule, n, good), 0) for n in range(most + 1, len(grid) + 1)) for good in (True, False))
+            gain = true / max(n_bad, 1) - COST * false / max(n_good, 1)
+            if gain > best + 1e-12:
+                best, choice = gain, (rule, most)
+    return choice
+
+
+def certifiable(n_good: dict[str, int], risk: float, delta: float) -> tuple[set[str], float]:
+    """The strata with good documents enough to certify that none rejected means a risk below ``risk``, and the level for each."""
+    strata = set(n_good)
+    while strata:
+        level = delta / len(strata)
+        enough = {x for x in strata if binomial_tail(n_good[x], 0, risk) <= level}
+        if enough == strata:
+            return strata, level
+        strata = enough
+    return set(), delta
+
+
 def thresholds(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", risk: float = 0.05, delta: float = 0.05) -> DataFrame:
     """(stratum, rule, cutoff double) for the rules that are on.
 
-    labels: (id, label): 1 is good, 0 is bad, null is no label. An id labelled both ways counts as good.
+    labels: (id, label): 1 is good, 0 is bad, null is no label. An id labelled both ways counts as good. All labelled
+    rows take part; the driver gets counts by stratum, rule and cutoff only.
     """
+    spark = rows.sparkSession
     marks = need(labels, id_col, label_col).where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("good"))
     known = rows.where(~_base_failed()).join(marks, "id")
-    n_strata = max(1, known.select("stratum").distinct().count())
-    level = delta / (n_strata * len(RULES))
-    broken = [F.struct(F.lit(rule).alias("rule"), _n_broken(rule).alias("broken")) for rule in RULES]
-    tally = known.select("stratum", "good", F.inline(F.array(*broken))).groupBy("stratum", "rule", "broken").agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") != 1).alias("bad"))
-    each = tally.groupBy("stratum", "rule").agg(F.collect_list(F.struct("broken", "good", "bad")).alias("tally"))  # a row for each cutoff at most
-
-    @F.udf("double")
-    def cutoff(rule, tally):
-        grid = RULES[rule][2]
-        good, bad = [0] * (len(grid) + 1), [0] * (len(grid) + 1)
-        for x in tally:
-            good[x["broken"]], bad[x["broken"]] = x["good"], x["bad"]
-        return chosen_cutoff(grid, good, bad, risk / len(RULES), level)
-
-    return each.select("stratum", "rule", cutoff("rule", "tally").alias("cutoff")).where("cutoff is not null")
+    broken = {rule: f"broken{i}" for i, rule in enumerate(RULES)}
+    vectors = known.select("stratum", (F.col("good") == 1).alias("good"), (F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(2)) == 1).alias("testing"), *[_n_broken(r).alias(c) for r, c in broken.items()])
+    vectors = materialized(vectors.groupBy(*vectors.columns).agg(F.count(F.lit(1)).alias("n")), "labelled-rates")
+    sizes = {(r.stratum, r.good, r.testing): r.n for r in vectors.groupBy("stratum", "good", "testing").agg(F.sum("n").alias("n")).collect()}
+    strata, level = certifiable({x: sizes.get((x, True, True), 0) for x, _, _ in sizes}, risk, delta)
+
+    paths: dict[str, list[dict[str, int]]] = {x: [] for x in strata}
+    growing = set(strata)
+    while growing:  # at most a step for each cutoff, and each rejects more
+        now = [(x, *[(paths[x][-1] if paths[x] else {}).get(rule, OFF) for rule in RULES]) for x in sorted(growing)]
+        bounds = broadcast_if_small(spark.createDataFrame(now, "stratum string, " + ", ".join(f"at{i} int" for i in range(len(RULES)))))
+        alive = vectors.where("not testing").join(bounds, "stratum").where(" and ".join(f"broken{i} <= at{i}" for i in range(len(RULES))))
+        each = F.inline(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(c).alias("broken")) for rule, c in broken.items()]))
+        tally: dict[str, dict] = {}
+        for r in alive.select("stratum", "good", "n", each).groupBy("stratum", "rule", "broken", "good").agg(F.sum("n").alias("n")).collect():
+            tally.setdefault(r.stratum, {})[r.rule, r.broken, r.good] = r.n
+        for x in sorted(growing):
+            step = grown(tally.get(x, {}), sizes.get((x, True, False), 0), sizes.get((x, False, False), 0))
+            if step is None:
+                growing.discard(x)
+            else:
+                paths[x].append((paths[x][-1] if paths[x] else {}) | {step[0]: step[1]})
+
+    found = []
+    steps = [(x, at, *[config.get(rule, OFF) for rule in RULES]) for x, path in paths.items() for at, config in enumerate(path)]
+    if steps:
+        bounds = broadcast_if_small(spark.createDataFrame(steps, "stratum string, step int, " + ", ".join(f"at{i} int" for i in range(len(RULES)))))
+        beyond = " or ".join(f"broken{i} > at{i}" for i in range(len(RULES)))
+        counted = vectors.where("testing").join(bounds, "stratum").groupBy("stratum", "step", "good").agg(F.sum(F.when(F.expr(beyond), F.col("n")).otherwise(0)).alias("n")).collect()
+        rejected = {(r.stratum, r.step, r.good): r.n for r in counted}
+        for x, path in paths.items():
+            # As ``chosen_cutoff`` wants them: how many are rejected by exactly i of the path's steps. Each step rejects what the one before does.
+            sums = {good: [0, *[rejected.get((x, at, good), 0) for at in range(len(path))], sizes.get((x, good, True), 0)] for good in (True, False)}
+            exactly = [[after - before for before, after in zip(s, s[1:], strict=False)][::-1] for s in (sums[True], sums[False])]
+            choice = chosen_cutoff(list(range(len(path))), *exactly, risk, level)
+            if choice is not None:
+                found += [(x, rule, float(RULES[rule][2][-1 - most])) for rule, most in path[int(choice)].items()]
+    return spark.createDataFrame(found, "stratum string, rule string, cutoff double")
 
 
 def _with_cutoffs(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
