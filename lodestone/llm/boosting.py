@@ -73,8 +73,10 @@ class Isotonic:
 
     def __init__(self, margin: np.ndarray, y: np.ndarray):
         pools: list[list[float]] = []  # margin sum, label sum, weight
-        for m, label in zip(*(a[np.argsort(margin, kind="stable")].tolist() for a in (margin, y)), strict=True):
-            pools.append([m, label, 1.0])
+        values, own = np.unique(margin, return_inverse=True)  # rows of equal margins are one pool from the start
+        labels, weights = np.bincount(own, weights=y, minlength=len(values)), np.bincount(own, minlength=len(values))
+        for m, label, weight in zip(values.tolist(), labels.tolist(), weights.tolist(), strict=True):
+            pools.append([m * weight, label, float(weight)])
             while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
                 last = pools.pop()
                 pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
