@@ -137,10 +137,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tuned(docs.sparkSession)
     docs = need(docs, id_col, text_col)
     prints = materialized(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle_words).alias("fp")), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("node")).where("node is not null")
-    nodes = materialized(nodes.select(F.col("node").cast("bigint").alias("node"), "fp"), "nodes")
-    parts = connected_components(links(nodes, max_bits, crowd, blocks))
-    named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    # A fingerprint is a node, with an id or without; a component is named by the smallest id of all its rows.
+    nodes = materialized(prints.groupBy("fp").agg(F.min("id").cast("bigint").alias("least")).withColumn("node", F.col("fp")), "nodes")
+    parts = connected_components(links(nodes.select("node", "fp"), max_bits, crowd, blocks))
+    joined = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = joined.select("fp", "component").join(names, "component").select("fp", "component_id")
     return prints.join(named, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
