@@ -1,8 +1,9 @@
 """Line dedup: a deletion-neighbourhood join over the lines of all documents.
 
 A line that occurs again, or that is within ``max_edits`` edits (1, in characters) of a line that occurs earlier, is
-removed; the earliest stays. Earlier is by document id, then place. Blank lines always stay, and lines shorter than
-``min_chars`` are only compared as they are.
+removed; the earliest stays. Earlier is by document id, then place. Blank lines always stay. The edit must be at most a
+twentieth of the line, so lines shorter than ``min_chars`` (20) have to be equal: an edit makes another line of a short one
+("yes" and "yet", "1." and "2.").
 
 Two lines are one edit apart if deleting a character at the same place leaves the same rest (a substitution), or if
 deleting one from the longer leaves the shorter. So every line emits its variants as hashed keys: (rest, place) for
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import materialized, need, tuned
 from lodestone.llm.keyfilter import KeyFilter, maybe
@@ -125,8 +127,10 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for h1, h2, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             rest, whole = variants(line)
-            n = len(rest) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(rest, whole)), pa.array(np.append(np.arange(n - 1), -1).astype(np.int32)), pa.array(np.full(n, h1)), pa.array(np.full(n, h2))], names=["rest", "place", "h1", "h2"])
+            keys, places = np.append(rest, whole), np.append(np.arange(len(rest)), -1).astype(np.int32)
+            for at in range(0, len(keys), 50_000):  # a line can be a whole text
+                n = len(keys[at : at + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + n]), pa.array(places[at : at + n]), pa.array(np.full(n, h1)), pa.array(np.full(n, h2))], names=["rest", "place", "h1", "h2"])
 
 
 def _later_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
@@ -171,6 +175,17 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int =
     return gone.groupBy("id", "text_key").agg(F.collect_set("place").alias("places"))
 
 
+@F.arrow_udf(T.StringType())
+def _without(texts: pa.Array, places: pa.Array) -> pa.Array:
+    """The texts without the lines at these places; null stays null."""
+
+    def left(text: str, gone: list[int]) -> str:
+        drop = set(gone)
+        return "\n".join(line for at, line in enumerate(text.split("\n")) if at not in drop)
+
+    return pa.array([None if text is None else left(text, gone) for text, gone in zip(texts.to_pylist(), places.to_pylist(), strict=True)], pa.string())
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with the repeated lines taken out of the text, and n_lines and n_removed (bigint) at the end.
 
@@ -184,7 +199,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_own"), F.xxhash64(docs[text_col]).alias("_text_key"))
     met = rows.join(gone, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
     text = F.col("_row")[text_col]
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_places", i)), "\n")
+    kept = _without(F.when(F.col("_places").isNotNull(), text), F.col("_places"))  # only texts that lose lines go to Python
     n_lines = F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0))
     columns = [F.when(F.col("_places").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns]
     return met.select(*columns, F.when(text.isNull(), 0).otherwise(n_lines).cast("bigint").alias("n_lines"), F.coalesce(F.size("_places"), F.lit(0)).cast("bigint").alias("n_removed"))
