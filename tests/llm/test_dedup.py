@@ -213,3 +213,23 @@ def test_longer_partner_after_a_shorter_first_one(spark):
             docs.append((3 * family + k, " ".join([word() for _ in range(40)] + passage[: 60 if k else 50] + [word() for _ in range(40)])))
     got = {r.doc_id: r.n_repeated for r in substring.repeated(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
     assert got == {i: 60 if i % 3 else 50 for i in range(120)}
+
+
+def test_rows_without_an_id_bridge_and_get_a_component(spark):
+    words = [f"word{i}" for i in range(400)]
+    near = list(words)
+    rows = [(1, " ".join(words)), (None, " ".join(words)), (None, "alone here without any other row of its kind")]
+    for at in range(400):  # a text a bit or two away, without an id
+        near[at] = "other"
+        if 0 < bin((brute_fingerprint(" ".join(near)) ^ brute_fingerprint(" ".join(words)))).count("1") <= 3:
+            break
+    rows.append((None, " ".join(near)))
+    got = [tuple(r) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle_words=3).select("doc_id", "component_id").collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (None, 1), (None, 1), (None, None)], key=str)
+
+
+def test_many_removed_lines_of_a_long_text(spark):
+    lines = [f"line number {i % 700} of a long text that goes on" for i in range(30_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "x" * 120_000 + "\n" + lines[0])], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in linededup.deduplicated(docs, max_edits=0).collect()}
+    assert got[1].text == "\n".join(lines[:700]) and got[1].n_removed == 29_300 and got[2].text == "x" * 120_000

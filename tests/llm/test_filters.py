@@ -242,3 +242,69 @@ def test_url_training_is_gradient_descent(spark):
         w = w * (1 - url_filter.RATE * url_filter.DECAY) - url_filter.RATE * x.T @ slope
         b = b * (1 - url_filter.RATE * url_filter.DECAY) - url_filter.RATE * slope.sum()
     assert np.allclose(weights, w) and bias == pytest.approx(b)
+
+
+def test_equal_margins_are_one_pool():
+    margin, y = np.repeat([0.0, 1.0], 10), np.array([0] * 8 + [1] * 2 + [0] * 2 + [1] * 8)
+    for order in (np.arange(20), np.arange(20)[::-1], np.lexsort((y, margin))):
+        assert boosting.Isotonic(margin[order], y[order])(np.array([0.0, 1.0])) == pytest.approx([2.5 / 11, 8.5 / 11])
+
+
+def brute_cutoffs(docs, risk=0.05, delta=0.05):
+    """{(stratum, rule): cutoff} by trying all cutoffs on every document anew. docs: (stratum, good, testing, {rule: rate})."""
+    tests = {s: sum(g and t for x, g, t, _ in docs if x == s) for s in {x for x, *_ in docs}}
+    strata = sorted(tests)
+    while any(0.95 ** tests[s] > delta / len(strata) for s in strata):
+        strata = [s for s in strata if 0.95 ** tests[s] <= delta / len(strata)]
+    out = {}
+    for s in strata:
+        grow, test = ([(g, r) for x, g, t, r in docs if x == s and t == which] for which in (False, True))
+        n_good, n_bad = max(1, sum(g for g, _ in grow)), max(1, sum(not g for g, _ in grow))
+        rejects = lambda config, rates: any(rates[rule] > c for rule, c in config.items())
+        value = lambda config, rows, good, bad: sum((-quality.COST / good if g else 1 / bad) for g, r in rows if rejects(config, r))
+        config, path = {}, []
+        while True:
+            now = value(config, grow, n_good, n_bad)
+            tries = [(rule, c) for rule, (_, _, grid) in quality.RULES.items() for c in grid if c < config.get(rule, 1e9)]
+            gains = [value(config | {rule: c}, grow, n_good, n_bad) - now for rule, c in tries]
+            if not gains or max(gains) <= 1e-9:
+                break
+            rule, c = tries[next(i for i, g in enumerate(gains) if g > max(gains) - 1e-9)]
+            config = config | {rule: c}
+            path.append(config)
+        good, bad = sum(g for g, _ in test), max(1, sum(not g for g, _ in test))
+        best, choice = 1e-9, {}
+        for config in path:
+            false = sum(g and rejects(config, r) for g, r in test)
+            if sum(math.comb(good, k) * risk**k * (1 - risk) ** (good - k) for k in range(false + 1)) > delta / len(strata):
+                break
+            if (v := value(config, test, good, bad)) > best + 1e-9:
+                best, choice = v, config
+        out |= {(s, rule): c for rule, c in choice.items()}
+    return out
+
+
+def test_cutoffs_and_verdicts_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(8)
+    docs, labels = [], []
+    for i in range(1500):
+        good = rng.random() < 0.7
+        words = [f"w{i}x{j}" + ("#" * rng.integers(0, 4) if rng.random() < (0.02 if good else 0.5) else "") for j in range(rng.integers(12, 30))]
+        words = [w.upper() if rng.random() < (0.05 if good else 0.3) else w for w in words]
+        docs.append((i, " ".join(words) + ("\n" + words[0] + "\n" + words[0]) * int(rng.integers(0, 2 if good else 4)), ["en", "de", "fr"][i % 3] if i % 50 else "xx"))
+        labels.append((i, int(good)))
+    frame, marks = spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    testing = {r.doc_id: r.t for r in frame.select("doc_id", (F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(2)) == 1).alias("t")).collect()}
+    rows, rates = [], {}
+    for i, text, lang in docs:
+        c = dict(zip(quality.COUNTS, quality.counts_of(text.encode()), strict=True))
+        rates[i] = {rule: eval(over, {}, c) / c[under] if c[under] else 0.0 for rule, (over, under, _) in quality.RULES.items()}  # noqa: S307
+        if c["n_words"] >= 10 and 100 * c["n_repeat_words"] <= 20 * c["n_words"]:
+            rows.append((lang, bool(labels[i][1]), testing[i], rates[i]))
+    want = brute_cutoffs(rows)
+    assert {s for s, _ in want} == {"en", "de", "fr"}  # "xx" has too few labels
+    got = {(r.stratum, r.rule): r.cutoff for r in quality.thresholds(quality.measured(frame, "doc_id", "text", "lang"), marks).collect()}
+    assert got == want
+    verdict = {r.doc_id: r for r in quality.judged(frame, marks).collect()}
+    for i, _, lang in docs:
+        assert verdict[i].kept == (not verdict[i].base_failed and not any(rates[i][rule] > c for (s, rule), c in want.items() if s == lang))
