@@ -8,7 +8,7 @@ and scoring is an expression over a URL's n-grams without a join or a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import ascii_lower, need
@@ -19,29 +19,43 @@ MAX_LABELLED = 1000
 HOST_GRAMS, PATH_GRAMS = (3, 4, 5), (3, 4)
 STEPS, RATE, DECAY = 300, 0.2, 0.002
 
-#: Names of labelled sites. Each gets one of the same prefixes, domains and paths, whatever its label.
+#: Names of labelled sites, invented after the kinds of sites that lists of blocked and of reputable ones have.
 BLOCKED_SITES = """
-cheap-meds buy-cheap-pills pills-online pharmacy-deals discount-pills viagra-shop casino-royal best-casino online-poker free-slots bet-now
-sports-bets free-spins spam-links link-farm seo-farm spam-site content-farm farm-spam xxx-videos adult-cams sexy-chat hot-singles porn-tube
-free-money win-prize easy-cash payday-loans crypto-doubler get-rich replica-watches fake-bags warez-crack free-keygen click-bait phish-login
-secure-update malware-drop diet-miracle cheap-viagra pills spam ads-server popup-ads track-ads ad-click casino-win cheap-bets
+luckyspin-casino royal777slots vegasjackpots pokernights crypto-dice sportsbet-tips megaslots-bonus baccarat-live lottowinner win-prize-now
+casino-freespins onlinebets-odds roulette-bonus cheapmeds24 pharmacy-rx-discount genericpills-store viagra-cialis-shop weightloss-gummies
+hairgrowth-secret steroids-direct miracle-diet-pills xanax-no-prescription hotgirls-chat adult-dating-nearby freepornvideos milf-hookups
+nude-webcams escort-directory xxx-clips sexstories-archive adult-toys-sex secure-paypal-login appleid-unlock bank-update-alert
+support-call-virus wallet-airdrop-claim metamask-restore parcel-fee-payment refund-form-claim verify-badge-login free-keygen-crack
+torrent-warez serials-crack nulled-themes movies-free-stream driver-updater-setup flashplayer-update pc-cleaner-free toolbar-addon
+modapk-hack clicktracker-adserve popunder-ads banner-exchange affiliate-cash-offer push-ads-delivery buy-followers-cheap
+seo-backlinks-cheap linkfarm-directory guestpost-spam article-spinner-spam replica-rolex fake-designer-bags cheap-jerseys-outlet
+discount-raybans make-money-fast bitcoin-doubler forex-robot-profit payday-loans-instant get-rich-signals work-from-home-cash
+spam-mailer-pro bulk-spam-lists bets-bonus-code free-credit-score-win track-ads-pixel pills-cheap-online casino-cash-win adult-cams-xxx
 """.split()
 ALLOWED_SITES = """
-city-library gardening docs news university weather museum recipes history astronomy school trains health bookshop forum travel chess music biology
-sports maps painting theatre physics archive birds cooking hiking parliament geology theory thread farming another nation station shelter other heron
-the-times there these thesis thing think threshold throne thunder together mother father brother northern southern leather feather rather whether
-table possible stable cable double noble trouble able tension motion action section option nations relations thorn thistle the-herald then-and-now
-house shore shine shed shoe sand stand land hand wind winter water letter better center reading meeting writing standing ringing engine
+city-library harbour-times university-northfield museum-of-glass regional-weather openparser gardeners-notebook town-hall kitchen-table-recipes
+railway-timetable science-weekly cycling-club letters-archive childrens-hospital woodworkers-forum encyclopedia parliament-records
+hiking-trails mountain-bookshop chemistry-society opera-house observatory local-bakery versionhub school-district birdwatch
+national-park theatre-royal kernel-mailing-list carrepair-manuals volunteer-fire-brigade language-podcast finance-ministry daily-courier
+contemporary-gallery veterinary-clinic population-statistics chess-federation mountain-rescue music-school family-trees oceanography
+slow-trains court-judgments energy-agency nursing-handbook knitting-patterns farmers-market cloud-status public-radio geology-survey
+lecture-notes sailing-club food-bank poetry-magazine architects-guild waterworks philosophy-department zoo-animals ferry-times
+dictionary-online post-office beekeeping publicdomain-books rowing-team swimming-pool cathedral-choir historical-society
+botanic-garden planetarium electronics-repair parents-council primary-school bus-routes community-kitchen thermal-baths
 """.split()
-_PREFIXES, _DOMAINS = ("", "www.", "blog.", "m."), ("example.com", "example.net", "example.org")
-_PATHS = ("/en/12", "/de/480.html", "/fr/7033/", "/es/59", "/en/2101?page=2", "/item/5", "/")
+#: URLs of each site: each has the same ones, so that nothing but names tells the kinds apart.
+URLS_OF_A_SITE = 3
+#: Fixed values of these URLs.
+_BEFORE, _AFTER = ("", "www.", "m.", "en.", "home."), (".com", ".net", ".org", ".info", ".co.uk", ".de", ".io")
+_PATHS = ("", "/", "/index.html", "/about", "/2021/05/today", "/item?id=31", "/pages/contact.php", "/a/b/c", "/view/8812", "/start#top", "/search?q=all")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, blocked int): the labelled table."""
+    """(url, blocked int): the labelled table. Another one with these columns can be given in its place."""
     rows = [(name, label) for label, names in ((1, BLOCKED_SITES), (0, ALLOWED_SITES)) for name in names]
-    url = lambda i, name: f"http://{_PREFIXES[i % 4]}{name}.{_DOMAINS[i % 3]}{_PATHS[i % 7]}"
-    values = ", ".join(f"('{url(i, name)}', {label})" for i, (name, label) in enumerate(rows))
+    shapes = [(turn, (7 * turn) % len(_BEFORE), (3 * turn + 1) % len(_AFTER), (5 * turn + 2) % len(_PATHS)) for turn in range(URLS_OF_A_SITE)]
+    urls = [(f"http{'s' * (turn % 2)}://{_BEFORE[a]}{name}{_AFTER[b]}{_PATHS[c]}", label) for name, label in rows for turn, a, b, c in shapes]
+    values = ", ".join(f"('{url}', {label})" for url, label in urls)
     return spark.sql(f"SELECT * FROM VALUES {values} AS labelled(url, blocked)")
 
 
@@ -71,7 +85,7 @@ def trained_weights(labelled: DataFrame, url_col: str = "url", label_col: str =
     """(weight of each bucket, bias). Null labels are left out; repeated rows weigh more; all 0 without rows."""
     known = need(labelled, url_col, label_col).where(F.col(label_col).isNotNull())
     grams = gram_buckets(host_of(F.col(url_col)), path_of(F.col(url_col)))
-    numbered = known.select(F.expr(f"row_number() OVER (ORDER BY {url_col}, {label_col}) - 1").alias("row"), F.col(label_col).cast("double").alias("y"), grams.alias("grams"))
+    numbered = known.select((F.row_number().over(Window.orderBy(F.col(url_col), F.col(label_col))) - 1).alias("row"), F.col(label_col).cast("double").alias("y"), grams.alias("grams"))
     if (n := numbered.count()) > MAX_LABELLED:
         raise ValueError(f"{n} labelled URLs; at most {MAX_LABELLED} are taken")
     if not n:
@@ -113,7 +127,7 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]], what: int) -> Column:
     """Of the longest rule that fits, its action (what = 0) or its text (1); null if none does."""
     out = F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: len(r[1])):
+    for rule in sorted(rules, key=lambda r: (len(r[1]), r[1], r[0])):  # of equally long ones the last by text, then block
         at, slash, rest = rule[1].partition("/")
         fits = ((host == at) | host.endswith(f".{at}")) & path.startswith(slash + rest)
         out = F.when(fits, F.lit(rule[what])).otherwise(out)
