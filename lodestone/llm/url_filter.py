@@ -43,19 +43,18 @@ lecture-notes sailing-club food-bank poetry-magazine architects-guild waterworks
 dictionary-online post-office beekeeping publicdomain-books rowing-team swimming-pool cathedral-choir historical-society
 botanic-garden planetarium electronics-repair parents-council primary-school bus-routes community-kitchen thermal-baths
 """.split()
-#: URLs of each site: each has the same ones, so that nothing but names tells the kinds apart.
-URLS_OF_A_SITE = 3
-#: Fixed values of these URLs.
+#: Fixed values that both kinds get in the same turns, so that names tell them apart.
 _BEFORE, _AFTER = ("", "www.", "m.", "en.", "home."), (".com", ".net", ".org", ".info", ".co.uk", ".de", ".io")
 _PATHS = ("", "/", "/index.html", "/about", "/2021/05/today", "/item?id=31", "/pages/contact.php", "/a/b/c", "/view/8812", "/start#top", "/search?q=all")
+#: Rows of an allowed site for one of a blocked site: a name without evidence is rather allowed.
+ALLOWED_WEIGHT = 2
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """(url, blocked int): the labelled table. Another one with these columns can be given in its place."""
-    rows = [(name, label) for label, names in ((1, BLOCKED_SITES), (0, ALLOWED_SITES)) for name in names]
-    shapes = [(turn, (7 * turn) % len(_BEFORE), (3 * turn + 1) % len(_AFTER), (5 * turn + 2) % len(_PATHS)) for turn in range(URLS_OF_A_SITE)]
-    urls = [(f"http{'s' * (turn % 2)}://{_BEFORE[a]}{name}{_AFTER[b]}{_PATHS[c]}", label) for name, label in rows for turn, a, b, c in shapes]
-    values = ", ".join(f"('{url}', {label})" for url, label in urls)
+    url = lambda i, name: f"http://{_BEFORE[i % 5]}{name}{_AFTER[i % 7]}{_PATHS[i % 11]}"
+    rows = [(url(i, name), 1) for i, name in enumerate(BLOCKED_SITES)] + [(url(i, name), 0) for i, name in enumerate(ALLOWED_SITES)] * ALLOWED_WEIGHT
+    values = ", ".join(f"('{url}', {label})" for url, label in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS labelled(url, blocked)")
 
 
