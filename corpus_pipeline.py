@@ -1,7 +1,8 @@
 """From ``documents`` to training sequences: five stages, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last give the columns
-of ``documents``.
+of ``documents``. Rows with a null id go through every stage (none is dropped for that); an empty table stays empty; other
+columns than those of ``documents`` are not passed on.
 """
 
 from __future__ import annotations
@@ -23,30 +24,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that break a rule; the labels set the cutoffs."""
+    """Drops the documents that break a rule; the labels set the cutoffs. Null and empty texts fail the base rules."""
     return quality.keep_good(docs, _table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines out of the texts that stand earlier in the corpus, as they are or an edit apart."""
+    """Takes lines out of the texts that stand earlier in the corpus, as they are or an edit apart. Null texts stay null."""
     n_chars = F.coalesce(F.length("text"), F.lit(0)).cast("bigint")
     return linededup.deduplicated(docs).withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each near-duplicate group."""
+    """Keeps the first document of each near-duplicate group.
+
+    The stage is for texts whose five-word shingles have a similarity of 0.9 or more: 3 differing bits find nearly all of
+    those (see the README), and fewer of the pairs from 0.8 to 0.9. Texts without words are one group; rows without an
+    id all stay.
+    """
     return simhash.keep_first(docs, shingle_words=5, max_bits=3).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark window."""
+    """Drops the documents that hold a benchmark window. Null texts hold none."""
     found = decontam.contamination(docs, _table(spark, sf_dir, "benchmark"))
     leaks = materialized(found.where("n_hit > 0").select(F.col("doc_id").alias("leak")), "leaks")
     return docs.join(broadcast_if_small(leaks, 100_000), F.col("doc_id").eqNullSafe(F.col("leak")), "left_anti").select(*COLUMNS)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of sampled segmentations of every text."""
+    """Piece ids of sampled segmentations of every text; null and empty texts have one, without pieces."""
     return pieces.samples(docs, k=3)
 
 
