@@ -32,6 +32,7 @@ def build_index(rows: DataFrame, path: str, model: Backend, built_at: str, platf
     stored = spark.read.schema(ready.schema).parquet(f"{path}/chunks")
     found = embedded(stored.select("chunk_ord", "id", "domain", "semantic_text"), "semantic_text", model)
     chunks.write_index(found, f"{path}/vectors")
+    bm25.write(bm25.build(stored), f"{path}/lexical")
     n, size = stored.count(), dense.check_dimensions(spark.read.schema(found.schema).parquet(f"{path}/vectors"))
     jsonl.write_index_meta(spark, f"{path}/meta", n, built_at, platform_version, type(model).__name__, model.model_id, size or None)
     return n
@@ -39,7 +40,7 @@ def build_index(rows: DataFrame, path: str, model: Backend, built_at: str, platf
 
 def open_index(spark: SparkSession, path: str) -> Index:
     rows = spark.read.parquet(f"{path}/chunks")
-    return Index(rows, spark.read.parquet(f"{path}/vectors"), bm25.build(rows).persist())
+    return Index(rows, spark.read.parquet(f"{path}/vectors"), bm25.read(spark, f"{path}/lexical").persist())
 
 
 class Engine:

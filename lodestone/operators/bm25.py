@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import stems
@@ -22,7 +22,7 @@ class Bm25Index:
     postings: DataFrame  # domain, chunk_ord, id, tok, tf, dl
     terms: DataFrame  # scope, tok, df, idf
     corpora: DataFrame  # scope, n, avgdl, avg_idf
-    chunks: DataFrame  # domain, chunk_ord, id
+    chunks: DataFrame  # domain, chunk_ord, id, dl
 
     def persist(self) -> Bm25Index:
         """Keeps the tables between searches."""
@@ -36,6 +36,11 @@ def build(chunks: DataFrame, text_col: str = "lexical_text") -> Bm25Index:
     negative weight, a quarter of the mean weight of the scope's terms."""
     words = chunks.select("domain", "chunk_ord", "id", stems(F.col(text_col)).alias("toks")).withColumn("dl", F.size("toks"))
     postings = words.select("domain", "chunk_ord", "id", "dl", F.explode("toks").alias("tok")).groupBy("domain", "chunk_ord", "id", "tok").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    return described(postings, words.select("domain", "chunk_ord", "id", "dl"))
+
+
+def described(postings: DataFrame, words: DataFrame) -> Bm25Index:
+    """The index of postings and the chunks' lengths (domain, chunk_ord, id, dl); statistics come from these two alone."""
     by_domain = postings.groupBy("domain", "tok").agg(F.count(F.lit(1)).alias("df"))
     scopes = F.explode(F.array(F.col("domain"), F.lit(EVERYWHERE))).alias("scope")
     df = by_domain.select(scopes, "tok", "df").groupBy("scope", "tok").agg(F.sum("df").alias("df"))
@@ -44,7 +49,28 @@ def build(chunks: DataFrame, text_col: str = "lexical_text") -> Bm25Index:
     mean = raw.groupBy("scope").agg(F.avg("raw").alias("avg_idf"))
     corpora = sizes.join(mean, "scope", "left")
     terms = raw.join(mean, "scope").select("scope", "tok", "df", F.when(F.col("raw") < 0, EPSILON * F.col("avg_idf")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, terms, corpora, words.select("domain", "chunk_ord", "id"))
+    return Bm25Index(postings, terms, corpora, words)
+
+
+#: Files that the stored postings are dealt into by term.
+BUCKETS = 64
+
+
+def write(index: Bm25Index, path: str) -> None:
+    """Stores the index: postings and terms in files by a hash of the term, so that a search reads only its terms' files."""
+    bucket = F.pmod(F.xxhash64("tok"), F.lit(BUCKETS)).cast("int")
+    # Several tasks write a bucket, as a common term can hold much of all postings.
+    dealt = index.postings.withColumn("bucket", bucket).repartition("bucket", F.pmod("chunk_ord", F.lit(8))).sortWithinPartitions("bucket", "tok")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    index.chunks.write.mode("overwrite").parquet(f"{path}/lengths")
+    stored = described(index.postings.sparkSession.read.parquet(f"{path}/postings").drop("bucket"), index.postings.sparkSession.read.parquet(f"{path}/lengths"))
+    stored.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    stored.corpora.write.mode("overwrite").parquet(f"{path}/corpora")
+
+
+def read(spark: SparkSession, path: str) -> Bm25Index:
+    """An index that ``write`` has stored."""
+    return Bm25Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "corpora", "lengths")])
 
 
 def scored(requests: DataFrame, index: Bm25Index) -> DataFrame:
@@ -54,7 +80,13 @@ def scored(requests: DataFrame, index: Bm25Index) -> DataFrame:
     """
     asked = requests.select("query_id", "scope", F.explode(stems(F.col("query"))).alias("tok")).groupBy("query_id", "scope", "tok").agg(F.count(F.lit(1)).alias("times"))
     weighed = asked.join(index.terms.select("scope", "tok", "idf"), ["scope", "tok"]).join(index.corpora.select("scope", "avgdl"), "scope")
-    hits = weighed.join(index.postings, "tok").where((F.col("scope") == EVERYWHERE) | (F.col("scope") == F.col("domain")))
+    # Stored postings lie in folders by a hash of the term: those of other terms aren't read.
+    if "bucket" in index.postings.columns:
+        weighed = weighed.withColumn("bucket", F.pmod(F.xxhash64("tok"), F.lit(BUCKETS)).cast("int"))
+        hits = weighed.join(index.postings, ["bucket", "tok"])
+    else:
+        hits = weighed.join(index.postings, "tok")
+    hits = hits.where((F.col("scope") == EVERYWHERE) | (F.col("scope") == F.col("domain")))
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     return hits.groupBy("query_id", "scope", "chunk_ord", "id").agg(F.sum(part).alias("raw"))
@@ -67,11 +99,13 @@ def ranked(requests: DataFrame, index: Bm25Index, depth: str = "depth") -> DataF
     scope's first, so only as many are added (twice as many: negative weights of tiny corpora rank below 0).
     """
     hits = scored(requests, index)
-    most = (requests.agg(F.max(depth)).first()[0] or 0) * 2
+    deepest = requests.agg(F.max(depth)).first()[0] or 0
+    most = 2 * deepest
     order = Window.partitionBy("scope").orderBy("chunk_ord")
     firsts = index.chunks.select("chunk_ord", "id", F.explode(F.array("domain", F.lit(EVERYWHERE))).alias("scope")).withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).drop("at")
     fill = requests.select("query_id", "scope").join(firsts, "scope").join(hits.select("query_id", "scope", "chunk_ord"), ["query_id", "scope", "chunk_ord"], "left_anti")
     every = hits.unionByName(fill.select("query_id", "scope", "chunk_ord", "id", F.lit(0.0).alias("raw")))
     best = Window.partitionBy("query_id", "scope").orderBy(F.desc(F.round("raw", 9)), "chunk_ord")
-    placed = every.withColumn("rank", F.row_number().over(best)).join(requests.select("query_id", "scope", F.col(depth).alias("_depth")), ["query_id", "scope"])
+    # By a literal first: that limits each group before the shuffle, where a column joined afterwards would sort all hits.
+    placed = every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= deepest).join(requests.select("query_id", "scope", F.col(depth).alias("_depth")), ["query_id", "scope"])
     return placed.where(F.col("rank") <= F.col("_depth")).drop("_depth")

@@ -43,23 +43,33 @@ def title_words(title: Column, longer_than: int = 3) -> Column:
     return F.filter(F.split(F.trim(F.lower(title)), r"\s+"), lambda w: F.length(w) > longer_than)
 
 
+def _four_letters(column: str) -> Column:
+    """The distinct runs of four letters of a text, in time linear in it."""
+    return F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(r"(?s)(?=(.{4}))"), 1))
+
+
 def linked_by_words(examples: DataFrame, topics: DataFrame, least: int = 2, most: int = 3) -> DataFrame:
     """Examples with topic_ids (the ``most`` topics of the largest share of title words in the code) and relevance (that share).
 
-    examples: ex_ord, code, query_text and more. topics: topic_ord, id, title. A word counts where it is part of the text, so
-    candidates are met by the words of three letters that every title word of more than three has: each topic word is
-    keyed by its first four letters, each text by the distinct runs of four letters in it, and only examples and topics that share
-    ``least`` such keys are compared. No pair is formed without shared words.
+    examples: ex_ord, code, query_text and more. topics: topic_ord, id, title. A word counts where it is part of the text; all
+    its runs of four letters are in the text then, so a word is keyed by its rarest one. A topic with ``least`` of its words in
+    a text has one beside its ``least`` - 1 most frequent ones, so those meet no texts: words that stand in most texts cost
+    nothing unless a topic has no others. Only numbers and runs are shuffled; a text is compared once with each topic it meets.
     """
     low = F.lower(F.concat_ws(" ", "code", "query_text"))
     texts = examples.select("ex_ord", low.alias("_text"))
     words = topics.select("topic_ord", F.col("id").alias("_topic"), title_words(F.col("title")).alias("_words")).where(F.size("_words") > 0)
-    keyed_words = words.select("topic_ord", "_topic", F.size("_words").alias("_n"), F.posexplode("_words").alias("_at", "_word")).withColumn("_key", F.substring("_word", 1, 4))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - 3, F.lit(1))), lambda i: F.substring("_text", i, F.lit(4))))
-    keyed_texts = texts.select("ex_ord", "_text", F.explode(runs).alias("_key"))
-    met = keyed_texts.join(keyed_words, "_key").where(F.col("_text").contains(F.col("_word")))
-    shares = met.groupBy("ex_ord", "topic_ord", "_topic", "_n").agg(F.count(F.lit(1)).alias("_hits")).where(F.col("_hits") >= least)
-    shares = shares.withColumn("_share", F.col("_hits") / F.col("_n"))
+    of_word = words.where(F.size("_words") >= least).select("topic_ord", F.posexplode("_words").alias("_at", "_word"))
+    of_word = of_word.select("topic_ord", "_at", F.explode(_four_letters("_word")).alias("_key"))
+    runs = texts.select("ex_ord", F.explode(_four_letters("_text")).alias("_key")).join(of_word.select("_key").distinct(), "_key", "left_semi")
+    often = runs.groupBy("_key").agg(F.count(F.lit(1)).alias("_often"))
+    rarest = of_word.join(often, "_key", "left").groupBy("topic_ord", "_at").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("often"), "_key")).alias("_rarest"))
+    place = F.row_number().over(Window.partitionBy("topic_ord").orderBy(F.desc("_rarest"), "_at"))
+    meeting = rarest.withColumn("_place", place).where(F.col("_place") >= least).select("topic_ord", F.col("_rarest._key").alias("_key")).distinct()
+    pairs = runs.join(meeting, "_key").select("ex_ord", "topic_ord").distinct()
+    hits = F.size(F.filter("_words", lambda w: F.col("_text").contains(w)))
+    shares = pairs.join(texts, "ex_ord").join(words, "topic_ord").select("ex_ord", "topic_ord", "_topic", hits.alias("_hits"), F.size("_words").alias("_n"))
+    shares = shares.where(F.col("_hits") >= least).withColumn("_share", F.col("_hits") / F.col("_n"))
     best = Window.partitionBy("ex_ord").orderBy(F.desc("_share"), "topic_ord")
     top = shares.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= most)
     links = top.groupBy("ex_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_topic"))), lambda x: x["_topic"]).alias("topic_ids"), F.max("_share").alias("relevance"))

@@ -95,6 +95,11 @@ def split_identifier(spark, d):
     return rows.select(F.col("x").alias("name"), text.split_identifier(F.col("x")).alias("words"))
 
 
+@registered(f"SELECT page_id, array_to_string({sql.tokens('url')}, ' ') AS normalized FROM pages")
+def normalize(spark, d):
+    return table(spark, d, "pages").select("page_id", text.normalized(F.col("url")).alias("normalized"))
+
+
 PAIRS = [("строку", "строки"), ("массив", "массива"), ("раз", "разделить"), ("ab", "abc"), ("дом", "кот"), ("split", "splitting"), ("я", "я")]
 
 
@@ -142,7 +147,7 @@ def alias_filter(spark, d):
 
 
 def index_of(spark, d) -> bm25.Bm25Index:
-    return bm25.build(corpus(spark, d))
+    return bm25.build(corpus(spark, d)).persist()
 
 
 @registered(f"WITH {sql.CHUNKS}, {sql.BM25} SELECT chunk_ord, tok, tf FROM postings")
@@ -362,6 +367,15 @@ def semantic_highlights(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(text.semantic_terms(F.lit(QUERY), F.col("text")), ",").alias("terms"))
 
 
+@registered(RESCORED + f"""SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, array_to_string(list_filter([CASE WHEN dense_rrf > 0 OR dense_similarity > 0 THEN 'semantic' END, CASE WHEN bm25_rrf > 0 THEN 'bm25' END, CASE WHEN title_bonus > 0 THEN 'title' END], lambda s: s IS NOT NULL), ',') AS sources,
+  round(dense_rrf, 4) AS dense_rrf, round(dense_similarity, 4) AS dense_similarity, round(bm25_rrf, 4) AS bm25_rrf, round(title_bonus, 4) AS title_bonus, CAST(dense_rank AS INTEGER) AS dense_rank, CAST(bm25_rank AS INTEGER) AS bm25_rank, round(dense_distance, 4) AS dense_distance, round(bm25_raw, 4) AS bm25_raw FROM best WHERE rank <= k""")
+def score_breakdown(spark, d):
+    request, _, _, qv = prepared(spark, d)
+    found = search.search(asked(spark), corpus(spark, d), index_of(spark, d), vectors(spark, d), qv)
+    parts = ["dense_rrf", "dense_similarity", "bm25_rrf", "title_bonus", "dense_rank", "bm25_rank", "dense_distance", "bm25_raw"]
+    return found.select("query_id", "rank", F.array_join("match_sources", ",").alias("sources"), *[F.col("score_breakdown")[p].alias(p) for p in parts])
+
+
 def excerpt_sql(size: int) -> str:
     return f"""WITH p AS (SELECT doc_id, text, length(text) AS n, list_min(list_filter([strpos(lower(text), 'nation') - 1, strpos(lower(text), 'other') - 1], lambda x: x >= 0)) AS hit FROM documents),
 w AS (SELECT *, least(n, greatest(0, hit - {size // 2}) + {size}) AS e FROM p)
@@ -442,6 +456,21 @@ def code_literal_extract(spark, d):
     return examples.snippets(files.union(extra)).select("id", "query_text", "start_line", F.length("code").alias("size"))
 
 
+#: Every conversation as a source file with a query text in its middle.
+LINES = 20
+
+
+@registered(f"""WITH f AS (SELECT conv_id, turn, regexp_split_to_array(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS lines FROM (SELECT conv_id, turn, replace(text, '"', '') AS text FROM conversations)),
+g AS (SELECT conv_id, turn, list_concat(list_transform(range({LINES}), lambda i: 'before ' || i), ['x = "SELECT name FROM conversation"'], lines) AS lines FROM f)
+SELECT conv_id, turn, {LINES + 1} AS start_line, array_to_string(lines[{LINES + 1 - 15 + 1}:{LINES + 1 + 15}], chr(10)) AS code FROM g""")
+def snippet_window(spark, d):
+    head = "\n".join(f"before {i}" for i in range(LINES)) + '\nx = "SELECT name FROM conversation"\n'
+    plain = F.translate(F.regexp_replace("text", r"\r\n?", "\n"), '"', "")
+    files = table(spark, d, "conversations").select(F.lit("c").alias("label"), F.concat_ws(":", "conv_id", "turn").alias("path"), F.concat(F.lit(head), plain).alias("content"))
+    key = F.split("module_path", ":")
+    return examples.snippets(files).select(key[0].cast("bigint").alias("conv_id"), key[1].cast("bigint").alias("turn"), "start_line", "code")
+
+
 # --- ingestion -------------------------------------------------------------------------------------------------
 
 
@@ -464,6 +493,15 @@ def replace_domain_union(spark, d):
     return chunks.replaced_domain(old, table(spark, d, "benchmark").select(F.lit("de").alias("domain"), F.col("item_id").alias("doc_id")), "de")
 
 
+@registered("SELECT 'documents' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'benchmark', item_id, text FROM benchmark UNION ALL SELECT 'pages', page_id, html FROM pages")
+def union_all(spark, d):
+    sides = [("documents", "doc_id", "text"), ("benchmark", "item_id", "text"), ("pages", "page_id", "html")]
+    first, *rest = [table(spark, d, name).select(F.lit(name).alias("origin"), F.col(key).alias("id"), F.col(content).alias("text")) for name, key, content in sides]
+    for other in rest:
+        first = first.unionByName(other)
+    return first
+
+
 @registered("SELECT source AS id, min(doc_id) AS chunk_ord FROM documents GROUP BY source")
 def dedup_first(spark, d):
     return chunks.first_by_id(table(spark, d, "documents").select(F.col("source").alias("id"), F.col("doc_id").alias("chunk_ord")))
@@ -528,12 +566,17 @@ def json_answers(spark, d):
 
 def benchmark_search(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    ranked = bm25.ranked(items.withColumn("scope", F.lit("*")).withColumn("depth", F.lit(5)), bm25.build(corpus(spark, d), "text"))
-    # A document that holds an item has the words it begins with, so these meet first and the whole text is compared after.
-    start = lambda c: F.array_join(F.slice(text.tokens(c), 1, 4), " ")
-    own = table(spark, d, "documents").select(F.concat_ws(":", "lang", "doc_id").alias("id"), "text", text.tokens(F.col("text")).alias("toks"))
-    runs = own.select("id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("toks") - 3, F.lit(1))), lambda i: F.array_join(F.slice("toks", i, F.lit(4)), " ")))).alias("start"))
-    relevant = items.withColumn("start", start(F.col("query"))).join(runs, "start").where(F.col("text").contains(F.col("query"))).select("query_id", "id").distinct()
+    index = bm25.build(corpus(spark, d), "text").persist()
+    ranked = bm25.ranked(items.withColumn("scope", F.lit("*")).withColumn("depth", F.lit(5)), index)
+    # A document that holds an item has all of its words but the outer two, which may be parts of others. The postings of the rarest one
+    # give the documents to look at; only these fetch their text, to compare the whole item.
+    stems = text.stems(F.col("query"))
+    inner = F.when(F.size(stems) > 2, F.slice(stems, F.lit(2), F.greatest(F.size(stems) - 2, F.lit(1)))).otherwise(stems)
+    words = items.select("query_id", F.explode(inner).alias("tok")).join(index.terms.where("scope = '*'").select("tok", "df"), "tok")
+    rarest = words.groupBy("query_id").agg(F.min(F.struct("df", "tok"))["tok"].alias("tok"))
+    pairs = rarest.join(index.postings.select("tok", "id", F.col("chunk_ord").alias("doc_id")), "tok").join(items, "query_id")
+    found = pairs.join(table(spark, d, "documents").select("doc_id", F.col("text").alias("_own")), "doc_id").where(F.col("_own").contains(F.col("query")))
+    relevant = found.select("query_id", "id").distinct()
     return ranked, relevant, items
 
 
