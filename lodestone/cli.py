@@ -1,4 +1,4 @@
-"""Command line: ``python -m lodestone.cli ingest | ingest-modules | index | search | stats | scan-examples``."""
+"""Command line: ``python -m lodestone.cli ingest | ingest-modules | index | search | stats | status | evaluate | drop | scan-examples``."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ import datetime
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.engine import Engine, build_index
-from lodestone.operators import chunks, examples
+from lodestone import config
+from lodestone.engine import Engine, build_index, drop_index, readiness
+from lodestone.operators import chunks, examples, stats
 from lodestone.sources import help_book, jsonl, modules
 from lodestone.sources.embedding import backend
 
@@ -23,7 +24,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     parser = argparse.ArgumentParser(prog="lodestone")
     parser.add_argument("--provider", default="hashing", help="embedding provider")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, values in {"ingest": ["books", "out"], "ingest-modules": ["folder", "old", "out"], "index": ["chunks", "out"], "search": ["index", "query"], "stats": ["index"], "scan-examples": ["folder", "label", "chunks", "out"]}.items():
+    for name, values in {"ingest": ["books", "out"], "ingest-modules": ["folder", "old", "out"], "index": ["chunks", "out"], "search": ["index", "query"], "stats": ["index"], "status": ["config"], "evaluate": ["index", "questions", "out"], "drop": ["index"], "scan-examples": ["folder", "label", "chunks", "out"]}.items():
         command = commands.add_parser(name)
         for value in values:
             command.add_argument(value)
@@ -35,13 +36,25 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if a.command == "ingest":
         merged = chunks.merged_languages(help_book.read_books(spark, a.books, a.version))
         jsonl.write_chunks(merged, a.out)
+        written = jsonl.read_chunks(spark, a.out)
+        written.rollup("hbk_source").count().select(F.coalesce("hbk_source", F.lit("total")).alias("book"), "count").orderBy("book").show(200, truncate=False)
     elif a.command == "ingest-modules":
-        found = modules.chunks_of(modules.methods(modules.read_modules(spark, a.folder)), a.version)
+        methods = modules.methods(modules.read_modules(spark, a.folder))
+        stats.module_stats(methods).show()
+        found = modules.chunks_of(methods, a.version)
         jsonl.write_chunks(chunks.replaced_domain(jsonl.read_chunks(spark, a.old).select(*chunks.FIELDS), found, modules.DOMAIN), a.out)
     elif a.command == "index":
         rows = jsonl.read_chunks(spark, a.chunks)
         rows = rows if a.domain == "all" else rows.where(F.col("domain") == a.domain)
-        print(build_index(numbered(rows), a.out, backend(a.provider), datetime.date.today().isoformat(), a.version))
+        print(build_index(numbered(rows), a.out, backend(a.provider), datetime.date.today().isoformat(), a.version, provider=a.provider))
+    elif a.command == "status":
+        issues = readiness(spark, config.load(a.config))
+        issues.show(truncate=False)
+    elif a.command == "evaluate":
+        found = Engine(spark, a.index, backend(a.provider)).evaluated(jsonl.read_evaluation(spark, "retrieval_qa", a.questions), a.limit)
+        found.coalesce(1).write.mode("overwrite").json(a.out)
+    elif a.command == "drop":
+        print("dropped" if drop_index(spark, a.index) else "no index there")
     elif a.command == "search":
         Engine(spark, a.index, backend(a.provider)).search(a.query, a.domain, a.limit).select("rank", "score", "id", "title", "match_explanation").show(truncate=80)
     elif a.command == "stats":

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
+import numpy as np
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.config import Settings
 from lodestone.functions.scoring import SearchSettings
 from lodestone.functions.text import expanded_query
-from lodestone.operators import bm25, chunks, dense, examples, search, stats
+from lodestone.operators import bm25, chunks, dense, evaluation, examples, search, stats
 from lodestone.sources import jsonl
 from lodestone.sources.embedding import Backend, embedded
 
@@ -21,8 +25,13 @@ class Index:
     lexical: bm25.Bm25Index
 
 
-def build_index(rows: DataFrame, path: str, model: Backend, built_at: str, platform_version: str = "") -> int:
-    """Writes chunks with their texts, their vectors and the build's description; gives the number of chunks.
+#: An index of fewer vectors has no cells: a plain search is as fast.
+CELLS_FROM = 256
+
+
+def build_index(rows: DataFrame, path: str, model: Backend, built_at: str, platform_version: str = "", cells: bool = True, provider: str = "") -> int:
+    """Writes chunks with their texts, postings and statistics, vectors (with their cells, if ``cells`` and there are enough) and
+    the build's description; gives the number of chunks.
 
     rows: chunks with chunk_ord. Of several chunks with one id the first stays. An empty table writes an empty index.
     """
@@ -34,7 +43,12 @@ def build_index(rows: DataFrame, path: str, model: Backend, built_at: str, platf
     chunks.write_index(found, f"{path}/vectors")
     bm25.write(bm25.build(stored), f"{path}/lexical")
     n, size = stored.count(), dense.check_dimensions(spark.read.schema(found.schema).parquet(f"{path}/vectors"))
-    jsonl.write_index_meta(spark, f"{path}/meta", n, built_at, platform_version, type(model).__name__, model.model_id, size or None)
+    cells = cells and n >= CELLS_FROM
+    if cells:
+        dealt, centres = dense.with_cells(spark.read.schema(found.schema).parquet(f"{path}/vectors"))
+        dealt.repartition("cell", F.pmod("chunk_ord", F.lit(4))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+    jsonl.write_index_meta(spark, f"{path}/meta", n, built_at, platform_version, provider or type(model).__name__, model.model_id, size or None, cells)
     return n
 
 
@@ -43,12 +57,81 @@ def open_index(spark: SparkSession, path: str) -> Index:
     return Index(rows, spark.read.parquet(f"{path}/vectors"), bm25.read(spark, f"{path}/lexical").persist())
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def drop_index(spark: SparkSession, path: str) -> bool:
+    """Deletes an index; whether there was one. A folder without an index's description stays as it is."""
+    if not there(spark, f"{path}/meta"):
+        return False
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def index_meta(spark: SparkSession, path: str) -> dict:
+    """The description of a built index; empty without one."""
+    found = jsonl.read_index_meta(spark, f"{path}/meta").first() if there(spark, f"{path}/meta") else None
+    return found.asDict() if found else {}
+
+
+def readiness(spark: SparkSession, settings: Settings) -> DataFrame:
+    """(severity, code) of what keeps searches over this installation from working or being good; no rows if all is well."""
+    index, export = str(settings.index_dir), str(settings.export_dir)
+    meta, has_export, has_index = index_meta(spark, index), there(spark, export), there(spark, f"{index}/chunks")
+    n_indexed, n_bsp, readable = 0, 0, False
+    if has_index:
+        try:
+            counts = spark.read.parquet(f"{index}/chunks").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("domain") == "bsp").alias("bsp")).first()
+            n_indexed, n_bsp, readable = counts.n, counts.bsp, True
+        except (AnalysisException, PySparkException):
+            readable = False
+    own = settings.embedding.resolved()
+    n_export = jsonl.read_chunks(spark, export).count() if has_export else 0
+    fits = settings.embedding.aligned(meta) == own
+    state = [(has_export and n_export > 0, bool(meta), has_index, readable, settings.build_vector_index, meta.get("vector_index_built"), settings.bsp.enabled, fits, n_export, n_indexed, n_bsp)]
+    names = "export_there boolean, meta_there boolean, index_there boolean, index_readable boolean, wants_vector_index boolean, vector_index_built boolean, bsp_expected boolean, embedding_matches boolean, n_export bigint, n_indexed bigint, n_bsp bigint"
+    return stats.readiness_issues(spark.createDataFrame(state, names), vectors_from=CELLS_FROM)
+
+
 class Engine:
-    """Searches one index. Every method gives a DataFrame; nothing runs until it is read."""
+    """Searches one index. Every method gives a DataFrame; nothing runs until it is read.
+
+    Queries must be embedded by the model that the index was built with; another one is an error.
+    """
+
+    @classmethod
+    def configured(cls, spark: SparkSession, settings: Settings, code: DataFrame | None = None) -> Engine:
+        """Over the installation's index, with the model that it was built with, whatever the settings name now."""
+        path = str(settings.index_dir)
+        return cls(spark, path, settings.embedding.aligned(index_meta(spark, path)).backend(), settings.search, code)
 
     def __init__(self, spark: SparkSession, path: str, model: Backend, settings: SearchSettings | None = None, code: DataFrame | None = None):
         self.spark, self.model, self.settings, self.code = spark, model, settings or SearchSettings(), code
-        self.index = open_index(spark, path)
+        built = index_meta(spark, path).get("embedding_model")
+        if built and built != model.model_id:
+            raise ValueError(f"the index was built with the model {built!r}, not {model.model_id!r}")
+        self.path, self.index = path, open_index(spark, path)
+
+    def neighbours(self, queries: DataFrame) -> DataFrame:
+        """Nearest chunks by cosine of (query_id, scope, depth, vector): only cells that can hold some are looked into, if there are cells."""
+        if not there(self.spark, f"{self.path}/cells"):
+            return dense.nearest(self.index.vectors, queries, "cosine")
+        centres = np.array([r.centre for r in self.spark.read.parquet(f"{self.path}/centres").orderBy("cell").collect()])  # 256 at most
+        return dense.probed(self.spark.read.parquet(f"{self.path}/cells"), centres, queries)
+
+    def evaluated(self, questions: DataFrame, k: int = 5) -> DataFrame:
+        """(queries, mrr, latency_ms) of questions (query, domain, expected_topic_ids), asked as one batch; the latency is a query's share."""
+        # Numbered by their content, so that every pass gives the same numbers.
+        rows = questions.select("query", F.coalesce("domain", F.lit("all")).alias("domain"), "expected_topic_ids").distinct()
+        rows = rows.withColumn("query_id", F.xxhash64("query", "domain", "expected_topic_ids"))
+        began = time.perf_counter()
+        found = self.search_batch(rows.select("query_id", "query", "domain", F.lit(k).alias("k"))).select("query_id", "id", "rank").collect()
+        took = 1000 * (time.perf_counter() - began)
+        ranked = self.spark.createDataFrame([tuple(r) for r in found], "query_id bigint, id string, rank int")
+        relevant = rows.select("query_id", F.explode("expected_topic_ids").alias("id"))
+        return evaluation.mean_reciprocal_rank(ranked, relevant, rows, k).withColumn("latency_ms", F.lit(took) / F.greatest("queries", F.lit(1)))
 
     def warm(self) -> None:
         """Loads the statistics and the model, so that the first search doesn't have to."""
@@ -64,7 +147,7 @@ class Engine:
     def search(self, query: str, domain: str = "all", limit: int | None = None) -> DataFrame:
         if not query.strip():
             raise ValueError("an empty query")
-        if limit is not None and not 0 <= limit <= 50:
+        if limit is not None and not 1 <= limit <= 50:
             raise ValueError("limit is between 1 and 50")
         row = self.spark.createDataFrame([(1, query, domain, limit)], "query_id bigint, query string, domain string, k int")
         return self.search_batch(row).drop("query_id").orderBy("rank")

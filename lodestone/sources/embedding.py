@@ -76,10 +76,61 @@ class HttpBackend:
         return np.vstack(parts) if parts else np.empty((0, 0), np.float32)
 
     def embed_query(self, text: str) -> np.ndarray:
-        return self._call([self.query_prefix + text])[0]
+        return self.embed_queries([text])[0]
 
+    def embed_queries(self, texts: list[str]) -> np.ndarray:
+        """Vectors of many queries, a call for each batch of them."""
+        return np.vstack([self._call([self.query_prefix + t for t in texts[at : at + self.batch]]) for at in range(0, len(texts), self.batch)])
 
-BACKENDS: dict[str, Callable[..., Backend]] = {"hashing": HashingBackend, "http": HttpBackend}
+
+class LocalModelBackend:
+    """A model on the machine by the ``sentence_transformers`` library, where that is installed; loaded on first use in each process."""
+
+    def __init__(self, model: str = "intfloat/multilingual-e5-base", device: str = "cpu", batch: int = 64, passage_prefix: str = "passage: ", query_prefix: str = "query: "):
+        self.model_id, self.device, self.batch = model, device, batch
+        self.passage_prefix, self.query_prefix = passage_prefix, query_prefix
+
+    def _encoded(self, texts: list[str]) -> np.ndarray:
+        if "_model" not in self.__dict__:
+            from sentence_transformers import SentenceTransformer
+
+            self._model = SentenceTransformer(self.model_id, device=self.device)
+        return np.asarray(self._model.encode(texts, batch_size=self.batch, normalize_embeddings=True, show_progress_bar=False), np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_model"}
+
+    def embed_passages(self, texts: list[str]) -> np.ndarray:
+        return self._encoded([self.passage_prefix + t for t in texts])
+
+    def embed_query(self, text: str) -> np.ndarray:
+        return self._encoded([self.query_prefix + text])[0]
+
+    def embed_queries(self, texts: list[str]) -> np.ndarray:
+        return self._encoded([self.query_prefix + t for t in texts])
+
+
+def ollama(model: str = "nomic-embed-text", base_url: str = "http://localhost:11434/v1", **options) -> HttpBackend:
+    """A local service with its usual address."""
+    return HttpBackend(base_url, model, **options)
+
+
+BACKENDS: dict[str, Callable[..., Backend]] = {"hashing": HashingBackend, "http": HttpBackend, "openai_compatible": HttpBackend, "ollama": ollama, "sentence_transformers": LocalModelBackend, "huggingface": LocalModelBackend}
+
+#: How many query vectors a process remembers.
+REMEMBERED = 1024
+
+
+def query_vectors(model: Backend, texts: list[str], known: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """Vectors of queries; each distinct one is asked for once, all new ones together where the model can."""
+    fresh = [t for t in dict.fromkeys(texts) if t not in known]
+    if len(known) + len(fresh) > REMEMBERED:
+        fresh = list(dict.fromkeys(texts))
+        known.clear()
+    if fresh:
+        many = getattr(model, "embed_queries", None)
+        known.update(zip(fresh, many(fresh) if many else [model.embed_query(t) for t in fresh], strict=True))
+    return [known[t] for t in texts]
 
 
 def backend(provider: str, **options) -> Backend:
@@ -90,9 +141,10 @@ def backend(provider: str, **options) -> Backend:
 
 def _embedded(model: Backend, queries: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            found = np.array([model.embed_query(t) for t in texts]) if queries else model.embed_passages(texts)
+            found = query_vectors(model, texts, known) if queries else model.embed_passages(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([v.tolist() for v in found], pa.list_(pa.float32()))], names=[*batch.schema.names[:-1], "vector"])
 
     return run
