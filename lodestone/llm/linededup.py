@@ -32,6 +32,8 @@ from lodestone.llm.keyfilter import KeyFilter, maybe
 from lodestone.llm.wordhash import mixed
 
 MIN_CHARS, PARTS = 20, 16
+#: A line with more than one in so many of all lines is common; there are fewer common lines than that.
+COMMON = 20_000
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -155,7 +157,7 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int =
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, text_key bigint, place int, h1 bigint, h2 bigint, halves array<bigint>"
     lines = materialized(rows.mapInArrow(_lines(max(4, min_chars)), schema), "lines")
     at = F.struct("id", "text_key", "place")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    distinct = lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
     if max_edits:
         distinct = materialized(distinct, "distinct-lines")
         keyed = lines.where("halves is not null").select("h1", "h2", "halves").dropDuplicates(["h1", "h2"]).select("h1", "h2", F.explode("halves").alias("key"))
@@ -170,8 +172,15 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int =
     else:
         distinct = distinct.withColumn("later", F.lit(None).cast("boolean"))
     # Only lines with something to remove meet their occurrences.
-    marked = distinct.where("later or first < last").select("h1", "h2", "first", F.coalesce("later", F.lit(False)).alias("later"))
-    gone = lines.select("id", "text_key", "place", "h1", "h2").join(marked, ["h1", "h2"]).where(F.col("later") | (at != F.col("first")))
+    marked = distinct.where("later or first < last").select("h1", "h2", "first", F.coalesce("later", F.lit(False)).alias("later"), "n")
+    # Occurrences of a common line must not meet in one task: at most ``COMMON`` lines can have more than their share of all
+    # occurrences, so these few are sent to the occurrences, and no other line has more than that share.
+    marked = materialized(marked, "marked-lines")
+    is_common = F.col("n") > lines.count() // COMMON
+    common = F.broadcast(marked.where(is_common).drop("n"))
+    occurrences = lines.select("id", "text_key", "place", "h1", "h2")
+    rare = occurrences.join(common.select("h1", "h2"), ["h1", "h2"], "left_anti").join(marked.where(~is_common).drop("n"), ["h1", "h2"])
+    gone = occurrences.join(common, ["h1", "h2"]).unionByName(rare).where(F.col("later") | (at != F.col("first")))
     return gone.groupBy("id", "text_key").agg(F.collect_set("place").alias("places"))
 
 
