@@ -233,3 +233,17 @@ def test_many_removed_lines_of_a_long_text(spark):
     docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "x" * 120_000 + "\n" + lines[0])], "doc_id bigint, text string")
     got = {r.doc_id: r for r in linededup.deduplicated(docs, max_edits=0).collect()}
     assert got[1].text == "\n".join(lines[:700]) and got[1].n_removed == 29_300 and got[2].text == "x" * 120_000
+
+
+@pytest.mark.parametrize("common", [1, 5, 20_000])
+def test_common_and_rare_lines_lose_the_same(spark, monkeypatch, common):
+    rng = random.Random(7)
+    lines = [f"a line of some length with the number {n} in it" for n in range(30)]
+    rows = [(i, "\n".join(rng.choice(lines[: 3 if i % 2 else 30]) for _ in range(6))) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (None, lines[0]), (61, None)], "doc_id bigint, text string")
+    seen, want = {lines[0]}, {None: lines[0], 61: None}  # a row without an id comes first
+    for i, text in rows:
+        kept = [x for x in text.split("\n") if not (x in seen or seen.add(x))]
+        want[i] = "\n".join(kept)
+    monkeypatch.setattr(linededup, "COMMON", common)
+    assert {r.doc_id: r.text for r in linededup.deduplicated(docs, max_edits=0).collect()} == want
