@@ -10,14 +10,16 @@ minimum, on one side at least, so windows are grouped by their minimum and the s
 that, a phrase that is common but shorter than a passage would bring unlike documents together. A second minimum, unlike
 the shingle at a fixed place, stays the same where words are inserted or deleted. Each window is tied to
 the earliest of its groups: as many ties as windows, however many documents share a passage. The ties of two
-documents are joined as intervals across the hash functions, per diagonal; the shingles of the two stretches are
-fetched, and a run of ``least`` shingles counts as repeated where it has a Jaccard similarity of ``similarity`` or more.
-
-That is not all of a group. A window whose tie isn't confirmed is compared with every other member of its group, twice as
-many in each round, until one confirms it or none is left: where one phrase stands in the passages of many families, each
-family meets, and such a group costs pairs. A window whose tie is confirmed but that goes on beyond the repeated stretch
-may share more with another one: those are grouped anew by the shingle next to the stretch, on either side, and tied again
-until no group has two. Windows that a confirmed stretch covers whole have nothing left to find.
+documents are joined as intervals across the hash functions, per diagonal; both stretches are compared, and a run of
+``least`` shingles counts as repeated where the other stretch has it, near the same place, in a Jaccard similarity of
+``similarity`` or more.
+
+That is not all of a group: what a window shares with another member, beyond what it shares with the earliest, comes in the next round.
+A window that a confirmed stretch covers whole has nothing left to find. Any other goes on in finer groups, one a side, named by the
+first shingle there at which it parts from the earliest (beside the confirmed stretch, or the first that differs where none is
+confirmed). Two members with a run in common that the earliest lacks part from it at the same shingle on one side at least, so
+they meet again; members that only share a common phrase part at shingles of their own and are left alone. The earliest of
+each group leaves it, so the rounds end, when no group has two; no pairs of a group are ever listed.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,9 @@ from lodestone.llm.wordhash import mixed, run_hashes, space_words, word_codes
 SHINGLE, LEAST_WORDS, SIMILARITY, FUNCTIONS = 5, 50, 0.8, 4
 #: How many words a near copy may have more or less before a place than its original.
 SLACK = 16
+#: A window's place and how far it goes to the left and to the right of it, in one number.
+REACH_BITS = 12
+FAR = (1 << REACH_BITS) - 1
 
 
 def shingles_of(text: bytes | None) -> np.ndarray:
@@ -47,6 +53,13 @@ def function(shingles: np.ndarray, which: int) -> np.ndarray:
     return mixed(shingles ^ np.uint64(0x5851F42D4C957F2D * (which + 1) & 0xFFFFFFFFFFFFFFFF))
 
 
+def untied(values: np.ndarray) -> np.ndarray:
+    """Ranks of ``values``; equal ones in an order without a pattern, so that a tree over repeated words stays shallow."""
+    ranks = np.empty(len(values), np.int64)
+    ranks[np.lexsort((mixed(np.arange(len(values), dtype=np.uint64)), values))] = np.arange(len(values))
+    return ranks
+
+
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(l, c, r), r included, for the Cartesian tree's nodes of ``least`` values or more; of equal minima the first is the root."""
     out, stack = [], [(0, len(values))]
@@ -71,88 +84,90 @@ def beside(hashed: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(least: int, functions: int):
+    def of_text(shingles: np.ndarray) -> Iterator[np.ndarray]:
+        plain = len(np.unique(shingles)) == len(shingles)
+        for f in range(functions):
+            hashed = function(shingles, f)
+            l, c, r = np.array(compact_windows(hashed if plain else untied(hashed), least), np.int64).T
+            # The low 32 bits of each: the high ones of a minimum are mostly zeros.
+            before, after = (side[c] & np.uint64(0xFFFFFFFF) for side in beside(hashed, least))
+            value, context = hashed[c].view(np.int64), (before | after << np.uint64(32)).view(np.int64)
+            if not plain:  # of equal windows within half a run one is enough, the stretches around it are compared
+                kept = np.unique(np.stack([value, context, c // max(least // 2, 1)]), axis=1, return_index=True)[1]
+                l, c, r, value, context = l[kept], c[kept], r[kept], value[kept], context[kept]
+            left, right = np.minimum(c - l, least - 1), np.minimum(r - c, least - 1)
+            yield np.stack([value, context, c << 2 * REACH_BITS | left << REACH_BITS | right])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, which, values, spans, contexts = [], [], [], [], []
+            docs, parts = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 shingles = shingles_of(text)
-                if len(shingles) < least:
-                    continue
-                for f in range(functions):
-                    hashed = function(shingles, f)
-                    found = np.array(compact_windows(hashed, least), np.int32)
-                    docs.append(np.full(len(found), doc, np.int64))
-                    which.append(np.full(len(found), f, np.int8))
-                    spans.append(found)
-                    c = found[:, 1].astype(np.int64)
-                    values.append(hashed[c].view(np.int64))
-                    # The low 32 bits of each: the high ones of a minimum are mostly zeros.
-                    before, after = (side[c] & np.uint64(0xFFFFFFFF) for side in beside(hashed, least))
-                    contexts.append((before | after << np.uint64(32)).view(np.int64))
+                if len(shingles) >= least:
+                    for part in of_text(shingles):
+                        parts.append(part)
+                        docs.append(np.full(part.shape[1], doc, np.int64))
             if docs:
-                l, c, r = np.ascontiguousarray(np.concatenate(spans).T)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(docs), np.concatenate(which), np.concatenate(values), np.concatenate(contexts), l, c, r)], names=["doc", "f", "v", "x", "l", "c", "r"])
+                value, context, at = np.ascontiguousarray(np.concatenate(parts, axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (value, context, np.concatenate(docs), at)], names=["v", "x", "doc", "at"])
 
     return run
 
 
-ROW = ["key", "doc", "f", "c", "l", "r"]
-TIE = [*ROW, "to_doc", "diagonal", "to_lo", "to_hi"]
-
-
-def _crowded(rows: DataFrame) -> DataFrame:
-    """The rows whose key several have."""
-    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
-
-
-def _keyed(windows: DataFrame) -> DataFrame:
-    """A row for each window and group."""
-    sides = [F.shiftrightunsigned("x", 32 * i).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")) for i in range(2)]
-    keys = F.array(*[F.xxhash64("f", "v", F.lit(i), side) for i, side in enumerate(sides)])
-    return windows.select(F.explode(keys).alias("key"), "doc", "f", "c", "l", "r")
+def _first_ties(windows: DataFrame) -> DataFrame:
+    """(key, doc, at, to): each window with the earliest one of either of its groups, where that is another one.
 
+    One shuffle by the minimum serves the count and both groups, which are parts of the minimum's.
+    """
+    shared = windows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("v"))).where("n > 1")
+    sides = [shared["x"].bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")), F.shiftrightunsigned(shared["x"], 32)]
+    both = shared.select("v", "doc", "at", *[side.alias(f"x{i}") for i, side in enumerate(sides)])
+    for i in range(2):
+        both = both.withColumn(f"to{i}", F.min(F.struct("doc", "at")).over(Window.partitionBy("v", f"x{i}")))
+    groups = F.array(*[F.struct(F.xxhash64("v", F.lit(i), f"x{i}").alias("key"), F.col(f"to{i}").alias("to")) for i in range(2)])
+    return both.select("doc", "at", F.inline(groups)).where("to.doc <> doc or to.at <> at")
 
-def _tied(rows: DataFrame) -> DataFrame:
-    """rows: those of TIE's columns that a row has, and to (doc, c, l, r), the window that it is compared with."""
-    return rows.select(*ROW, F.col("to.doc").alias("to_doc"), (F.col("c") - F.col("to.c")).alias("diagonal"), F.col("to.l").alias("to_lo"), F.col("to.r").alias("to_hi"))
 
+def _further_ties(rows: DataFrame) -> DataFrame:
+    """The same of rows (key, doc, at)."""
+    return rows.withColumn("to", F.min(F.struct("doc", "at")).over(Window.partitionBy("key"))).where("to.doc <> doc or to.at <> at")
 
-def _ties(rows: DataFrame) -> DataFrame:
-    """Each window with the earliest one of its group, where that is another one."""
-    earliest = F.min(F.struct("doc", "c", "l", "r")).over(Window.partitionBy("key"))
-    return _tied(rows.withColumn("to", earliest).where("to.doc <> doc or to.c <> c"))
 
+def _pairs(ties: DataFrame, least: int) -> DataFrame:
+    """(doc, to_doc, diagonal, lo, hi, to_lo, to_hi, windows): a row for each two documents and diagonal, the stretches that may be alike and the windows tied there."""
+    place = F.shiftright("at", 2 * REACH_BITS).cast("int")
+    ties = ties.withColumn("c", place).withColumn("diagonal", F.col("c") - F.shiftright("to.at", 2 * REACH_BITS).cast("int"))
+    merged = ties.groupBy("doc", F.col("to.doc").alias("to_doc"), "diagonal").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.collect_list(F.struct("key", "at")).alias("windows"))
+    # A run that has a tied window's minimum reaches less than a run's length beyond it.
+    lo, hi = F.greatest(F.col("least") - least - SLACK, F.lit(0)), F.col("most") + least + SLACK
+    return merged.select("doc", "to_doc", "diagonal", lo.alias("lo"), hi.alias("hi"), F.greatest(lo - F.col("diagonal") - SLACK, F.lit(0)).alias("to_lo"), (hi - F.col("diagonal") + SLACK).alias("to_hi"), "windows")
 
-def _more_ties(open_rows: DataFrame, ranked: DataFrame, low: int, high: int) -> DataFrame:
-    """Each open window with the members of its group at the places from ``low`` to ``high``; two open ones meet once."""
-    others = ranked.where(F.col("place").between(low, high)).select("key", F.struct("doc", "c", "l", "r").alias("to"), F.col("place").alias("to_place"))
-    is_open = open_rows.select("key", F.col("place").alias("to_place"), F.lit(True).alias("to_open"))
-    others = others.join(is_open, ["key", "to_place"], "left")
-    return _tied(open_rows.join(others, "key").where("to_place <> place and (to_open is null or to_place < place)"))
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of a text that any pair asks for, from the first to the last, 32 bits of each: enough to compare two documents."""
+    for batch in batches:
+        parts = []
+        for text, lo, hi in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            parts.append((shingles_of(text) >> np.uint64(32)).astype(np.uint32)[lo : hi + 1].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(parts, pa.binary())], names=["doc", "base", "shingles"])
 
-def _fetched(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, lows, highs, parts = [], [], [], []
-            for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                shingles = (shingles_of(text) >> np.uint64(32)).astype(np.uint32)  # enough to compare two documents
-                for span in spans:
-                    docs.append(doc)
-                    lows.append(span["lo"])
-                    highs.append(span["hi"])
-                    parts.append(shingles[span["lo"] : span["hi"] + 1].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), pa.array(parts, pa.binary())], names=["doc", "lo", "hi", "shingles"])
 
-    return run
+def near_places(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
+    """Whether ``b`` has each value of ``a`` within SLACK places of its own place there plus ``shift``."""
+    there = np.sort(b.astype(np.uint64) << np.uint64(32) | np.arange(len(b), dtype=np.uint64))
+    at = np.arange(len(a), dtype=np.int64) + shift
+    asked = a.astype(np.uint64) << np.uint64(32)
+    first, last = (np.searchsorted(there, asked | np.clip(at + d, 0, 0xFFFFFFFF).astype(np.uint64)) for d in (-SLACK, SLACK + 1))
+    return last > first
 
 
-def alike(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list[tuple[int, int]]:
+def alike(a: np.ndarray, b: np.ndarray, least: int, similarity: float, shift: int | None = None) -> list[tuple[int, int]]:
     """(begin, end), end included, of the stretches of ``a`` covered by runs of ``least`` shingles that ``b`` has in that similarity.
 
-    Two runs of n shingles of which m are shared have a Jaccard similarity of m / (2 n - m). Ends that aren't shared are cut.
+    Two runs of n shingles of which m are shared have a Jaccard similarity of m / (2 n - m). Ends that aren't shared are cut. With
+    ``shift`` a shingle is shared only near its place plus that shift.
     """
-    shared = np.isin(a, b)
+    shared = np.isin(a, b) if shift is None else near_places(a, b, shift)
     enough = int(np.ceil(2 * least * similarity / (1 + similarity) - 1e-9))
     if len(a) < least or shared.sum() < enough:
         return []
@@ -168,23 +183,53 @@ def alike(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list[t
     return [(int(places[np.searchsorted(places, x)]), int(places[np.searchsorted(places, y, side="right") - 1])) for x, y in out]
 
 
+def parted(a: np.ndarray, b: np.ndarray, shift: int, spans: list[tuple[int, int]], key: np.ndarray, at: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, at) of the finer groups of windows that no span covers: a key for each side, by the shingle where ``a`` parts from ``b``."""
+    c, left, right = (at >> 2 * REACH_BITS) - base, at >> REACH_BITS & FAR, at & FAR
+    place = np.arange(len(a)) + shift
+    inside = (place >= 0) & (place < len(b))
+    same = np.zeros(len(a), bool)
+    same[inside] = a[inside] == b[place[inside]]
+    differ = np.concatenate([[-1], np.nonzero(~same)[0], [len(a)]])
+    known = (c >= 0) & (c < len(a))
+    after = np.searchsorted(differ, c, side="right")
+    ends = differ[np.minimum(after, len(differ) - 1)]
+    begins = differ[np.maximum(np.searchsorted(differ, c) - 1, 0)]
+    for s, e in spans:
+        within = (c >= s) & (c <= e)
+        begins, ends = np.where(within, s - 1, begins), np.where(within, e + 1, ends)
+    keys, places = [], []
+    for side, edge, open_ in ((1, begins, known & (begins >= np.maximum(c - left, 0))), (2, ends, known & (ends <= np.minimum(c + right, len(a) - 1)))):
+        keys.append(mixed(key[open_].view(np.uint64) ^ mixed(a[edge[open_]].astype(np.uint64) << np.uint64(2) | np.uint64(side))).view(np.int64))
+        places.append(at[open_])
+    return np.concatenate(keys), np.concatenate(places)
+
+
 def _verified(least: int, similarity: float):
     spans = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-    beyond = pa.list_(pa.struct([("before", pa.int64()), ("after", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, to_doc, diagonal, lo, to_lo, one, two = (batch.column(i).to_pylist() for i in range(7))
-            out: list[list] = [[], [], []]
-            for x, y, p, q in zip(lo, to_lo, one, two, strict=True):
+            diagonal, lo, to_lo, one, two = (batch.column(i).to_pylist() for i in range(2, 7))
+            windows = batch.column(7)
+            key, at = (windows.flatten().field(i).to_numpy() for i in range(2))
+            sizes = pc.list_value_length(windows).to_numpy()
+            begun = np.concatenate([[0], np.cumsum(sizes)])
+            out: list[list] = [[], []]
+            finer: list[list[np.ndarray]] = [[], []]
+            for i, (d, x, y, p, q) in enumerate(zip(diagonal, lo, to_lo, one, two, strict=True)):
                 a, b = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-                there, here = alike(a, b, least, similarity), alike(b, a, least, similarity)
+                shift = x - d - y  # a place of a, less x, is that much more in b
+                there, here = alike(a, b, least, similarity, shift), alike(b, a, least, similarity, -shift)
                 both = bool(there and here)
                 for column, base, found in ((0, x, there), (1, y, here)):
                     out[column].append([{"begin": base + s, "end": base + e + SHINGLE} for s, e in found] if both else [])
-                # The shingle on either side of each span; -1 where the stretch ends.
-                out[2].append([{"before": int(a[s - 1]) if s else -1, "after": int(a[e + 1]) if e + 1 < len(a) else -1} for s, e in there] if both else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out[0], spans), pa.array(out[1], spans), pa.array(out[2], beyond)], names=["doc", "to_doc", "diagonal", "spans", "to_spans", "beyond"])
+                own = slice(begun[i], begun[i + 1])
+                for column, values in enumerate(parted(a, b, shift, there if both else [], key[own], at[own], x)):
+                    finer[column].append(values)
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in finer[0]])]).astype(np.int32))
+            further = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(np.concatenate(v) if v else np.empty(0, np.int64)) for v in finer], ["key", "at"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], spans), pa.array(out[1], spans), further], names=["doc", "to_doc", "spans", "to_spans", "finer"])
 
     return run
 
@@ -193,70 +238,39 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     """(doc, to_doc, spans, to_spans): passages of ``doc`` that ``to_doc`` has too, in words, end excluded.
 
     Each passage is tied to the earliest place with it, not to all of them unless the earliest differs; that may be in the same document. Rows with a null id are left
-    out here; rows that repeat an id are taken for one document.
+    out here; rows that repeat an id are taken for one document, whose stretches are compared in the greatest of its texts.
     """
     tuned(docs.sparkSession)
     least = least_words - SHINGLE + 1
+    if not 1 <= least <= FAR - SLACK:
+        raise ValueError(f"least_words must be from {SHINGLE} to {FAR - SLACK + SHINGLE - 1}")
     rows = need(docs, id_col, text_col).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    windows = rows.mapInArrow(_windows(least, functions), "doc bigint, f byte, v bigint, x bigint, l int, c int, r int")
-    shared = windows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("f", "v"))).where("n > 1").drop("n")
-    members = materialized(_crowded(_keyed(shared)), "members")
+    ties = _first_ties(rows.mapInArrow(_windows(least, functions), "v bigint, x bigint, doc bigint, at bigint"))
     found = docs.sparkSession.createDataFrame([], FOUND)
-    while not members.isEmpty():
-        ties, low, ranked, finer = materialized(_ties(members), "ties"), 2, None, None
-        while True:
-            good = _judged(rows, ties, least, similarity)
-            found = found.union(good.select("doc", "to_doc", "spans", "to_spans"))
-            # What the ties of each row came to: the stretches that it stands in, none if no tie is confirmed.
-            told = ties.select(*ROW, "to_doc", "diagonal").join(good.select("doc", "to_doc", "diagonal", F.arrays_zip("spans", "beyond").alias("stretches")), ["doc", "to_doc", "diagonal"])
-            told = told.select(*ROW, "to_doc", F.inline("stretches")).select(*ROW, "to_doc", F.col("spans.begin").alias("begin"), (F.col("spans.end") - SHINGLE).alias("last"), "beyond")
-            told = materialized(told.where("begin <= r and last >= l"), "told")
-            covered = told.where("begin <= l and last >= r").select("doc", "f", "c").distinct()
-            sides = F.array(F.when(F.col("begin") > F.col("l"), F.xxhash64("key", "to_doc", F.lit(0), "beyond.before")), F.when(F.col("last") < F.col("r"), F.xxhash64("key", "to_doc", F.lit(1), "beyond.after")))
-            further = told.join(covered, ["doc", "f", "c"], "left_anti").select(F.explode(sides).alias("key"), *ROW[1:]).where("key is not null").distinct()
-            further = materialized(further, "finer")
-            finer = further if finer is None else finer.union(further)
-            if ranked is None:
-                still = ties.select(*ROW)
-                place = F.row_number().over(Window.partitionBy("key").orderBy("doc", "c", "l", "r"))
-            else:
-                still = open_rows
-            still = still.join(told.select("key", "doc", "f", "c").distinct(), ["key", "doc", "f", "c"], "left_anti").join(covered, ["doc", "f", "c"], "left_anti")
-            if ranked is None:
-                ranked = materialized(members.join(still.select("key").distinct(), "key", "left_semi").withColumn("place", place), "ranked")
-                still = ranked.join(still.select("key", "doc", "f", "c"), ["key", "doc", "f", "c"], "left_semi")
-                largest = ranked.agg(F.max("place")).first()[0] or 0
-            open_rows = materialized(still.select(*ROW, "place"), "open")
-            drop_table(ties)
-            drop_table(told)
-            if low > largest or open_rows.isEmpty():
-                break
-            ties = materialized(_more_ties(open_rows, ranked, low, 2 * low - 1), "ties")
-            low *= 2
-        drop_table(ranked)
-        drop_table(members)
-        members = materialized(_crowded(finer.distinct()), "members")
-        drop_table(finer)
-    return found
-
-
-def _judged(rows: DataFrame, ties: DataFrame, least: int, similarity: float) -> DataFrame:
-    """(doc, to_doc, diagonal, spans, to_spans, beyond) of the ties that are confirmed."""
-    # A run within a window reaches at most from its left to its right end; runs of one diagonal make one stretch.
-    merged = ties.groupBy("doc", "to_doc", "diagonal").agg(F.min("l").alias("lo"), F.max("r").alias("hi"), F.min("to_lo").alias("to_lo"), F.max("to_hi").alias("to_hi"))
-    low = F.greatest("lo", F.col("to_lo") + F.col("diagonal") - SLACK)
-    high = F.least("hi", F.col("to_hi") + F.col("diagonal") + SLACK)
-    merged = merged.withColumn("low", low).withColumn("high", high).where(F.col("high") - F.col("low") + 1 >= least)
-    merged = materialized(merged.select("doc", "to_doc", "diagonal", F.col("low").alias("lo"), F.col("high").alias("hi"), F.greatest("to_lo", F.col("low") - F.col("diagonal") - SLACK).alias("to_lo"), F.least("to_hi", F.col("high") - F.col("diagonal") + SLACK).alias("to_hi")), "merged")
-    wanted = merged.select("doc", "lo", "hi").union(merged.select("to_doc", "to_lo", "to_hi")).distinct().groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    fetched = rows.join(wanted, "doc").select("doc", "text", "spans").mapInArrow(_fetched(least), "doc bigint, lo int, hi int, shingles binary").dropDuplicates(["doc", "lo", "hi"])
-    fetched = materialized(fetched, "fetched")
-    other = fetched.select(F.col("doc").alias("to_doc"), F.col("lo").alias("to_lo"), F.col("hi").alias("to_hi"), F.col("shingles").alias("to_shingles"))
-    pairs = merged.join(fetched, ["doc", "lo", "hi"]).join(other, ["to_doc", "to_lo", "to_hi"]).select("doc", "to_doc", "diagonal", "lo", "to_lo", "shingles", "to_shingles")
+    while True:
+        pairs = materialized(_pairs(ties, least), "pairs")
+        if pairs.isEmpty():
+            drop_table(pairs)
+            return found
+        judged = _judged(rows, pairs, least, similarity)
+        drop_table(pairs)
+        found = found.union(judged.where(F.size("spans") > 0).select(*found.columns))
+        ties = _further_ties(judged.select("doc", F.inline("finer")).distinct())
+
+
+def _judged(rows: DataFrame, pairs: DataFrame, least: int, similarity: float) -> DataFrame:
+    """(doc, to_doc, spans, to_spans, finer) of the pairs."""
+    asked = pairs.select("doc", "lo", "hi").union(pairs.select("to_doc", "to_lo", "to_hi")).groupBy("doc").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    texts = rows.join(asked, "doc").groupBy("doc").agg(F.max("text").alias("text"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    cut = materialized(texts.mapInArrow(_cut, "doc bigint, base int, shingles binary"), "cut")
+    # Each stretch is cut out of its document's before it goes on.
+    one = pairs.join(cut, "doc").withColumn("one", F.expr("substring(shingles, (lo - base) * 4 + 1, (hi - lo + 1) * 4)")).drop("base", "shingles")
+    both = one.join(cut.withColumnRenamed("doc", "to_doc"), "to_doc").withColumn("two", F.expr("substring(shingles, (to_lo - base) * 4 + 1, (to_hi - to_lo + 1) * 4)"))
     span = "array<struct<begin:int,end:int>>"
-    judged = materialized(pairs.mapInArrow(_verified(least, similarity), f"doc bigint, to_doc bigint, diagonal int, spans {span}, to_spans {span}, beyond array<struct<before:bigint,after:bigint>>").where(F.size("spans") > 0), "judged")
-    drop_table(fetched)
-    drop_table(merged)
+    judge = both.select("doc", "to_doc", "diagonal", "lo", "to_lo", "one", "two", "windows")
+    judge = judge.mapInArrow(_verified(least, similarity), f"doc bigint, to_doc bigint, spans {span}, to_spans {span}, finer array<struct<key:bigint,at:bigint>>")
+    judged = materialized(judge, "judged")
+    drop_table(cut)
     return judged
 
 
