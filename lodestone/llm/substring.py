@@ -73,14 +73,15 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
     return out
 
 
-def beside(hashed: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each place, the least hash among the ``least`` / 2 - 1 places before it and among those after it; the largest number at an end."""
+def beside(hashed: np.ndarray, least: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place in ``at``, the least hash among the ``least`` / 2 - 1 places before it and among those after it; the largest number at an end."""
     width = least // 2 - 1
+    if width < 1:
+        return np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
     rest = np.full(width, np.iinfo(np.uint64).max, np.uint64)
-    if not width:
-        return np.zeros_like(hashed), np.zeros_like(hashed)
-    lowest = np.lib.stride_tricks.sliding_window_view(np.concatenate([rest, hashed, rest]), width).min(1)
-    return lowest[: len(hashed)], lowest[width + 1 : width + 1 + len(hashed)]
+    padded = np.concatenate([rest, hashed, rest])
+    places = at[:, None] + np.arange(width)
+    return padded[places].min(1), padded[places + width + 1].min(1)
 
 
 def _windows(least: int, functions: int):
@@ -90,7 +91,7 @@ def _windows(least: int, functions: int):
             hashed = function(shingles, f)
             l, c, r = np.array(compact_windows(hashed if plain else untied(hashed), least), np.int64).T
             # The low 32 bits of each: the high ones of a minimum are mostly zeros.
-            before, after = (side[c] & np.uint64(0xFFFFFFFF) for side in beside(hashed, least))
+            before, after = (side & np.uint64(0xFFFFFFFF) for side in beside(hashed, least, c))
             value, context = hashed[c].view(np.int64), (before | after << np.uint64(32)).view(np.int64)
             if not plain:  # of equal windows within half a run one is enough, the stretches around it are compared
                 kept = np.unique(np.stack([value, context, c // max(least // 2, 1)]), axis=1, return_index=True)[1]
