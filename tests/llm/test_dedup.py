@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,3 +248,27 @@ def test_common_and_rare_lines_lose_the_same(spark, monkeypatch, common):
         want[i] = "\n".join(kept)
     monkeypatch.setattr(linededup, "COMMON", common)
     assert {r.doc_id: r.text for r in linededup.deduplicated(docs, max_edits=0).collect()} == want
+
+
+def test_windows_of_a_text_of_one_word():
+    rows = sum(b.num_rows for b in substring._windows(46, 4)(iter([pa.RecordBatch.from_pydict({"doc": [1], "text": ["word " * 100_000]})])))
+    assert 4 * 2_000 < rows <= 4 * 3 * 5_000  # one for half a run and group, not one a word
+    same = substring.untied(np.array([3, 1, 1, 1, 2], np.uint64))
+    assert sorted(same.tolist()) == list(range(5)) and same[0] == 4 and same[4] == 3
+
+
+def test_shingles_near_their_places():
+    rng = np.random.default_rng(3)
+    for shift in (-40, -3, 0, 25):
+        a, b = rng.integers(0, 30, 80).astype(np.uint32), rng.integers(0, 30, 120).astype(np.uint32)
+        want = [any(b[q] == a[p] for q in range(len(b)) if abs(q - p - shift) <= substring.SLACK) for p in range(80)]
+        assert substring.near_places(a, b, shift).tolist() == want
+
+
+def test_windows_that_part_at_the_same_shingle_meet_again():
+    phrase = np.arange(100, 130, dtype=np.uint32)
+    one, two, first = (np.concatenate([np.full(20, x, np.uint32), phrase, np.full(20, y, np.uint32)]) for x, y in ((1, 2), (1, 3), (8, 9)))
+    at = np.array([35 << 2 * substring.REACH_BITS | 30 << substring.REACH_BITS | 30])
+    got = [set(substring.parted(a, first, 0, [], np.array([77]), at, 0)[0].tolist()) for a in (one, two)]
+    assert len(got[0]) == len(got[1]) == 2 and len(got[0] & got[1]) == 1  # alike on the left only
+    assert len(substring.parted(one, first, 0, [(5, 65)], np.array([77]), at, 0)[0]) == 0  # covered whole
