@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialized, need, spread, tuned
+from lodestone.llm.common import broadcast_if_small, materialized, need, spread, tuned
 from lodestone.llm.keyfilter import KeyFilter, maybe
 from lodestone.llm.wordhash import alnum_words, run_hashes, word_codes
 
@@ -155,3 +155,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     covered = found.withColumn("fresh", F.greatest(fresh, F.lit(0)).cast("bigint"))
     out = covered.groupBy("id").agg(F.max("n_words").alias("n_words"), F.coalesce(F.sum("fresh"), F.lit(0)).alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "items")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` whose texts hold no window. Each row is judged by its own text: rows with one id, or with none, stay or go
+    one by one, and equal texts alike. Null and empty texts stay. An empty table stays empty, an empty benchmark drops none."""
+    key = F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))
+    found = hit_windows(docs.select(key.alias("text_key"), text_col), benchmark, "text_key", text_col, **how)
+    leaks = materialized(found.where(F.col("item").isNotNull()).select(F.col("id").alias("_leak")).distinct(), "leaks")
+    return docs.join(broadcast_if_small(leaks, 100_000), key == F.col("_leak"), "left_anti")

@@ -127,6 +127,16 @@ def links(nodes: DataFrame, max_bits: int = 3, crowd: int = 256, blocks: int | N
         level, ways = materialized(_together(rows.select("node", "fp", F.col("next").alias("way"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))), "simhash"), deeper
 
 
+def _with_components(prints: DataFrame, max_bits: int, crowd: int, blocks: int | None) -> DataFrame:
+    """prints (id, fp and more) with component (a node) and component_id (the least id of all its rows)."""
+    # A fingerprint is a node, with an id or without.
+    nodes = materialized(prints.groupBy("fp").agg(F.min("id").cast("bigint").alias("least")).withColumn("node", F.col("fp")), "nodes")
+    parts = connected_components(links(nodes.select("node", "fp"), max_bits, crowd, blocks))
+    joined = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(joined.select("fp", "component").join(names, "component"), "fp", "left")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, max_bits: int = 3, blocks: int | None = None, crowd: int = 256) -> DataFrame:
     """(id, fp bigint, component_id) of each row of ``docs``; linked transitively at ``max_bits`` differing bits.
 
@@ -137,17 +147,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tuned(docs.sparkSession)
     docs = need(docs, id_col, text_col)
     prints = materialized(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle_words).alias("fp")), "prints")
-    # A fingerprint is a node, with an id or without; a component is named by the smallest id of all its rows.
-    nodes = materialized(prints.groupBy("fp").agg(F.min("id").cast("bigint").alias("least")).withColumn("node", F.col("fp")), "nodes")
-    parts = connected_components(links(nodes.select("node", "fp"), max_bits, crowd, blocks))
-    joined = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = joined.select("fp", "component").join(names, "component").select("fp", "component_id")
-    return prints.join(named, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    return _with_components(prints, max_bits, crowd, blocks).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component, that with the smallest id (rows without one all stay)."""
-    parts = near_duplicates(docs, id_col, text_col, **how)
-    later = parts.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_later")).distinct()
-    return docs.join(later, docs[id_col] == later["_later"], "left_anti")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, max_bits: int = 3, blocks: int | None = None, crowd: int = 256) -> DataFrame:
+    """``docs`` with exactly one row of each near-duplicate component: that with the smallest id, rows without one last.
+
+    Rows are told apart one by one, so several rows with one id, or with none, stay where their texts are in different
+    components, and of repeated rows one stays. Null and empty texts are one component. An empty table stays empty.
+    """
+    tuned(docs.sparkSession)
+    number, print_ = "_lodestone_row", "_lodestone_fp"
+    rows = docs.withColumns({number: F.monotonically_increasing_id(), print_: fingerprint(F.col(text_col), shingle_words)})
+    rows = materialized(rows, "rows")  # written, so that the numbers stay
+    prints = rows.select(F.col(id_col).alias("id"), F.col(print_).alias("fp"), F.col(number).alias("row"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    members = materialized(_with_components(prints, max_bits, crowd, blocks).select("component", order.alias("order")), "members")
+    first = members.groupBy("component").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = members.join(first, "component").where("order <> first").select(F.col("order.row").alias("_later"))
+    return rows.join(later, rows[number] == later["_later"], "left_anti").drop(number, print_)
