@@ -1,8 +1,8 @@
 """From ``documents`` to training sequences: five stages, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last give the columns
-of ``documents``. Rows with a null id go through every stage (none is dropped for that); an empty table stays empty; other
-columns than those of ``documents`` are not passed on.
+of ``documents``. Rows are judged one by one: rows with a null id, or with one id, stay or go by their own texts; an empty table stays
+empty; other columns than those of ``documents`` are not passed on.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, linededup, pieces, quality, simhash
-from lodestone.llm.common import broadcast_if_small, materialized
+from lodestone.llm.common import materialized
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -39,16 +39,14 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     The stage is for texts whose five-word shingles have a similarity of 0.9 or more: 3 differing bits find nearly all of
     those (see the README), and fewer of the pairs from 0.8 to 0.9. Texts without words are one group; rows without an
-    id all stay.
+    id come last in theirs.
     """
     return simhash.keep_first(docs, shingle_words=5, max_bits=3).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark window. Null texts hold none."""
-    found = decontam.contamination(docs, _table(spark, sf_dir, "benchmark"))
-    leaks = materialized(found.where("n_hit > 0").select(F.col("doc_id").alias("leak")), "leaks")
-    return docs.join(broadcast_if_small(leaks, 100_000), F.col("doc_id").eqNullSafe(F.col("leak")), "left_anti").select(*COLUMNS)
+    return decontam.clean(docs, _table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
