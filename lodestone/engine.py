@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,16 +44,14 @@ def build_index(rows: DataFrame, path: str, model: Backend, built_at: str, platf
     n, size = stored.count(), dense.check_dimensions(spark.read.schema(found.schema).parquet(f"{path}/vectors"))
     cells = cells and n >= CELLS_FROM
     if cells:
-        dealt, centres = dense.with_cells(spark.read.schema(found.schema).parquet(f"{path}/vectors"))
-        dealt.repartition("cell", F.pmod("chunk_ord", F.lit(4))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
-        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+        dense.write_cells(spark.read.schema(found.schema).parquet(f"{path}/vectors"), path)
     jsonl.write_index_meta(spark, f"{path}/meta", n, built_at, platform_version, provider or type(model).__name__, model.model_id, size or None, cells)
     return n
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
     rows = spark.read.parquet(f"{path}/chunks")
-    return Index(rows, spark.read.parquet(f"{path}/vectors"), bm25.read(spark, f"{path}/lexical").persist())
+    return Index(rows, spark.read.parquet(f"{path}/vectors"), bm25.read(spark, f"{path}/lexical"))
 
 
 def there(spark: SparkSession, path: str) -> bool:
@@ -118,8 +115,8 @@ class Engine:
         """Nearest chunks by cosine of (query_id, scope, depth, vector): only cells that can hold some are looked into, if there are cells."""
         if not there(self.spark, f"{self.path}/cells"):
             return dense.nearest(self.index.vectors, queries, "cosine")
-        centres = np.array([r.centre for r in self.spark.read.parquet(f"{self.path}/centres").orderBy("cell").collect()])  # 256 at most
-        return dense.probed(self.spark.read.parquet(f"{self.path}/cells"), centres, queries)
+        cells, centres, radius = dense.read_cells(self.spark, self.path)
+        return dense.probed(cells, centres, queries, radius=radius)
 
     def evaluated(self, questions: DataFrame, k: int = 5) -> DataFrame:
         """(queries, mrr, latency_ms) of questions (query, domain, expected_topic_ids), asked as one batch; the latency is a query's share."""

@@ -1,111 +1,301 @@
 """BM25 over stems, with statistics of the whole corpus and of each domain.
 
 Statistics are tables: postings (a row for each chunk and term), term and corpus statistics by scope, where scope is a
-domain or ``EVERYWHERE``. Scoring joins query terms with the postings of those terms only.
+domain or ``EVERYWHERE``. Every posting has a level, its impact (what it adds to a score, but for the term's weight) in steps;
+postings of a term and a level are a block, and the table of blocks has each block's size and its least and largest impacts.
+
+A search for a stated set of requests goes by these bounds. The first blocks of each term, those of the highest levels,
+name some chunks; their whole scores give a threshold that the best chunks reach. Terms that all together can't reach it add no
+candidates, and blocks that can't, even with the most that the other terms add, aren't read either. What is left is scored from the
+chunks' own terms. A set too large for that, or one whose terms have few postings, joins its terms with all their postings; both ways
+give the same rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import stems
+from lodestone.operators.ranking import best_rows
 
 EVERYWHERE = "*"
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Width of a level; impacts are between 0 and K1 + 1.
+STEP = 0.125
+#: Requests, and different terms of them, up to which a search goes by blocks; terms that are written into a filter.
+REQUESTS, ASKED_TERMS, LITERALS = 2000, 20_000, 500
+#: Postings of all requests' terms up to which reading them all is quicker than finding out which to leave.
+PLAIN_HITS = 20_000_000
+#: All postings are read unless the blocks to read have less than one in so many of them.
+LEAST_SAVING = 4
+#: Postings of a term that are read for the threshold, for each row asked for; less than that below the threshold still counts as equal.
+FIRST, MARGIN = 4, 1e-6
 
 
 @dataclass
 class Bm25Index:
-    postings: DataFrame  # domain, chunk_ord, id, tok, tf, dl
+    postings: DataFrame  # domain, chunk_ord, id, tok, tf, dl, level
     terms: DataFrame  # scope, tok, df, idf
     corpora: DataFrame  # scope, n, avgdl, avg_idf
-    chunks: DataFrame  # domain, chunk_ord, id, dl
+    forward: DataFrame  # domain, chunk_ord, id, dl, toks (each once), tfs
+    blocks: DataFrame  # domain, tok, level, n, low, high, low_all, high_all
+    buckets: int = 0  # folders that stored postings, terms and blocks are dealt into
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self.forward.select("domain", "chunk_ord", "id", "dl")
 
     def persist(self) -> Bm25Index:
         """Keeps the tables between searches."""
-        for table in (self.postings, self.terms, self.corpora, self.chunks):
+        for table in (self.forward, self.postings, self.terms, self.corpora, self.blocks):
             table.persist()
         return self
 
+    def unpersist(self) -> None:
+        for table in (self.blocks, self.corpora, self.terms, self.postings, self.forward):
+            table.unpersist()
+
+
+def impact(tf: Column, dl: Column, avgdl: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
 
 def build(chunks: DataFrame, text_col: str = "lexical_text") -> Bm25Index:
     """chunks: chunk_ord, id, domain and the text to index. A term that over half of a scope has gets a floor for its
     negative weight, a quarter of the mean weight of the scope's terms."""
-    words = chunks.select("domain", "chunk_ord", "id", stems(F.col(text_col)).alias("toks")).withColumn("dl", F.size("toks"))
-    postings = words.select("domain", "chunk_ord", "id", "dl", F.explode("toks").alias("tok")).groupBy("domain", "chunk_ord", "id", "tok").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    return described(postings, words.select("domain", "chunk_ord", "id", "dl"))
+    words = chunks.select("domain", "chunk_ord", "id", F.array_sort(stems(F.col(text_col))).alias("all"))
+    # A chunk's terms are counted where the chunk is: in order, a term begins where another one ends.
+    n = F.size("all")
+    begins = F.when(n > 0, F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get("all", i - 1) != F.get("all", i - 2)))).otherwise(F.array().cast("array<int>"))
+    words = words.withColumn("begins", begins)
+    tfs = F.zip_with("begins", F.concat(F.slice("begins", F.lit(2), F.greatest(F.size("begins"), F.lit(1))), F.array(n + 1)), lambda a, b: (b - a).cast("bigint"))
+    return described(words.select("domain", "chunk_ord", "id", n.alias("dl"), F.transform("begins", lambda i: F.get("all", i - 1)).alias("toks"), F.slice(tfs, F.lit(1), F.size("begins")).alias("tfs")))
 
 
-def described(postings: DataFrame, words: DataFrame) -> Bm25Index:
-    """The index of postings and the chunks' lengths (domain, chunk_ord, id, dl); statistics come from these two alone."""
-    by_domain = postings.groupBy("domain", "tok").agg(F.count(F.lit(1)).alias("df"))
+def described(forward: DataFrame, postings: DataFrame | None = None) -> Bm25Index:
+    """The index of the chunks' terms (domain, chunk_ord, id, dl, toks, tfs); statistics come from these alone."""
     scopes = F.explode(F.array(F.col("domain"), F.lit(EVERYWHERE))).alias("scope")
+    lengths = forward.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"))  # a row for each domain
+    sizes = lengths.select(scopes, "n", "dl").groupBy("scope").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
+    everything = Window.partitionBy()
+    averages = F.broadcast(lengths.select(F.col("domain").alias("of"), (F.col("dl") / F.col("n")).alias("own_avgdl"), (F.sum("dl").over(everything) / F.sum("n").over(everything)).alias("all_avgdl")))
+    same = F.col("domain").eqNullSafe(F.col("of"))
+    if postings is None:
+        rows = forward.select("domain", "chunk_ord", "id", "dl", F.explode(F.arrays_zip("toks", "tfs")).alias("t")).join(averages, same)
+        level = F.floor(impact(F.col("t.tfs"), F.col("dl"), F.col("all_avgdl")) / STEP).cast("int")
+        postings = rows.select("domain", "chunk_ord", "id", F.col("t.toks").alias("tok"), F.col("t.tfs").alias("tf"), "dl", level.alias("level"))
+    at = postings.join(averages, same)
+    near, far = impact(F.col("tf"), F.col("dl"), F.col("own_avgdl")), impact(F.col("tf"), F.col("dl"), F.col("all_avgdl"))
+    blocks = at.groupBy("domain", "tok", "level").agg(F.count(F.lit(1)).alias("n"), F.min(near).alias("low"), F.max(near).alias("high"), F.min(far).alias("low_all"), F.max(far).alias("high_all"))
+    by_domain = blocks.groupBy("domain", "tok").agg(F.sum("n").alias("df"))
     df = by_domain.select(scopes, "tok", "df").groupBy("scope", "tok").agg(F.sum("df").alias("df"))
-    sizes = words.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).select(scopes, "n", "dl").groupBy("scope").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
     raw = df.join(sizes, "scope").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("scope").agg(F.avg("raw").alias("avg_idf"))
     corpora = sizes.join(mean, "scope", "left")
     terms = raw.join(mean, "scope").select("scope", "tok", "df", F.when(F.col("raw") < 0, EPSILON * F.col("avg_idf")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, terms, corpora, words)
+    return Bm25Index(postings, terms, corpora, forward, blocks)
+
+
+#: Stored postings of a folder, about; there are at least and at most so many folders, a power of two.
+FOLDER_ROWS, LEAST_FOLDERS, MOST_FOLDERS = 20_000_000, 64, 8192
 
 
-#: Files that the stored postings are dealt into by term.
-BUCKETS = 64
+def bucket_of(tok: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(tok), F.lit(buckets)).cast("int")
 
 
 def write(index: Bm25Index, path: str) -> None:
-    """Stores the index: postings and terms in files by a hash of the term, so that a search reads only its terms' files."""
-    bucket = F.pmod(F.xxhash64("tok"), F.lit(BUCKETS)).cast("int")
-    # Several tasks write a bucket, as a common term can hold much of all postings.
-    dealt = index.postings.withColumn("bucket", bucket).repartition("bucket", F.pmod("chunk_ord", F.lit(8))).sortWithinPartitions("bucket", "tok")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    index.chunks.write.mode("overwrite").parquet(f"{path}/lengths")
-    stored = described(index.postings.sparkSession.read.parquet(f"{path}/postings").drop("bucket"), index.postings.sparkSession.read.parquet(f"{path}/lengths"))
-    stored.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    stored.corpora.write.mode("overwrite").parquet(f"{path}/corpora")
+    """Stores the index: postings, terms and blocks in folders by a hash of the term, postings of a folder by term and level, so that a search
+    reads its terms' folders only and of these the row groups of the levels that it wants; the chunks' terms by chunk_ord."""
+    spark = index.postings.sparkSession
+    index.forward.repartitionByRange("chunk_ord").sortWithinPartitions("chunk_ord").write.mode("overwrite").parquet(f"{path}/forward")
+    stored = described(spark.read.parquet(f"{path}/forward"))
+    buckets, many = LEAST_FOLDERS, stored.forward.agg(F.sum("dl")).first()[0] or 0
+    while buckets < MOST_FOLDERS and buckets * FOLDER_ROWS < many:
+        buckets *= 2
+    dealt = lambda table, *by: table.withColumn("bucket", bucket_of(F.col("tok"), buckets)).repartition("bucket", *by)
+    # Several tasks write a folder, as a common term can hold much of all postings.
+    dealt(stored.postings, F.pmod("chunk_ord", F.lit(8))).sortWithinPartitions("bucket", "tok", "level").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    stored = described(stored.forward, spark.read.parquet(f"{path}/postings").drop("bucket"))
+    for name, table in (("blocks", stored.blocks), ("terms", stored.terms)):
+        dealt(table).sortWithinPartitions("bucket", "tok").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+    stored.corpora.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpora")
 
 
 def read(spark: SparkSession, path: str) -> Bm25Index:
     """An index that ``write`` has stored."""
-    return Bm25Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "corpora", "lengths")])
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "corpora", "forward", "blocks")}
+    layout = tables["corpora"].select("buckets").first()
+    return Bm25Index(**{**tables, "corpora": tables["corpora"].drop("buckets")}, buckets=layout.buckets if layout else LEAST_FOLDERS)
+
+
+def of_terms(table: DataFrame, toks: list[str], buckets: int) -> DataFrame:
+    """The rows of some terms: by folders where the table is stored in such, and by the terms themselves if they are few."""
+    if buckets:
+        there = table.sparkSession.createDataFrame([(t,) for t in toks], "tok string").select(bucket_of(F.col("tok"), buckets).alias("b")).distinct().collect() if toks else []
+        table = table.where(F.col("bucket").isin([r.b for r in there])).drop("bucket")
+    if len(toks) <= LITERALS:
+        return table.where(F.col("tok").isin(toks))
+    return table.join(F.broadcast(table.sparkSession.createDataFrame([(t,) for t in toks], "tok string")), "tok")
+
+
+def asked_terms(requests: DataFrame) -> DataFrame:
+    return requests.select("query_id", "scope", F.explode(stems(F.col("query"))).alias("tok")).groupBy("query_id", "scope", "tok").agg(F.count(F.lit(1)).alias("times"))
 
 
 def scored(requests: DataFrame, index: Bm25Index) -> DataFrame:
     """(query_id, scope, chunk_ord, id, raw) of the chunks that share a term with the request; terms count as often as asked.
 
-    requests: query_id, scope, query.
+    requests: query_id, scope, query. All postings of the terms are read.
     """
-    asked = requests.select("query_id", "scope", F.explode(stems(F.col("query"))).alias("tok")).groupBy("query_id", "scope", "tok").agg(F.count(F.lit(1)).alias("times"))
-    weighed = asked.join(index.terms.select("scope", "tok", "idf"), ["scope", "tok"]).join(index.corpora.select("scope", "avgdl"), "scope")
-    # Stored postings lie in folders by a hash of the term: those of other terms aren't read.
-    if "bucket" in index.postings.columns:
-        weighed = weighed.withColumn("bucket", F.pmod(F.xxhash64("tok"), F.lit(BUCKETS)).cast("int"))
-        hits = weighed.join(index.postings, ["bucket", "tok"])
-    else:
-        hits = weighed.join(index.postings, "tok")
-    hits = hits.where((F.col("scope") == EVERYWHERE) | (F.col("scope") == F.col("domain")))
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    weighed = asked_terms(requests).join(index.terms.select("scope", "tok", "idf"), ["scope", "tok"]).join(index.corpora.select("scope", "avgdl"), "scope")
+    hits = weighed.join(index.postings, "tok").where((F.col("scope") == EVERYWHERE) | (F.col("scope") == F.col("domain")))
+    part = F.col("times") * F.col("idf") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"))
     return hits.groupBy("query_id", "scope", "chunk_ord", "id").agg(F.sum(part).alias("raw"))
 
 
-def ranked(requests: DataFrame, index: Bm25Index, depth: str = "depth") -> DataFrame:
+class Search:
+    """What a set of requests has to read: its terms' weights and blocks, on the driver, at most ``REQUESTS`` and ``ASKED_TERMS`` of them."""
+
+    def __init__(self, index: Bm25Index, requests: pd.DataFrame):
+        """requests: query_id, scope, depth, toks."""
+        self.index, self.spark = index, index.postings.sparkSession
+        self.depths = requests[["query_id", "scope", "depth"]]
+        asked = requests[["query_id", "scope", "toks"]].explode("toks").dropna().rename(columns={"toks": "tok"})
+        asked = asked.groupby(["query_id", "scope", "tok"], as_index=False).size().rename(columns={"size": "times"})
+        toks = sorted(asked["tok"].unique())
+        corpora = index.corpora.select("scope", "avgdl").where(F.col("scope").isin(sorted(asked["scope"].unique()))).toPandas()
+        terms = of_terms(index.terms, toks, index.buckets).select("scope", "tok", "df", "idf").toPandas()
+        self.terms = asked.merge(terms, on=["scope", "tok"]).merge(corpora, on="scope")
+        self.terms["w"] = self.terms["times"] * self.terms["idf"].astype(float)
+        self.hits = int(self.terms["df"].sum())
+
+    def planned(self) -> Search:
+        """Looks up the blocks and finds the thresholds."""
+        toks = sorted(self.terms["tok"].unique())
+        found = of_terms(self.index.blocks, toks, self.index.buckets).toPandas()
+        every = found.groupby(["tok", "level"], as_index=False).agg(n=("n", "sum"), low=("low_all", "min"), high=("high_all", "max")).assign(scope=EVERYWHERE)
+        own = found.rename(columns={"domain": "scope"})[["scope", "tok", "level", "n", "low", "high"]]
+        self.blocks = self.terms.merge(pd.concat([own, every[own.columns]]), on=["scope", "tok"])
+        self.blocks = self.blocks.merge(self.depths, on=["query_id", "scope"]).sort_values(["query_id", "scope", "tok", "high"], ascending=[True, True, True, False], kind="stable")
+        self.blocks["above"] = self.blocks.groupby(["query_id", "scope", "tok"])["n"].cumsum() - self.blocks["n"]
+        self.blocks["bound"] = self.blocks["w"] * self.blocks["high"]
+        self.thresholds = self._thresholds()
+        return self
+
+    def _frame(self, rows: pd.DataFrame, schema: str) -> DataFrame:
+        columns = [c.split()[0] for c in schema.split(", ")]
+        return self.spark.createDataFrame(rows[columns].values.tolist(), schema)
+
+    def _partial(self, wanted: pd.DataFrame) -> DataFrame:
+        """Sums over the postings of some blocks; (query_id, scope, chunk_ord, id, part)."""
+        where = F.broadcast(self._frame(wanted, "query_id bigint, scope string, tok string, level int, w double, avgdl double"))
+        postings = of_terms(self.index.postings, sorted(wanted["tok"].unique()), self.index.buckets)
+        least = wanted["level"].min()
+        postings = postings.where(F.col("level") >= (int(least) if least == least else 0))
+        hits = postings.join(where, ["tok", "level"]).where((F.col("scope") == EVERYWHERE) | (F.col("scope") == F.col("domain")))
+        return hits.groupBy("query_id", "scope", "chunk_ord", "id").agg(F.sum(F.col("w") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("part"))
+
+    def exact(self, candidates: DataFrame, terms: pd.DataFrame) -> DataFrame:
+        """(query_id, scope, chunk_ord, id, raw): what some terms add to ``part`` of the candidates, from the chunks' own terms."""
+        lists = terms.assign(terms=list(zip(terms["tok"], terms["w"], strict=True))).groupby(["query_id", "scope", "avgdl"], as_index=False)["terms"].agg(list)
+        words = F.broadcast(self._frame(lists, "query_id bigint, scope string, avgdl double, terms array<struct<tok:string,w:double>>"))
+        rows = candidates.join(words, ["query_id", "scope"]).join(self.index.forward.select("chunk_ord", "id", "dl", "toks", "tfs"), ["chunk_ord", "id"])
+        times = lambda t: F.coalesce(F.get("tfs", (F.array_position("toks", t["tok"]) - 1).cast("int")), F.lit(0))
+        raw = F.aggregate("terms", F.col("part"), lambda s, t: s + t["w"] * impact(times(t), F.col("dl"), F.col("avgdl")))
+        return rows.select("query_id", "scope", "chunk_ord", "id", raw.alias("raw"))
+
+    def _thresholds(self) -> pd.DataFrame:
+        """Of each request a score that its ``depth`` best chunks reach; minus infinity if fewer have a term, or if a weight is negative."""
+        first = self.blocks[self.blocks["above"] < FIRST * self.blocks["depth"]]
+        out = self.depths.assign(threshold=-np.inf)
+        if not len(first):
+            return out
+        most = int(FIRST * self.depths["depth"].max())
+        named = best_rows(self._partial(first).withColumn("order", -F.col("part")), ["query_id", "scope"], ["order", "chunk_ord"], most, "_at").withColumn("part", F.lit(0.0))
+        depths = F.broadcast(self._frame(self.depths, "query_id bigint, scope string, depth int"))
+        placed = best_rows(self.exact(named, self.terms).withColumn("order", -F.col("raw")), ["query_id", "scope"], ["order", "chunk_ord"], int(self.depths["depth"].max()), "_at")
+        last = placed.join(depths, ["query_id", "scope"]).where("_at = depth").select("query_id", "scope", F.col("raw").alias("threshold")).toPandas()
+        out = self.depths.merge(last, on=["query_id", "scope"], how="left").fillna({"threshold": -np.inf})
+        negative = self.terms[self.terms["w"] < 0][["query_id", "scope"]].drop_duplicates().assign(negative=True)
+        out = out.merge(negative, on=["query_id", "scope"], how="left")
+        out.loc[out["negative"].notna(), "threshold"] = -np.inf
+        return out.drop(columns="negative")
+
+    def needed(self) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """(blocks to read, most that the terms left out add to a chunk of each request)."""
+        most = self.blocks.groupby(["query_id", "scope", "tok"], as_index=False)["bound"].max().rename(columns={"bound": "most"})
+        most = most.merge(self.thresholds, on=["query_id", "scope"]).sort_values(["query_id", "scope", "most", "tok"])
+        by = most.groupby(["query_id", "scope"])["most"]
+        most["total"], most["upto"] = by.transform("sum"), by.cumsum()
+        most["optional"] = most["upto"] < most["threshold"] - MARGIN
+        self.optional = most[most["optional"]][["query_id", "scope", "tok"]]
+        rest = most.assign(rest=most["most"].where(most["optional"], 0.0)).groupby(["query_id", "scope"], as_index=False)["rest"].sum()
+        blocks = self.blocks.drop(columns="depth").merge(most[["query_id", "scope", "tok", "most", "total", "threshold", "optional"]], on=["query_id", "scope", "tok"])
+        return blocks[~blocks["optional"] & (blocks["bound"] + blocks["total"] - blocks["most"] >= blocks["threshold"] - MARGIN)], rest
+
+    def found(self) -> DataFrame:
+        """(query_id, scope, chunk_ord, id, raw) of all chunks that can be among the best.
+
+        Where the blocks to read are more than a part of all of them, all are read: finding the rest of the scores would cost more.
+        """
+        wanted, rest = self.needed()
+        self.read = int(wanted["n"].sum())  # postings of the blocks that are read, for each request that reads them
+        if self.read * LEAST_SAVING > self.hits:
+            self.read = self.hits
+            return self._partial(self.blocks).withColumnRenamed("part", "raw")
+        limits = F.broadcast(self._frame(self.thresholds.merge(rest, on=["query_id", "scope"], how="left").fillna({"rest": 0.0}), "query_id bigint, scope string, threshold double, rest double"))
+        candidates = self._partial(wanted).join(limits, ["query_id", "scope"]).where(F.col("part") + F.col("rest") >= F.col("threshold") - MARGIN)
+        candidates = candidates.select("query_id", "scope", "chunk_ord", "id", "part")
+        # A chunk whose postings lie in blocks that aren't read can't reach the threshold, so only the optional terms are left to add.
+        left = self.terms.merge(self.optional, on=["query_id", "scope", "tok"])
+        if not len(left):
+            return candidates.withColumnRenamed("part", "raw")
+        asked = F.broadcast(self._frame(left[["query_id", "scope"]].drop_duplicates(), "query_id bigint, scope string"))
+        return self.exact(candidates, left).unionByName(candidates.join(asked, ["query_id", "scope"], "left_anti").withColumnRenamed("part", "raw"))
+
+    def unfilled(self) -> list[tuple[int, str]]:
+        """Requests whose best rows may be chunks without a term."""
+        rows = self.thresholds[~(self.thresholds["threshold"] > MARGIN)]
+        return list(zip(rows["query_id"].tolist(), rows["scope"].tolist(), strict=True))
+
+
+def by_blocks(requests: DataFrame, index: Bm25Index, depth: str = "depth", plain_hits: int = PLAIN_HITS) -> Search | None:
+    """The search of a stated set of requests by blocks; none if the set is too large, or has so few hits that it isn't worth while."""
+    rows = requests.select("query_id", "scope", F.col(depth).cast("int").alias("depth"), stems(F.col("query")).alias("toks")).limit(REQUESTS + 1).toPandas()
+    if len(rows) > REQUESTS or len({t for toks in rows["toks"] for t in toks}) > ASKED_TERMS:
+        return None
+    search = Search(index, rows)
+    return search.planned() if search.hits > plain_hits else None
+
+
+def ranked(requests: DataFrame, index: Bm25Index, depth: str = "depth", plain_hits: int = PLAIN_HITS) -> DataFrame:
     """(query_id, scope, chunk_ord, id, raw, rank) of each request's ``depth`` best chunks, ties by chunk_ord.
 
     Chunks without a query term rank with 0. At most ``depth`` of them can be among the best, and those are among the
-    scope's first, so only as many are added (twice as many: negative weights of tiny corpora rank below 0).
+    scope's first, so only as many are added (twice as many: negative weights of tiny corpora rank below 0), and only to requests whose
+    best chunks aren't known to be above 0.
     """
-    hits = scored(requests, index)
-    deepest = requests.agg(F.max(depth)).first()[0] or 0
-    most = 2 * deepest
-    order = Window.partitionBy("scope").orderBy("chunk_ord")
-    firsts = index.chunks.select("chunk_ord", "id", F.explode(F.array("domain", F.lit(EVERYWHERE))).alias("scope")).withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).drop("at")
-    fill = requests.select("query_id", "scope").join(firsts, "scope").join(hits.select("query_id", "scope", "chunk_ord"), ["query_id", "scope", "chunk_ord"], "left_anti")
-    every = hits.unionByName(fill.select("query_id", "scope", "chunk_ord", "id", F.lit(0.0).alias("raw")))
-    best = Window.partitionBy("query_id", "scope").orderBy(F.desc(F.round("raw", 9)), "chunk_ord")
-    # By a literal first: that limits each group before the shuffle, where a column joined afterwards would sort all hits.
-    placed = every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= deepest).join(requests.select("query_id", "scope", F.col(depth).alias("_depth")), ["query_id", "scope"])
-    return placed.where(F.col("rank") <= F.col("_depth")).drop("_depth")
+    search = by_blocks(requests, index, depth, plain_hits)
+    deepest = (requests.agg(F.max(depth)).first()[0] if search is None else search.depths["depth"].max() if len(search.depths) else 0) or 0
+    deepest = int(deepest)
+    hits = scored(requests, index) if search is None else search.found()
+    unfilled = requests.select("query_id", "scope")
+    if search is not None:
+        left = search.unfilled()
+        unfilled = F.broadcast(requests.sparkSession.createDataFrame(left, "query_id bigint, scope string")) if left else None
+    every = hits
+    if unfilled is not None:
+        scoped = index.chunks.select("chunk_ord", "id", F.explode(F.array("domain", F.lit(EVERYWHERE))).alias("scope"))
+        firsts = best_rows(scoped, ["scope"], ["chunk_ord"], 2 * deepest, "_at").drop("_at")
+        fill = unfilled.join(firsts, "scope").select("query_id", "scope", "chunk_ord", "id", F.lit(0.0).alias("raw"))
+        every = hits.unionByName(fill).groupBy("query_id", "scope", "chunk_ord", "id").agg(F.sum("raw").alias("raw"))
+    # By the deepest first, as a literal: that limits each group before the shuffle.
+    placed = best_rows(every.withColumn("_order", -F.round("raw", 9)), ["query_id", "scope"], ["_order", "chunk_ord"], deepest).drop("_order")
+    own = requests.select("query_id", "scope", F.col(depth).alias("_depth"))
+    return placed.join(F.broadcast(own) if search is not None else own, ["query_id", "scope"]).where(F.col("rank") <= F.col("_depth")).drop("_depth")

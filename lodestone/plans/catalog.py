@@ -38,9 +38,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores, where it comes in fewer parts than there are: a small table in one file. Larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     title = F.regexp_extract("text", r"^[^.\n]*", 0)
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     rows = docs.select(F.col("doc_id").alias("chunk_ord"), F.concat_ws(":", "lang", "doc_id").alias("id"), F.col("lang").alias("domain"), F.lit("").alias("title_ru"), title.alias("title_en"), F.col("source").alias("path"), F.lit("page").alias("entity_kind"), F.lit("").alias("html_path"), F.lit("").alias("syntax"), "text")
     rows = rows.withColumn("lexical_text", F.trim(F.concat_ws(" ", title, text.split_identifier(title)))).withColumn("semantic_text", F.col("text"))
     return rows.withColumn("search_text", F.concat_ws(" ", "lexical_text", "semantic_text"))
@@ -76,7 +82,7 @@ def values_sql(values: list[str]) -> str:
 
 @registered(f"SELECT doc_id, array_to_string({sql.tokens('text')}, ' ') AS tokens, CAST(len({sql.tokens('text')}) AS INTEGER) AS n_tokens FROM documents")
 def tokenize(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.normalized(F.col("text")).alias("tokens"), F.size(text.tokens(F.col("text"))).alias("n_tokens"))
+    return spread(table(spark, d, "documents")).select("doc_id", text.normalized(F.col("text")).alias("tokens"), F.size(text.tokens(F.col("text"))).alias("n_tokens"))
 
 
 @registered(f"SELECT doc_id, array_to_string({sql.stems('text')}, ' ') AS stems FROM documents")
