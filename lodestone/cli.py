@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import config
-from lodestone.engine import Engine, build_index, drop_index, readiness
+from lodestone.engine import Engine, drop_index, readiness, rebuild_index
 from lodestone.operators import chunks, examples, stats
 from lodestone.sources import help_book, jsonl, modules
 from lodestone.sources.embedding import backend
@@ -46,7 +46,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     elif a.command == "index":
         rows = jsonl.read_chunks(spark, a.chunks)
         rows = rows if a.domain == "all" else rows.where(F.col("domain") == a.domain)
-        print(build_index(numbered(rows), a.out, backend(a.provider), datetime.date.today().isoformat(), a.version, provider=a.provider))
+        print(rebuild_index(numbered(rows), a.out, backend(a.provider), datetime.date.today().isoformat(), a.version, provider=a.provider))
     elif a.command == "status":
         issues = readiness(spark, config.load(a.config))
         issues.show(truncate=False)

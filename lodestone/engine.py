@@ -14,7 +14,8 @@ from lodestone.functions.scoring import SearchSettings
 from lodestone.functions.text import expanded_query
 from lodestone.operators import bm25, chunks, dense, evaluation, examples, search, stats
 from lodestone.sources import jsonl
-from lodestone.sources.embedding import Backend, embedded
+from lodestone.sources.embedding import Backend, Memo, embedded, provider_of
+from lodestone.tables import Versions
 
 
 @dataclass
@@ -22,6 +23,12 @@ class Index:
     chunks: DataFrame
     vectors: DataFrame
     lexical: bm25.Bm25Index
+    sliced: DataFrame | None = None
+    slices: int = 0
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """The chunks of the ids in ``wanted``."""
+        return self.chunks if self.sliced is None else chunks.fetched(self.sliced, wanted, self.slices)
 
 
 #: An index of fewer vectors has no cells: a plain search is as fast.
@@ -36,7 +43,9 @@ def build_index(rows: DataFrame, path: str, model: Backend, built_at: str, platf
     """
     spark = rows.sparkSession
     ready = chunks.with_texts(chunks.first_by_id(chunks.completed(rows)))
-    chunks.write_index(ready, f"{path}/chunks")
+    slices = chunks.slices_for(rows.count())
+    chunks.write_sliced(ready, f"{path}/chunks", slices)
+    spark.createDataFrame([(slices,)], "slices int").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
     stored = spark.read.schema(ready.schema).parquet(f"{path}/chunks")
     found = embedded(stored.select("chunk_ord", "id", "domain", "semantic_text"), "semantic_text", model)
     chunks.write_index(found, f"{path}/vectors")
@@ -45,13 +54,33 @@ def build_index(rows: DataFrame, path: str, model: Backend, built_at: str, platf
     cells = cells and n >= CELLS_FROM
     if cells:
         dense.write_cells(spark.read.schema(found.schema).parquet(f"{path}/vectors"), path)
-    jsonl.write_index_meta(spark, f"{path}/meta", n, built_at, platform_version, provider or type(model).__name__, model.model_id, size or None, cells)
+    jsonl.write_index_meta(spark, f"{path}/meta", n, built_at, platform_version, provider or provider_of(model), model.model_id, size or None, cells)
+    return n
+
+
+def rebuild_index(rows: DataFrame, path: str, model: Backend, built_at: str, platform_version: str = "", cells: bool = True, provider: str = "", keep: int = 2) -> int:
+    """Like ``build_index``, as a new version in the folder ``path``, which becomes current when it is whole. Searches that are open go on
+    with the version that they have opened; the newest ``keep`` versions stay. A build that fails leaves the current one as it is."""
+    versions = Versions(rows.sparkSession, path)
+    version = versions.next()
+    n = build_index(rows, versions.folder(version), model, built_at, platform_version, cells, provider)
+    versions.publish(version)
+    versions.drop_old(keep)
     return n
 
 
+def located(spark: SparkSession, path: str) -> str:
+    """The folder of the current version, or ``path`` itself where an index lies without versions."""
+    versions = Versions(spark, path)
+    current = versions.current()
+    return path if current is None else versions.folder(current)
+
+
 def open_index(spark: SparkSession, path: str) -> Index:
+    path = located(spark, path)
     rows = spark.read.parquet(f"{path}/chunks")
-    return Index(rows, spark.read.parquet(f"{path}/vectors"), bm25.read(spark, f"{path}/lexical"))
+    slices = spark.read.parquet(f"{path}/layout").first().slices if there(spark, f"{path}/layout") else 0
+    return Index(rows.drop("slice"), spark.read.parquet(f"{path}/vectors"), bm25.read(spark, f"{path}/lexical"), rows if slices else None, slices)
 
 
 def there(spark: SparkSession, path: str) -> bool:
@@ -60,8 +89,8 @@ def there(spark: SparkSession, path: str) -> bool:
 
 
 def drop_index(spark: SparkSession, path: str) -> bool:
-    """Deletes an index; whether there was one. A folder without an index's description stays as it is."""
-    if not there(spark, f"{path}/meta"):
+    """Deletes an index with all its versions; whether there was one. A folder without an index's description stays as it is."""
+    if not there(spark, f"{located(spark, path)}/meta"):
         return False
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -69,13 +98,14 @@ def drop_index(spark: SparkSession, path: str) -> bool:
 
 def index_meta(spark: SparkSession, path: str) -> dict:
     """The description of a built index; empty without one."""
+    path = located(spark, path)
     found = jsonl.read_index_meta(spark, f"{path}/meta").first() if there(spark, f"{path}/meta") else None
     return found.asDict() if found else {}
 
 
 def readiness(spark: SparkSession, settings: Settings) -> DataFrame:
     """(severity, code) of what keeps searches over this installation from working or being good; no rows if all is well."""
-    index, export = str(settings.index_dir), str(settings.export_dir)
+    index, export = located(spark, str(settings.index_dir)), str(settings.export_dir)
     meta, has_export, has_index = index_meta(spark, index), there(spark, export), there(spark, f"{index}/chunks")
     n_indexed, n_bsp, readable = 0, 0, False
     if has_index:
@@ -99,13 +129,16 @@ class Engine:
     """
 
     @classmethod
-    def configured(cls, spark: SparkSession, settings: Settings, code: DataFrame | None = None) -> Engine:
+    def configured(cls, spark: SparkSession, settings: Settings, code: DataFrame | None = None, memo: str | None = None) -> Engine:
         """Over the installation's index, with the model that it was built with, whatever the settings name now."""
         path = str(settings.index_dir)
-        return cls(spark, path, settings.embedding.aligned(index_meta(spark, path)).backend(), settings.search, code)
+        return cls(spark, path, settings.embedding.aligned(index_meta(spark, path)).backend(), settings.search, code, memo)
 
-    def __init__(self, spark: SparkSession, path: str, model: Backend, settings: SearchSettings | None = None, code: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, path: str, model: Backend, settings: SearchSettings | None = None, code: DataFrame | None = None, memo: str | None = None):
+        """memo: a folder where vectors of queries are kept from one search to the next."""
         self.spark, self.model, self.settings, self.code = spark, model, settings or SearchSettings(), code
+        self.memo = Memo(spark, memo) if memo else None
+        path = located(spark, path)  # whatever is published later, this engine stays with its version
         built = index_meta(spark, path).get("embedding_model")
         if built and built != model.model_id:
             raise ValueError(f"the index was built with the model {built!r}, not {model.model_id!r}")
@@ -138,8 +171,9 @@ class Engine:
 
     def search_batch(self, queries: DataFrame) -> DataFrame:
         """queries: query_id, query, domain, k. Result rows of all of them."""
-        wanted = embedded(queries.select("query_id", expanded_query(F.col("query")).alias("query")), "query", self.model, queries=True)
-        return search.search(queries, self.index.chunks, self.index.lexical, self.index.vectors, wanted, self.settings)
+        texts = queries.select("query_id", expanded_query(F.col("query")).alias("query"))
+        wanted = embedded(texts, "query", self.model, queries=True) if self.memo is None else self.memo.embedded(texts, "query", self.model)
+        return search.search(queries, self.index.of, self.index.lexical, self.index.vectors, wanted, self.settings)
 
     def search(self, query: str, domain: str = "all", limit: int | None = None) -> DataFrame:
         if not query.strip():

@@ -93,3 +93,38 @@ def topic(chunks: DataFrame, topic_id: str) -> DataFrame:
 def write_index(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Chunks as Parquet, a folder for each domain, so that a search in one domain reads that folder only."""
     chunks.write.mode(mode).partitionBy("domain").parquet(path)
+
+
+#: Chunks of a slice, about, and slices at most; ids up to which a fetch goes by slices, and up to which they stand in its filter.
+SLICE_ROWS, MOST_SLICES, FETCHED, LITERALS = 4096, 4096, 50_000, 1000
+
+
+def slice_of(id_: Column, slices: int) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(slices)).cast("int")
+
+
+def slices_for(n: int) -> int:
+    """A power of two."""
+    slices = 1
+    while slices < MOST_SLICES and slices * SLICE_ROWS < n:
+        slices *= 2
+    return slices
+
+
+def write_sliced(chunks: DataFrame, path: str, slices: int) -> None:
+    """Like ``write_index``; a domain's chunks in slices by a hash of the id, each sorted by id, so that an id says where its row is."""
+    dealt = chunks.withColumn("slice", slice_of(F.col("id"), slices)).repartition("domain", "slice").sortWithinPartitions("domain", "slice", "id")
+    dealt.write.mode("overwrite").partitionBy("domain", "slice").parquet(path)
+
+
+def fetched(chunks: DataFrame, wanted: DataFrame, slices: int) -> DataFrame:
+    """The chunks (written by ``write_sliced``) of the ids in ``wanted``, once each. The scan reads the slices of these ids and of them the
+    row groups that can hold them; for more than ``FETCHED`` ids it reads everything and joins."""
+    ids = wanted.select("id").distinct()
+    few = ids.select("id", slice_of(F.col("id"), slices).alias("slice")).limit(FETCHED + 1).collect()
+    rows = chunks
+    if len(few) <= FETCHED:
+        rows = rows.where(F.col("slice").isin(sorted({r.slice for r in few})))
+    if len(few) <= LITERALS:
+        return rows.where(F.col("id").isin(sorted(r.id for r in few))).drop("slice")
+    return rows.drop("slice").join(ids, "id", "left_semi")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,37 +49,79 @@ def title_words(title: Column, longer_than: int = 3) -> Column:
     return F.filter(F.split(F.trim(F.lower(title)), r"\s+"), lambda w: F.length(w) > longer_than)
 
 
-def _four_letters(column: str) -> Column:
-    """The distinct runs of four letters of a text, in time linear in it."""
-    return F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(r"(?s)(?=(.{4}))"), 1))
-
-
-def linked_by_words(examples: DataFrame, topics: DataFrame, least: int = 2, most: int = 3) -> DataFrame:
+@dataclass
+class Titles:
+    """Some topics' title words, each once, and for each word the topics that have it, as often as they have it."""
+
+    words: list[str]
+    begins: np.ndarray
+    topics: np.ndarray
+    ords: np.ndarray
+    ids: list[str]
+    sizes: np.ndarray
+
+
+def title_blocks(topics: DataFrame, most_bytes: int) -> Iterator[Titles]:
+    """The topics (topic_ord, id, title), so many at a time as have title words of ``most_bytes`` together, or one."""
+    rows = topics.select("topic_ord", "id", title_words(F.col("title")).alias("words")).where(F.size("words") > 0).toLocalIterator()
+    block, size = [], 0
+    for row in chain(rows, [None]):
+        own = 0 if row is None else sum(len(w.encode()) + 8 for w in row.words)
+        if block and (row is None or size + own > most_bytes):
+            number: dict[str, int] = {}
+            pairs = np.array([(number.setdefault(w, len(number)), at) for at, r in enumerate(block) for w in r.words], np.int64)
+            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+            yield Titles(list(number), np.searchsorted(pairs[:, 0], np.arange(len(number) + 1)), pairs[:, 1], np.array([r.topic_ord for r in block]), [r.id for r in block], np.array([len(r.words) for r in block]))
+            block, size = [], 0
+        if row is not None:
+            block.append(row)
+            size += own
+
+
+LINKS = "array<struct<share:double,topic_ord:bigint,id:string>>"
+
+
+def _linked(shared, least: int, most: int):
+    """Adds a block's best topics to the links so far (the last column; the text is the one before)."""
+    link = pa.list_(pa.struct([("share", pa.float64()), ("topic_ord", pa.int64()), ("id", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        titles: Titles = shared.value
+        automaton = ahocorasick.Automaton()
+        for i, word in enumerate(titles.words):
+            automaton.add_word(word, i)
+        automaton.make_automaton()
+        for batch in batches:
+            out = []
+            for text, before in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                words = {i for _, i in automaton.iter(text or "")}
+                hits = np.bincount(np.concatenate([titles.topics[titles.begins[i] : titles.begins[i + 1]] for i in words]) if words else [], minlength=1).astype(np.int64)
+                at = np.flatnonzero(hits >= least)
+                share = hits[at] / titles.sizes[at]
+                first = np.lexsort((titles.ords[at], -share))[:most]
+                found = [{"share": float(share[i]), "topic_ord": int(titles.ords[at[i]]), "id": titles.ids[at[i]]} for i in first]
+                out.append(sorted([*before, *found], key=lambda x: (-x["share"], x["topic_ord"]))[:most])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, link)], names=batch.schema.names)
+
+    return run
+
+
+def linked_by_words(examples: DataFrame, topics: DataFrame, least: int = 2, most: int = 3, block_bytes: int = 16_000_000) -> DataFrame:
     """Examples with topic_ids (the ``most`` topics of the largest share of title words in the code) and relevance (that share).
 
-    examples: ex_ord, code, query_text and more. topics: topic_ord, id, title. A word counts where it is part of the text; all
-    its runs of four letters are in the text then, so a word is keyed by its rarest one. A topic with ``least`` of its words in
-    a text has one beside its ``least`` - 1 most frequent ones, so those meet no texts: words that stand in most texts cost
-    nothing unless a topic has no others. Only numbers and runs are shuffled; a text is compared once with each topic it meets.
+    examples: ex_ord, code, query_text and more. topics: topic_ord, id, title. A word counts where it is part of the text, and
+    as often as the title has it; a topic needs ``least`` of them. An automaton over all title words of a block of topics goes to the tasks, which go
+    through each text once for it; blocks are ``block_bytes`` large at most. No pairs are listed and nothing is shuffled. Without
+    topics no example is linked.
     """
     low = F.lower(F.concat_ws(" ", "code", "query_text"))
-    texts = examples.select("ex_ord", low.alias("_text"))
-    words = topics.select("topic_ord", F.col("id").alias("_topic"), title_words(F.col("title")).alias("_words")).where(F.size("_words") > 0)
-    of_word = words.where(F.size("_words") >= least).select("topic_ord", F.posexplode("_words").alias("_at", "_word"))
-    of_word = of_word.select("topic_ord", "_at", F.explode(_four_letters("_word")).alias("_key"))
-    runs = texts.select("ex_ord", F.explode(_four_letters("_text")).alias("_key")).join(of_word.select("_key").distinct(), "_key", "left_semi")
-    often = runs.groupBy("_key").agg(F.count(F.lit(1)).alias("_often"))
-    rarest = of_word.join(often, "_key", "left").groupBy("topic_ord", "_at").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("often"), "_key")).alias("_rarest"))
-    place = F.row_number().over(Window.partitionBy("topic_ord").orderBy(F.desc("_rarest"), "_at"))
-    meeting = rarest.withColumn("_place", place).where(F.col("_place") >= least).select("topic_ord", F.col("_rarest._key").alias("_key")).distinct()
-    pairs = runs.join(meeting, "_key").select("ex_ord", "topic_ord").distinct()
-    hits = F.size(F.filter("_words", lambda w: F.col("_text").contains(w)))
-    shares = pairs.join(texts, "ex_ord").join(words, "topic_ord").select("ex_ord", "topic_ord", "_topic", hits.alias("_hits"), F.size("_words").alias("_n"))
-    shares = shares.where(F.col("_hits") >= least).withColumn("_share", F.col("_hits") / F.col("_n"))
-    best = Window.partitionBy("ex_ord").orderBy(F.desc("_share"), "topic_ord")
-    top = shares.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= most)
-    links = top.groupBy("ex_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_topic"))), lambda x: x["_topic"]).alias("topic_ids"), F.max("_share").alias("relevance"))
-    return examples.join(links, "ex_ord")
+    rows = examples.withColumns({"_text": low, "_links": F.array().cast(LINKS)})
+    for titles in title_blocks(topics, block_bytes):
+        rows = rows.mapInArrow(_linked(examples.sparkSession.sparkContext.broadcast(titles), least, most), rows.schema)
+    found = rows.where(F.size("_links") > 0)
+    return found.select(*examples.columns, F.transform("_links", lambda x: x["id"]).alias("topic_ids"), F.element_at("_links", 1)["share"].alias("relevance"))
 
 
 def of_topic(examples: DataFrame, topic_id: str, most: int = 5) -> DataFrame:

@@ -7,6 +7,8 @@ titles and intents re-rank what is left, and the best rows are explained.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from lodestone.functions import scoring, text
 from lodestone.functions.scoring import SearchSettings
 from lodestone.operators import bm25, dense
 from lodestone.operators.bm25 import EVERYWHERE, Bm25Index
+from lodestone.tables import written
 
 #: Short names of domains.
 ALIASES = {"bsl": "bsl_lang", "query": "query_lang"}
@@ -147,8 +150,15 @@ def explained(rows: DataFrame) -> DataFrame:
     )
 
 
-def search(queries: DataFrame, chunks: DataFrame, index: Bm25Index, vectors: DataFrame, query_vectors: DataFrame, settings: SearchSettings | None = None, metric: str = "l2") -> DataFrame:
-    """queries: query_id, query, domain, k. Result rows of each query, best first by ``rank``; none for an unknown domain."""
+def search(queries: DataFrame, chunks: DataFrame | Callable[[DataFrame], DataFrame], index: Bm25Index, vectors: DataFrame, query_vectors: DataFrame, settings: SearchSettings | None = None, metric: str = "l2") -> DataFrame:
+    """queries: query_id, query, domain, k. Result rows of each query, best first by ``rank``; none for an unknown domain.
+
+    chunks: the chunks with their texts, or what finds those of candidates (a written table with ``id``), so that no other text is read.
+    """
     s = settings or SearchSettings()
     asked = requests(queries, s)
-    return explained(best(rescored(candidates(asked, index, vectors, query_vectors, s, metric), asked, chunks)))
+    found = candidates(asked, index, vectors, query_vectors, s, metric)
+    if callable(chunks):
+        found = written(found, "candidates")
+        chunks = chunks(found)
+    return explained(best(rescored(found, asked, chunks)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import markup, scoring, text
 from lodestone.functions.scoring import SearchSettings
-from lodestone.operators import bm25, chunks, dense, evaluation, examples, search, stats
+from lodestone.operators import bm25, chunks, dense, evaluation, examples, hierarchy, numbering, search, stats
 from lodestone.plans import sql
 from lodestone.sources import chat, help_book, modules
+from lodestone.streaming.incremental import ScanStore
+from lodestone.tables import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -207,15 +210,16 @@ def vector_norm(spark, d):
     return rows.select("vec_id", F.round(F.sqrt(F.aggregate("unit", F.lit(0.0), lambda s, x: s + x * x)), 5).alias("norm"))
 
 
-def vector_requests(spark, d, depth: int = 10, scope: str | None = None) -> DataFrame:
-    rows = asked(spark).join(query_vectors(spark, d), "query_id")
-    return rows.select("query_id", search.scope_of(F.col("domain")).alias("scope") if scope is None else F.lit(scope).alias("scope"), F.lit(depth).alias("depth"), "vector")
+def vector_requests(spark, d, depth: int = 10, filtered: bool = False) -> DataFrame:
+    """Every vector whose id is divisible by 20; with ``filtered`` every other one asks in the domain that it is of."""
+    own = F.when(F.col("chunk_ord") % 40 == 0, F.col("domain")).otherwise("*") if filtered else F.lit("*")
+    return vectors(spark, d).where("chunk_ord % 20 = 0").select(F.col("chunk_ord").alias("query_id"), own.alias("scope"), F.lit(depth).alias("depth"), "vector")
 
 
 def near_sql(distance: str, where: str, depth: int) -> str:
-    return f"""WITH {VECTORS_SQL}, {ASKED_SQL}, near AS (
-  SELECT a.query_id, v.id, {distance} AS distance, row_number() OVER (PARTITION BY a.query_id ORDER BY round({distance}, 9), v.chunk_ord) AS rank
-  FROM asked a JOIN embeddings e ON e.vec_id = a.vec JOIN vecs v ON {where})
+    return f"""WITH {VECTORS_SQL}, e AS (SELECT chunk_ord AS query_id, CASE WHEN chunk_ord % 40 = 0 THEN domain ELSE '*' END AS scope, vector AS embedding FROM vecs WHERE chunk_ord % 20 = 0), far AS (
+  SELECT e.query_id, v.chunk_ord, v.id, {distance} AS distance FROM e JOIN vecs v ON {where}), near AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_ord) AS rank FROM far)
 SELECT CAST(query_id AS BIGINT) AS query_id, id, CAST(rank AS INTEGER) AS rank, round(distance, 6) + 0.0 AS distance FROM near WHERE rank <= {depth}"""
 
 
@@ -228,17 +232,17 @@ def near(rows: DataFrame) -> DataFrame:
 
 @registered(near_sql(L2, "true", 10))
 def knn_l2(spark, d):
-    return near(dense.nearest(vectors(spark, d), vector_requests(spark, d, scope="*")))
+    return near(dense.nearest(vectors(spark, d), vector_requests(spark, d)))
 
 
 @registered(near_sql(COSINE, "true", 10))
 def knn_cosine(spark, d):
-    return near(dense.nearest(vectors(spark, d), vector_requests(spark, d, scope="*"), "cosine"))
+    return near(dense.nearest(vectors(spark, d), vector_requests(spark, d), "cosine"))
 
 
-@registered(near_sql(L2, "a.scope = '*' OR a.scope = v.domain", 10))
+@registered(near_sql(L2, "e.scope = '*' OR e.scope = v.domain", 10))
 def knn_filtered(spark, d):
-    return near(dense.nearest(vectors(spark, d), vector_requests(spark, d)))
+    return near(dense.nearest(vectors(spark, d), vector_requests(spark, d, filtered=True)))
 
 
 @registered(f"""WITH b AS (SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id), {VECTORS_SQL}, near AS (
@@ -251,16 +255,17 @@ def knn_batch(spark, d):
 
 @registered(near_sql(L2, "true", 10).replace("round(distance, 6) + 0.0 AS distance", "round(1.35 / (60 + rank), 6) AS rrf, round(1.0 / (1.0 + distance), 6) AS similarity"))
 def dense_scores(spark, d):
-    parts = search.dense_parts(dense.nearest(vectors(spark, d), vector_requests(spark, d, scope="*")), SETTINGS)
+    parts = search.dense_parts(dense.nearest(vectors(spark, d), vector_requests(spark, d)), SETTINGS)
     return parts.select("query_id", "id", F.col("dense_rank").alias("rank"), F.round("dense_rrf", 6).alias("rrf"), F.round("dense_similarity", 6).alias("similarity"))
 
 
-@registered()
+@registered(near_sql(COSINE, "true", 10))
 def ann_cells(spark, d):
-    """Neighbours by cells of every vector whose id is divisible by 20; compared with the exact ones in the tests."""
-    cells, centres = dense.with_cells(vectors(spark, d))
-    queries = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.lit("*").alias("scope"), F.lit(10).alias("depth"), F.col("embedding").alias("vector"))
-    return near(dense.probed(cells, centres, queries))
+    """Neighbours by cells of every vector whose id is divisible by 20: the exact ones, as no cell is left out that can hold one."""
+    path = f"{shared_dir(spark).rstrip('/')}/lodestone-cells-{uuid.uuid4().hex}"
+    dense.write_cells(vectors(spark, d), path)
+    cells, centres, radius = dense.read_cells(spark, path)
+    return near(dense.probed(cells, centres, vector_requests(spark, d), radius=radius))
 
 
 # --- fusion ----------------------------------------------------------------------------------------------------
@@ -401,6 +406,15 @@ def semantic_excerpt(spark, d):
     return rows.select("doc_id", "e.excerpt", "e.begin", "e.end")
 
 
+TOLD = """concat_ws('; ', CASE WHEN dense_rank IS NOT NULL THEN 'Семантический поиск: rank ' || dense_rank END, CASE WHEN bm25_rank IS NOT NULL THEN 'BM25: rank ' || bm25_rank END, CASE WHEN title_bonus > 0 THEN 'совпадение с названием добавило бонус' END)"""
+
+
+@registered(RESCORED + f"SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, id, {TOLD} || '.' AS explanation FROM best WHERE rank <= k")
+def match_explanation(spark, d):
+    found = search.search(asked(spark), corpus(spark, d), index_of(spark, d), vectors(spark, d), query_vectors(spark, d))
+    return found.select("query_id", "rank", "id", F.col("match_explanation").alias("explanation"))
+
+
 # --- topics and examples ---------------------------------------------------------------------------------------
 
 
@@ -417,10 +431,10 @@ def code(spark, d) -> DataFrame:
 
 
 def topics(spark, d) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("topic_ord"), F.col("item_id").cast("string").alias("id"), F.substring("text", 1, 40).alias("title"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("topic_ord"), F.col("item_id").cast("string").alias("id"), F.col("text").alias("title"))
 
 
-LINKED = """WITH t AS (SELECT item_id AS topic_ord, CAST(item_id AS VARCHAR) AS id, list_filter(regexp_split_to_array(trim(lower(text[1:40])), '\\s+'), lambda w: length(w) > 3) AS words FROM benchmark),
+LINKED = """WITH t AS (SELECT item_id AS topic_ord, CAST(item_id AS VARCHAR) AS id, list_filter(regexp_split_to_array(trim(lower(text)), '\\s+'), lambda w: length(w) > 3) AS words FROM benchmark),
 e AS (SELECT conv_id * 1000 + turn AS ex_ord, lower(text || ' ') AS low FROM conversations),
 m AS (SELECT ex_ord, topic_ord, id, len(list_filter(words, lambda w: contains(low, w))) AS hits, len(words) AS n FROM e, t WHERE len(words) > 0),
 r AS (SELECT *, hits / n AS share, row_number() OVER (PARTITION BY ex_ord ORDER BY hits / n DESC, topic_ord) AS pos FROM m WHERE hits >= 2),
@@ -561,6 +575,47 @@ def toc_flatten(spark, d):
     return help_book.in_reading_order(pages).select("reading_ord", "block_id", "depth", "title_ru", "title_en", "html_path")
 
 
+@registered("SELECT doc_id, row_number() OVER (ORDER BY lang NULLS FIRST, source NULLS FIRST, doc_id) - 1 AS number, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS in_source FROM documents")
+def global_numbering(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "lang", "source")
+    return numbering.numbered_within(numbering.numbered(rows, ["lang", "source", "doc_id"]), ["source"], ["doc_id"], "in_source").select("doc_id", "number", "in_source")
+
+
+@registered("""WITH RECURSIVE n AS (SELECT doc_id, CASE WHEN doc_id > 0 THEN doc_id // 2 END AS up FROM documents),
+t AS (SELECT doc_id, doc_id AS root, 0 AS depth, [doc_id] AS trail FROM n WHERE up IS NULL OR up NOT IN (SELECT doc_id FROM documents)
+  UNION ALL SELECT n.doc_id, t.root, t.depth + 1, list_append(t.trail, n.doc_id) FROM n JOIN t ON n.up = t.doc_id)
+SELECT doc_id, root, CAST(depth AS INTEGER) AS depth, array_to_string(trail, '/') AS trail, row_number() OVER (ORDER BY trail) - 1 AS reading_ord FROM t""")
+def tree_reading_order(spark, d):
+    """A document's parent has half its number."""
+    nodes = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") > 0, F.floor(F.col("doc_id") / 2)).alias("up"))
+    found = hierarchy.in_reading_order(nodes, "doc_id", "up", "doc_id")
+    return found.select("doc_id", "root", "depth", F.array_join(F.transform("trail", lambda x: x.cast("string")), "/").alias("trail"), "reading_ord")
+
+
+@registered("""WITH n AS (SELECT r_regionkey AS node, NULL AS up, r_name AS name FROM region UNION ALL SELECT 100 + n_nationkey, n_regionkey, n_name FROM nation),
+t AS (SELECT n.node, n.name, p.name AS root_name, CASE WHEN p.node IS NULL THEN 0 ELSE 1 END AS depth, coalesce(p.name || '/', '') || n.name AS trail FROM n LEFT JOIN n p ON n.up = p.node)
+SELECT name, depth, trail, row_number() OVER (ORDER BY string_split(trail, '/')) - 1 AS reading_ord FROM t""")
+def nation_tree(spark, d):
+    regions = table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("node"), F.lit(None).cast("bigint").alias("up"), F.col("r_name").alias("name"))
+    nations = table(spark, d, "nation").select((100 + F.col("n_nationkey")).cast("bigint").alias("node"), F.col("n_regionkey").cast("bigint").alias("up"), F.col("n_name").alias("name"))
+    found = hierarchy.in_reading_order(regions.unionByName(nations), "node", "up", "name")
+    return found.select("name", "depth", F.array_join("trail", "/").alias("trail"), "reading_ord")
+
+
+@registered("""WITH f AS (SELECT conv_id, conv_id || '/' || turn AS path, CASE WHEN conv_id % 3 = 0 THEN 'changed ' ELSE '' END || replace(text, '"', '') AS content FROM conversations WHERE conv_id % 5 <> 0)
+SELECT path, substr(sha256(content), 1, 16) AS hash, CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 1 END AS version,
+  CASE WHEN length(trim(content, ' ' || chr(9) || chr(10) || chr(13))) > 50 THEN content[1:2000] END AS code FROM f""")
+def scan_changes(spark, d):
+    """Conversations as a tree of files, scanned, then scanned again after a third has changed and a fifth is gone."""
+    turns = table(spark, d, "conversations").select("conv_id", F.lit("c").alias("label"), F.concat_ws("/", "conv_id", "turn").alias("path"), F.translate("text", '"', "").alias("content"))
+    store = ScanStore(spark, f"{shared_dir(spark).rstrip('/')}/lodestone-scans-{uuid.uuid4().hex}")
+    store.scan(turns.select("label", "path", "content"))
+    later = turns.where("conv_id % 5 <> 0").withColumn("content", F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("changed "), "content")).otherwise(F.col("content")))
+    store.scan(later.select("label", "path", "content"))
+    found = store.examples().select(F.col("module_path").alias("path"), "code")
+    return store.state().select("path", "hash", "version").join(found, "path", "left")
+
+
 @registered("SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS answer FROM conversations")
 def json_answers(spark, d):
     fenced = F.concat(F.lit("```json\n"), F.trim("text"), F.lit("\n```"))

@@ -7,7 +7,10 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.tables import Versions
 
 
 class Backend(Protocol):
@@ -139,6 +142,12 @@ def backend(provider: str, **options) -> Backend:
     return BACKENDS[provider](**options)
 
 
+def provider_of(model: Backend) -> str:
+    """The provider's name of a backend; empty for one that isn't among ``BACKENDS``."""
+    names = {"HashingBackend": "hashing", "HttpBackend": "openai_compatible", "LocalModelBackend": "sentence_transformers"}
+    return names.get(type(model).__name__, "")
+
+
 def _embedded(model: Backend, queries: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, np.ndarray] = {}
@@ -155,3 +164,40 @@ def embedded(rows: DataFrame, text_col: str, model: Backend, queries: bool = Fal
     others = [c for c in rows.columns if c != text_col]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others) + ", vector array<float>"
     return rows.select(*others, text_col).mapInArrow(_embedded(model, queries), schema)
+
+
+MEMO = "key string, vector array<float>"
+
+
+class Memo:
+    """Query vectors that are kept: a table by a hash of the model and the text. A text that isn't there yet is embedded once, and what a
+    lookup has embedded is one version of the table, so the next lookup, in any session, asks the model for nothing."""
+
+    #: Versions that are folded into one when there are more.
+    MOST = 50
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.versions = spark, Versions(spark, path)
+
+    def table(self) -> DataFrame:
+        folders = [self.versions.folder(v) for v in self.versions.marked()]
+        return self.spark.read.schema(MEMO).parquet(*folders) if folders else self.spark.createDataFrame([], MEMO)
+
+    def _keep(self, rows: DataFrame) -> None:
+        version = self.versions.next()
+        rows.write.mode("overwrite").parquet(self.versions.folder(version))
+        self.versions.publish(version)
+
+    def embedded(self, rows: DataFrame, text_col: str, model: Backend) -> DataFrame:
+        """Like ``embedded`` for queries; a null text is an empty one. The model is asked only for texts without a kept vector."""
+        key = F.sha2(F.concat_ws("\n", F.lit(model.model_id), F.coalesce(text_col, F.lit(""))).cast("binary"), 256)
+        keyed = rows.withColumn("_key", key)
+        fresh = keyed.select("_key", text_col).dropDuplicates(["_key"]).join(self.table(), F.col("_key") == F.col("key"), "left_anti")
+        if not fresh.isEmpty():
+            found = embedded(fresh, text_col, model, queries=True)
+            self._keep(found.select(F.col("_key").alias("key"), "vector"))
+        if len(self.versions.marked()) > self.MOST:
+            self._keep(self.table().dropDuplicates(["key"]))
+            self.versions.drop_old(keep=1)
+        kept = self.table().dropDuplicates(["key"]).withColumnRenamed("key", "_kept")
+        return keyed.join(kept, F.col("_key") == F.col("_kept")).select(*[c for c in rows.columns if c != text_col], "vector")

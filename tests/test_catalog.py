@@ -10,7 +10,7 @@ import pytest
 from lodestone.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark labels conversations part orders".split()
+TABLES = "documents embeddings pages benchmark labels conversations part orders nation region".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no driver tables")
 
 
