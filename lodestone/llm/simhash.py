@@ -163,6 +163,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = rows.select(F.col(id_col).alias("id"), F.col(print_).alias("fp"), F.col(number).alias("row"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     members = materialized(_with_components(prints, max_bits, crowd, blocks).select("component", order.alias("order")), "members")
-    first = members.groupBy("component").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = members.join(first, "component").where("order <> first").select(F.col("order.row").alias("_later"))
+    # Rows meet the kept ones by their own numbers, never by component, which may be that of a third of all rows.
+    kept = members.groupBy("component").agg(F.min("order").alias("first")).select(F.col("first.row").alias("_kept"))
+    later = members.select(F.col("order.row").alias("_later")).join(kept, F.col("_later") == F.col("_kept"), "left_anti")
     return rows.join(later, rows[number] == later["_later"], "left_anti").drop(number, print_)
