@@ -8,6 +8,8 @@ and scoring is an expression over a URL's n-grams without a join or a shuffle.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ MAX_LABELLED = 1000
 #: Lengths of the n-grams.
 HOST_GRAMS, PATH_GRAMS = (3, 4, 5), (3, 4)
 STEPS, RATE, DECAY = 300, 0.2, 0.002
+#: The score from which on a URL is blocked; the bias is such that this fits the held-out rows.
+THRESHOLD = 0.55
 
 #: Names of labelled sites, invented after the kinds of sites that lists of blocked and of reputable ones have.
 BLOCKED_SITES = """
@@ -48,14 +52,24 @@ _BEFORE, _AFTER = ("", "www.", "m.", "en.", "home."), (".com", ".net", ".org", "
 _PATHS = ("", "/", "/index.html", "/about", "/2021/05/today", "/item?id=31", "/pages/contact.php", "/a/b/c", "/view/8812", "/start#top", "/search?q=all")
 #: Rows of an allowed site for one of a blocked site: a name without evidence is rather allowed.
 ALLOWED_WEIGHT = 2
+#: Names that tell nothing are made of syllables, so many of them; one name in ``HELD_OUT`` is held out; of the held-out names to allow, at
+#: most this share is blocked.
+SYLLABLES, UNKNOWN, HELD_OUT, FALSE_BLOCKS = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"], 60, 5, 0.005
+
+
+def _unknown(begin: int, many: int) -> list[str]:
+    """Names of two to four syllables, by the digits of their numbers."""
+    return ["".join(SYLLABLES[n * 31**k % len(SYLLABLES)] for k in range(2 + n % 3)) for n in range(begin, begin + many)]
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, blocked int): the labelled table. Another one with these columns can be given in its place."""
+    """(url, blocked int, held_out boolean): the labelled table. Another one with these columns can be given in its place."""
     url = lambda i, name: f"http://{_BEFORE[i % 5]}{name}{_AFTER[i % 7]}{_PATHS[i % 11]}"
-    rows = [(url(i, name), 1) for i, name in enumerate(BLOCKED_SITES)] + [(url(i, name), 0) for i, name in enumerate(ALLOWED_SITES)] * ALLOWED_WEIGHT
-    values = ", ".join(f"('{url}', {label})" for url, label in rows)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS labelled(url, blocked)")
+    rows = [(url(i, name), label, i % HELD_OUT == 0) for names, label in ((BLOCKED_SITES, 1), (ALLOWED_SITES, 0), (_unknown(100, UNKNOWN), 0)) for i, name in enumerate(names)]
+    rows += [(url(i, name), 0, True) for i, name in enumerate(_unknown(10_000, 4 * UNKNOWN))]  # not learned from, so they cost nothing
+    rows = [row for row in rows for _ in range(1 if row[1] or row[2] else ALLOWED_WEIGHT)]
+    values = ", ".join(f"('{url}', {label}, {str(held).lower()})" for url, label, held in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS labelled(url, blocked, held_out)")
 
 
 def host_of(url: Column) -> Column:
@@ -133,14 +147,27 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]], what
     return out
 
 
-def judged(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] | None = None, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.55) -> DataFrame:
-    """(id, host, path, rule, verdict, score) of each row: the longest fitting rule's action, else the classifier's (block from ``threshold`` on, a little above a half so that doubtful pages stay).
+def held_out_bias(labelled: DataFrame, weights: list[float], bias: float, threshold: float = THRESHOLD, false_blocks: float = FALSE_BLOCKS) -> float:
+    """The bias with which that share of the held-out rows to allow reaches the threshold.
+
+    The trained one, if there are no such rows."""
+    rows = labelled.where("held_out and blocked = 0").select(block_score(host_of(F.col("url")), path_of(F.col("url")), weights, bias).alias("score"))
+    found = rows.select(F.log(F.col("score") / (1 - F.col("score"))).alias("margin")).agg(F.percentile("margin", F.lit(1 - false_blocks)).alias("cut")).first().cut
+    return bias if found is None else bias - (found - math.log(threshold / (1 - threshold)) + 1e-6)
+
+
+def judged(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] | None = None, id_col: str = "page_id", url_col: str = "url", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, host, path, rule, verdict, score) of each row: the longest fitting rule's action, else the classifier's (block from ``threshold`` on).
 
-    A null url, or one without ``://``, has an empty host and path. Ids are passed on as they are, nulls and repeats
-    included. Other columns are not read.
+    The classifier is learned from the labelled rows that aren't held out; those that are move its bias (``held_out_bias``). Without a
+    column ``held_out``, all are learned from. A labelled table that is empty, or has one label only, gives every URL about the
+    same score. A null url, or one without ``://``, has an empty host and path. Ids are passed on as they are, nulls and repeats
+    included. Other columns are not read. An empty table gives an empty one.
     """
     rules = RULES if rules is None else rules
-    weights, bias = trained_weights(labelled)
+    parted = "held_out" in labelled.columns
+    weights, bias = trained_weights(labelled.where("not held_out") if parted else labelled)
+    bias = held_out_bias(labelled, weights, bias, threshold) if parted else bias
     split = need(pages, id_col, url_col).select(id_col, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     host, path = F.col("host"), F.col("path")
     scored = split.withColumn("score", block_score(host, path, weights, bias))
