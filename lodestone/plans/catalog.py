@@ -211,13 +211,14 @@ def vector_norm(spark, d):
 
 
 def vector_requests(spark, d, depth: int = 10, filtered: bool = False) -> DataFrame:
-    """Every vector whose id is divisible by 20; with ``filtered`` every other one asks in the domain that it is of."""
-    own = F.when(F.col("chunk_ord") % 40 == 0, F.col("domain")).otherwise("*") if filtered else F.lit("*")
-    return vectors(spark, d).where("chunk_ord % 20 = 0").select(F.col("chunk_ord").alias("query_id"), own.alias("scope"), F.lit(depth).alias("depth"), "vector")
+    """Every vector whose id is divisible by 20; with ``filtered`` every other one asks in the domain of its document, if it has one."""
+    rows = table(spark, d, "embeddings").where("vec_id % 20 = 0").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang"), "vec_id", "left")
+    own = F.when(F.col("vec_id") % 40 == 0, F.coalesce("lang", F.lit("*"))).otherwise("*") if filtered else F.lit("*")
+    return rows.select(F.col("vec_id").alias("query_id"), own.alias("scope"), F.lit(depth).alias("depth"), F.col("embedding").alias("vector"))
 
 
 def near_sql(distance: str, where: str, depth: int) -> str:
-    return f"""WITH {VECTORS_SQL}, e AS (SELECT chunk_ord AS query_id, CASE WHEN chunk_ord % 40 = 0 THEN domain ELSE '*' END AS scope, vector AS embedding FROM vecs WHERE chunk_ord % 20 = 0), far AS (
+    return f"""WITH {VECTORS_SQL}, e AS (SELECT vec_id AS query_id, CASE WHEN vec_id % 40 = 0 THEN coalesce(lang, '*') ELSE '*' END AS scope, embedding FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 20 = 0), far AS (
   SELECT e.query_id, v.chunk_ord, v.id, {distance} AS distance FROM e JOIN vecs v ON {where}), near AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_ord) AS rank FROM far)
 SELECT CAST(query_id AS BIGINT) AS query_id, id, CAST(rank AS INTEGER) AS rank, round(distance, 6) + 0.0 AS distance FROM near WHERE rank <= {depth}"""
