@@ -51,8 +51,8 @@ class Bm25Index:
         return self.forward.select("domain", "chunk_ord", "id", "dl")
 
     def persist(self) -> Bm25Index:
-        """Keeps the tables between searches."""
-        for table in (self.forward, self.postings, self.terms, self.corpora, self.blocks):
+        """Keeps the tables between searches; those that others are made from first, so that they are made once."""
+        for table in (self.forward, self.postings, self.blocks, self.corpora, self.terms):
             table.persist()
         return self
 
