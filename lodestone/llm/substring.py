@@ -73,44 +73,95 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
     return out
 
 
-def beside(hashed: np.ndarray, least: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each place in ``at``, the least hash among the ``least`` / 2 - 1 places before it and among those after it; the largest number at an end."""
-    width = least // 2 - 1
-    if width < 1:
-        return np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    rest = np.full(width, np.iinfo(np.uint64).max, np.uint64)
-    padded = np.concatenate([rest, hashed, rest])
-    places = at[:, None] + np.arange(width)
-    return padded[places].min(1), padded[places + width + 1].min(1)
+def _sliding(values: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
+    """``least`` (a minimum or a maximum) over each run of ``width`` values, by doubling."""
+    done = 1
+    while 2 * done <= width:
+        values, done = least(values[:-done], values[done:]), 2 * done
+    return least(values[: len(values) - (width - done)], values[width - done :]) if done < width else values
 
 
-def _windows(least: int, functions: int):
-    def of_text(shingles: np.ndarray) -> Iterator[np.ndarray]:
-        plain = len(np.unique(shingles)) == len(shingles)
-        for f in range(functions):
-            hashed = function(shingles, f)
-            l, c, r = np.array(compact_windows(hashed if plain else untied(hashed), least), np.int64).T
+def wide_nodes(order: np.ndarray, least: int) -> np.ndarray:
+    """Places of the nodes of ``least`` values or more in the Cartesian trees of stretches that zeros part from each other.
+
+    A node is that wide where its value is the minimum of a run of ``least`` values, without a zero.
+    """
+    if len(order) < least:
+        return np.empty(0, np.int64)
+    minima = _sliding(order, least, np.minimum)
+    edge = np.zeros(least - 1, order.dtype)
+    return np.nonzero((_sliding(np.concatenate([edge, minima, edge]), least, np.maximum) == order) & (order > 0))[0]
+
+
+def _beside(hashed: np.ndarray, order: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Of each node in ``at``: how far it goes to the left and to the right, at most ``least`` - 1; the least hash among the ``least`` / 2 - 1 places
+    before it and among those after it. A stretch has ``least`` places without values on both sides, 0 in ``order`` and the largest number in ``hashed``."""
+    width, steps = least // 2 - 1, np.arange(1, least)
+    out = []
+    for side in (-1, 1):
+        places = at[:, None] + side * steps
+        smaller = order[places] < order[at][:, None]
+        reach = np.where(smaller.any(1), smaller.argmax(1), least - 1) if least > 1 else np.zeros(len(at), np.int64)
+        out += [reach, hashed[places[:, :width]].min(1) if width > 0 else np.zeros(len(at), np.uint64)]
+    return out[0], out[2], out[1], out[3]
+
+
+#: Nodes whose surroundings are looked at together, and words whose shingles are: what a task holds beside its longest text.
+NODES, TOGETHER = 1 << 15, 1 << 19
+
+
+def _nodes(texts: list[np.ndarray], least: int, functions: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, value, context, place with its reaches) of the windows of some texts under each function."""
+    edge = np.zeros(least, np.uint64)
+    begun = np.cumsum([least] + [len(t) + least for t in texts])[:-1]
+    inside = np.concatenate([edge.astype(bool), *[x for t in texts for x in (np.ones(len(t), bool), edge.astype(bool))]])
+    shingles = np.concatenate([edge, *[x for t in texts for x in (t, edge)]])
+    ordered = [np.sort(t) for t in texts]
+    plain = np.array([not (t[1:] == t[:-1]).any() for t in ordered])
+    half = max(least // 2, 1)
+    for f in range(functions):
+        hashed = function(shingles, f)
+        hashed[~inside] = np.iinfo(np.uint64).max
+        order = np.where(inside, hashed, 0)
+        for i in np.nonzero(~plain)[0]:
+            order[begun[i] : begun[i] + len(texts[i])] = untied(hashed[begun[i] : begun[i] + len(texts[i])]) + 1
+        nodes = wide_nodes(order, least)
+        parts = []
+        for some in np.split(nodes, range(NODES, len(nodes), NODES)):
+            left, right, before, after = _beside(hashed, order, some, least)
+            text = np.searchsorted(begun, some, side="right") - 1
             # The low 32 bits of each: the high ones of a minimum are mostly zeros.
-            before, after = (side & np.uint64(0xFFFFFFFF) for side in beside(hashed, least, c))
-            value, context = hashed[c].view(np.int64), (before | after << np.uint64(32)).view(np.int64)
-            if not plain:  # of equal windows within half a run one is enough, the stretches around it are compared
-                kept = np.unique(np.stack([value, context, c // max(least // 2, 1)]), axis=1, return_index=True)[1]
-                l, c, r, value, context = l[kept], c[kept], r[kept], value[kept], context[kept]
-            left, right = np.minimum(c - l, least - 1), np.minimum(r - c, least - 1)
-            yield np.stack([value, context, c << 2 * REACH_BITS | left << REACH_BITS | right])
+            context = (before & np.uint64(0xFFFFFFFF) | (after & np.uint64(0xFFFFFFFF)) << np.uint64(32)).view(np.int64)
+            parts.append(np.stack([text, hashed[some].view(np.int64), context, (some - begun[text]) << 2 * REACH_BITS | left << REACH_BITS | right]))
+        text, value, context, at = np.concatenate(parts, axis=1)
+        if not plain.all():  # of equal windows within half a run one is enough, the stretches around it are compared
+            twice = np.nonzero(~plain[text])[0]
+            part = np.stack([text[twice], value[twice], context[twice], (at[twice] >> 2 * REACH_BITS) // half])
+            kept = np.sort(np.concatenate([np.nonzero(plain[text])[0], twice[np.unique(part, axis=1, return_index=True)[1]]]))
+            text, value, context, at = text[kept], value[kept], context[kept], at[kept]
+        yield text, value, context, at
+
+
+def _windows(least: int, functions: int):
+    def found(docs: list[int], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        ids = np.array(docs, np.int64)
+        for text, value, context, at in _nodes(texts, least, functions):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (value, context, ids[text], at)], names=["v", "x", "doc", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, parts = [], []
+            docs, texts, total = [], [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 shingles = shingles_of(text)
                 if len(shingles) >= least:
-                    for part in of_text(shingles):
-                        parts.append(part)
-                        docs.append(np.full(part.shape[1], doc, np.int64))
+                    docs.append(doc)
+                    texts.append(shingles)
+                    total += len(shingles)
+                if total >= TOGETHER:
+                    yield from found(docs, texts)
+                    docs, texts, total = [], [], 0
             if docs:
-                value, context, at = np.ascontiguousarray(np.concatenate(parts, axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (value, context, np.concatenate(docs), at)], names=["v", "x", "doc", "at"])
+                yield from found(docs, texts)
 
     return run
 
@@ -144,13 +195,15 @@ def _pairs(ties: DataFrame, least: int) -> DataFrame:
     return merged.select("doc", "to_doc", "diagonal", lo.alias("lo"), hi.alias("hi"), F.greatest(lo - F.col("diagonal") - SLACK, F.lit(0)).alias("to_lo"), (hi - F.col("diagonal") + SLACK).alias("to_hi"), "windows")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of a text that any pair asks for, from the first to the last, 32 bits of each: enough to compare two documents."""
-    for batch in batches:
-        parts = []
-        for text, lo, hi in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            parts.append((shingles_of(text) >> np.uint64(32)).astype(np.uint32)[lo : hi + 1].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(parts, pa.binary())], names=["doc", "base", "shingles"])
+def _shingles(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shingles of a text, 32 bits of each: enough to compare two documents."""
+        for batch in batches:
+            whole = [(shingles_of(text) >> np.uint64(32)).astype(np.uint32) for text in batch.column(1).cast(pa.binary()).to_pylist()]
+            long = [i for i, s in enumerate(whole) if len(s) >= least]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(long, pa.int32())), pa.array([whole[i].tobytes() for i in long], pa.binary())], names=["doc", "shingles"])
+
+    return run
 
 
 def near_places(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
@@ -239,7 +292,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     """(doc, to_doc, spans, to_spans): passages of ``doc`` that ``to_doc`` has too, in words, end excluded.
 
     Each passage is tied to the earliest place with it, not to all of them unless the earliest differs; that may be in the same document. Rows with a null id are left
-    out here; rows that repeat an id are taken for one document, whose stretches are compared in the greatest of its texts.
+    out here; rows that repeat an id are taken for one document, whose stretches are compared in one of its texts.
     """
     tuned(docs.sparkSession)
     least = least_words - SHINGLE + 1
@@ -247,32 +300,40 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         raise ValueError(f"least_words must be from {SHINGLE} to {FAR - SLACK + SHINGLE - 1}")
     rows = need(docs, id_col, text_col).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     ties = _first_ties(rows.mapInArrow(_windows(least, functions), "v bigint, x bigint, doc bigint, at bigint"))
-    found = docs.sparkSession.createDataFrame([], FOUND)
+    found, shingles, judged = docs.sparkSession.createDataFrame([], FOUND), None, None
     while True:
         pairs = materialized(_pairs(ties, least), "pairs")
+        if judged is not None:
+            drop_table(judged)
         if pairs.isEmpty():
-            drop_table(pairs)
-            return found
-        judged = _judged(rows, pairs, least, similarity)
+            break
+        if shingles is None:  # later rounds ask for no other documents
+            shingles = materialized(_stored(rows, pairs, least), "shingles")
+        judged = _judged(shingles, pairs, least, similarity)
         drop_table(pairs)
-        found = found.union(judged.where(F.size("spans") > 0).select(*found.columns))
+        found = found.union(materialized(judged.where(F.size("spans") > 0).select(*found.columns), "spans"))
         ties = _further_ties(judged.select("doc", F.inline("finer")).distinct())
+    for table in (pairs, shingles):
+        if table is not None:
+            drop_table(table)
+    return found
+
+
+def _stored(rows: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """(doc, shingles) of the documents of the pairs: texts are neither shuffled nor read again after this."""
+    asked = pairs.select("doc").union(pairs.select("to_doc")).distinct()
+    return rows.mapInArrow(_shingles(least), "doc bigint, shingles binary").join(asked, "doc", "left_semi").groupBy("doc").agg(F.max("shingles").alias("shingles"))
 
 
-def _judged(rows: DataFrame, pairs: DataFrame, least: int, similarity: float) -> DataFrame:
+def _judged(shingles: DataFrame, pairs: DataFrame, least: int, similarity: float) -> DataFrame:
     """(doc, to_doc, spans, to_spans, finer) of the pairs."""
-    asked = pairs.select("doc", "lo", "hi").union(pairs.select("to_doc", "to_lo", "to_hi")).groupBy("doc").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    texts = rows.join(asked, "doc").groupBy("doc").agg(F.max("text").alias("text"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    cut = materialized(texts.mapInArrow(_cut, "doc bigint, base int, shingles binary"), "cut")
     # Each stretch is cut out of its document's before it goes on.
-    one = pairs.join(cut, "doc").withColumn("one", F.expr("substring(shingles, (lo - base) * 4 + 1, (hi - lo + 1) * 4)")).drop("base", "shingles")
-    both = one.join(cut.withColumnRenamed("doc", "to_doc"), "to_doc").withColumn("two", F.expr("substring(shingles, (to_lo - base) * 4 + 1, (to_hi - to_lo + 1) * 4)"))
+    one = pairs.join(shingles, "doc").withColumn("one", F.expr("substring(shingles, lo * 4 + 1, (hi - lo + 1) * 4)")).drop("shingles")
+    both = one.join(shingles.withColumnRenamed("doc", "to_doc"), "to_doc").withColumn("two", F.expr("substring(shingles, to_lo * 4 + 1, (to_hi - to_lo + 1) * 4)"))
     span = "array<struct<begin:int,end:int>>"
     judge = both.select("doc", "to_doc", "diagonal", "lo", "to_lo", "one", "two", "windows")
     judge = judge.mapInArrow(_verified(least, similarity), f"doc bigint, to_doc bigint, spans {span}, to_spans {span}, finer array<struct<key:bigint,at:bigint>>")
-    judged = materialized(judge, "judged")
-    drop_table(cut)
-    return judged
+    return materialized(judge, "judged")
 
 
 FOUND = "doc bigint, to_doc bigint, spans array<struct<begin:int,end:int>>, to_spans array<struct<begin:int,end:int>>"

@@ -272,3 +272,30 @@ def test_windows_that_part_at_the_same_shingle_meet_again():
     got = [set(substring.parted(a, first, 0, [], np.array([77]), at, 0)[0].tolist()) for a in (one, two)]
     assert len(got[0]) == len(got[1]) == 2 and len(got[0] & got[1]) == 1  # alike on the left only
     assert len(substring.parted(one, first, 0, [(5, 65)], np.array([77]), at, 0)[0]) == 0  # covered whole
+
+
+def test_wide_nodes_of_many_texts_are_the_trees_nodes():
+    random = np.random.default_rng(5)
+    for least in (1, 2, 7, 46):
+        texts = [random.integers(1, 1 << 62, n).astype(np.uint64) for n in (least, 300, least + 1, 95)] + [np.resize(random.integers(1, 1 << 62, 5).astype(np.uint64), 120)]
+        for f, (text, value, _, at) in enumerate(substring._nodes(texts, least, 2)):
+            got = {(int(t), int(v), int(a)) for t, v, a in zip(text, value, at, strict=True)}
+            assert len(got) == len(text)
+            for i, shingles in enumerate(texts[:4]):
+                hashed = substring.function(shingles, f)
+                want = {(i, int(hashed[c].view(np.int64)), c << 24 | min(c - low, least - 1) << 12 | min(high - c, least - 1)) for low, c, high in substring.compact_windows(hashed, least)}
+                assert {g for g in got if g[0] == i} == want
+            hashed = substring.function(texts[4], f)
+            nodes = {c: (int(hashed[c].view(np.int64)), min(c - low, least - 1), min(high - c, least - 1)) for low, c, high in substring.compact_windows(substring.untied(hashed), least)}
+            repeated = {a >> 24: (v, a >> 12 & 4095, a & 4095) for t, v, a in got if t == 4}
+            assert repeated and all(nodes[c] == w for c, w in repeated.items())
+
+
+def test_nodes_split_over_groups_of_texts_are_the_same(monkeypatch):
+    texts = {"doc": list(range(40)), "text": [" ".join(f"w{(i * k) % 997}" for k in range(80 + i)) for i in range(1, 41)]}
+    whole = pa.Table.from_batches(list(substring._windows(46, 4)(iter([pa.RecordBatch.from_pydict(texts)]))))
+    monkeypatch.setattr(substring, "NODES", 7)
+    monkeypatch.setattr(substring, "TOGETHER", 300)
+    parts = pa.Table.from_batches(list(substring._windows(46, 4)(iter([pa.RecordBatch.from_pydict(texts)]))))
+    rows = [set(zip(*t.to_pydict().values(), strict=True)) for t in (whole, parts)]
+    assert rows[0] == rows[1] and len(rows[0]) == whole.num_rows
