@@ -259,31 +259,113 @@ def parted(a: np.ndarray, b: np.ndarray, shift: int, spans: list[tuple[int, int]
     return np.concatenate(keys), np.concatenate(places)
 
 
+class Stretches:
+    """Shingles of many stretches one after the other, each between two places without one."""
+
+    def __init__(self, parts: list[bytes]):
+        self.sizes = np.array([len(p) // 4 for p in parts], np.int64)
+        self.starts = 1 + np.concatenate([[0], np.cumsum(self.sizes + 1)])[:-1]
+        self.inside = np.ones(int(self.sizes.sum()) + len(parts) + 1, bool)
+        self.inside[0] = False
+        self.inside[self.starts + self.sizes] = False
+        self.values = np.full(len(self.inside), -1, np.int64)
+        self.values[self.inside] = np.frombuffer(b"".join(parts), np.uint32)
+        self.of = np.repeat(np.arange(len(parts)), self.sizes)  # of the places inside
+        self.places = np.nonzero(self.inside)[0]
+
+    def at(self, which: np.ndarray, local: np.ndarray) -> np.ndarray:
+        """Values by stretch and place in it; -2 beyond its ends, so that nothing is equal to it."""
+        known = (local >= 0) & (local < self.sizes[which])
+        return np.where(known, self.values[np.where(known, self.starts[which] + local, 0)], -2)
+
+
+def same_and_shared(a: Stretches, b: Stretches, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all places of ``a``: whether ``b`` has the same value at that place plus ``shift``, and whether it has it within SLACK places of that."""
+    there = a.places - a.starts[a.of] + shift[a.of]
+    same, shared = np.zeros(len(a.values), bool), np.zeros(len(a.values), bool)
+    same[a.places] = a.values[a.places] == b.at(a.of, there)
+    shared |= same
+    rest = np.nonzero(~same[a.places])[0]
+    which, place, there = a.of[rest], a.places[rest], there[rest]
+    for d in range(-SLACK, SLACK + 1):
+        shared[place] |= a.values[place] == b.at(which, there + d)
+    return same, shared
+
+
+def covered(a: Stretches, shared: np.ndarray, least: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, begin, end) of the spans that ``alike`` names, of all stretches in order; places in the whole, end included."""
+    enough = int(np.ceil(2 * least * similarity / (1 + similarity) - 1e-9))
+    sums = np.concatenate([[0], np.cumsum(shared)])
+    room = a.starts[a.of] + a.sizes[a.of] - a.places >= least
+    begun = a.places[room]
+    enough_there = sums[begun + least] - sums[begun] >= enough
+    good, which = begun[enough_there], a.of[room][enough_there]
+    fresh = np.ones(len(good), bool)
+    fresh[1:] = (np.diff(good) > least) | (np.diff(which) > 0)
+    first = np.nonzero(fresh)[0]
+    last = np.append(first[1:], len(good)) - 1 if len(first) else first
+    places = np.nonzero(shared)[0]
+    return which[first], places[np.searchsorted(places, good[first])], places[np.searchsorted(places, good[last] + least - 1, side="right") - 1]
+
+
+def parted_all(a: Stretches, same: np.ndarray, spans: tuple[np.ndarray, np.ndarray], which: np.ndarray, key: np.ndarray, at: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(stretch, key, at): what ``parted`` gives for windows of many stretches, in the order of the stretches."""
+    c, left, right = (at >> 2 * REACH_BITS) - base[which], at >> REACH_BITS & FAR, at & FAR
+    known = (c >= 0) & (c < a.sizes[which])
+    which, key, at, c, left, right = (x[known] for x in (which, key, at, c, left, right))
+    place, low = a.starts[which] + c, a.starts[which]
+    high = low + a.sizes[which] - 1
+    differ = np.nonzero(~same)[0]
+    ends = differ[np.searchsorted(differ, place, side="right")]
+    begins = differ[np.searchsorted(differ, place) - 1]
+    if len(spans[0]):
+        near = np.searchsorted(spans[0], place, side="right") - 1
+        within = (near >= 0) & (place <= spans[1][near])
+        begins, ends = np.where(within, spans[0][near] - 1, begins), np.where(within, spans[1][near] + 1, ends)
+    out = []
+    for side, edge, open_ in ((1, begins, begins >= np.maximum(place - left, low)), (2, ends, ends <= np.minimum(place + right, high))):
+        keys = mixed(key[open_].view(np.uint64) ^ mixed(a.values[edge[open_]].astype(np.uint64) << np.uint64(2) | np.uint64(side)))
+        out.append((which[open_], keys.view(np.int64), at[open_]))
+    which, keys, at = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(which, kind="stable")
+    return which[order], keys[order], at[order]
+
+
+def _lists(which: np.ndarray, n: int, **columns: np.ndarray) -> pa.ListArray:
+    """A list of structs for each of ``n`` rows, from rows in order."""
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], list(columns)))
+
+
 def _verified(least: int, similarity: float):
-    spans = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+    def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        diagonal, lo, to_lo = (batch.column(i).to_numpy().astype(np.int64) for i in range(2, 5))
+        a, b = (Stretches(batch.column(i).to_pylist()) for i in (5, 6))
+        shift = lo - diagonal - to_lo  # a place of a, less lo, is that much more in b
+        sides, same = [], None
+        for one, two, by in ((a, b, shift), (b, a, -shift)):
+            same_here, shared = same_and_shared(one, two, by)
+            same = same_here if same is None else same
+            sides.append(covered(one, shared, least, similarity))
+        both = np.isin(np.arange(n), sides[0][0]) & np.isin(np.arange(n), sides[1][0])
+        sides = [tuple(x[both[side[0]]] for x in side) for side in sides]
+        spans = []
+        for of, base, (which, begin, end) in ((a, lo, sides[0]), (b, to_lo, sides[1])):
+            move = base[which] - of.starts[which]
+            spans.append(_lists(which, n, begin=(begin + move).astype(np.int32), end=(end + move + SHINGLE).astype(np.int32)))
+        windows = batch.column(7)
+        key, at = (windows.flatten().field(i).to_numpy() for i in range(2))
+        which, key, at = parted_all(a, same, sides[0][1:], np.repeat(np.arange(n), pc.list_value_length(windows).to_numpy()), key, at, lo)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *spans, _lists(which, n, key=key, at=at)], names=["doc", "to_doc", "spans", "to_spans", "finer"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            diagonal, lo, to_lo, one, two = (batch.column(i).to_pylist() for i in range(2, 7))
-            windows = batch.column(7)
-            key, at = (windows.flatten().field(i).to_numpy() for i in range(2))
-            sizes = pc.list_value_length(windows).to_numpy()
-            begun = np.concatenate([[0], np.cumsum(sizes)])
-            out: list[list] = [[], []]
-            finer: list[list[np.ndarray]] = [[], []]
-            for i, (d, x, y, p, q) in enumerate(zip(diagonal, lo, to_lo, one, two, strict=True)):
-                a, b = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-                shift = x - d - y  # a place of a, less x, is that much more in b
-                there, here = alike(a, b, least, similarity, shift), alike(b, a, least, similarity, -shift)
-                both = bool(there and here)
-                for column, base, found in ((0, x, there), (1, y, here)):
-                    out[column].append([{"begin": base + s, "end": base + e + SHINGLE} for s, e in found] if both else [])
-                own = slice(begun[i], begun[i + 1])
-                for column, values in enumerate(parted(a, b, shift, there if both else [], key[own], at[own], x)):
-                    finer[column].append(values)
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in finer[0]])]).astype(np.int32))
-            further = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(np.concatenate(v) if v else np.empty(0, np.int64)) for v in finer], ["key", "at"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], spans), pa.array(out[1], spans), further], names=["doc", "to_doc", "spans", "to_spans", "finer"])
+            sizes = sum(pc.binary_length(batch.column(i)).to_numpy().astype(np.int64) // 4 for i in (5, 6))
+            group = np.cumsum(sizes) // TOGETHER
+            for part in np.split(np.arange(batch.num_rows), np.nonzero(np.diff(group))[0] + 1):
+                if len(part):
+                    yield judged(batch.take(pa.array(part)))
 
     return run
 

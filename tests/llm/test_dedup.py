@@ -299,3 +299,37 @@ def test_nodes_split_over_groups_of_texts_are_the_same(monkeypatch):
     parts = pa.Table.from_batches(list(substring._windows(46, 4)(iter([pa.RecordBatch.from_pydict(texts)]))))
     rows = [set(zip(*t.to_pydict().values(), strict=True)) for t in (whole, parts)]
     assert rows[0] == rows[1] and len(rows[0]) == whole.num_rows
+
+
+def test_stretches_judged_together_are_as_each_by_itself(monkeypatch):
+    """The batch form against the definitions for one pair: ``alike`` and ``parted``."""
+    random_ = np.random.default_rng(11)
+    least = 20
+    rows = []
+    for i in range(120):
+        a = random_.integers(0, 1 << 32, random_.integers(1, 150)).astype(np.uint32)
+        b = np.delete(a, random_.integers(0, len(a), i % 4)) if i % 3 else random_.integers(0, 30, 90).astype(np.uint32)
+        if i % 7 == 0:
+            a, b = np.resize(a[:5], 80), np.resize(a[:5], 61)
+        if i % 5 == 0:
+            b = np.concatenate([random_.integers(0, 1 << 32, 25).astype(np.uint32), b, a[:10]])
+        lo, to_lo = (int(x) for x in random_.integers(0, 500, 2))
+        shift = int(random_.integers(-3, 28)) if i % 5 else 25
+        at = [int(lo + c) << 24 | int(random_.integers(0, least)) << 12 | int(random_.integers(0, least)) for c in random_.integers(-5, len(a) + 5, 6)]
+        at = [x for x in at if x >= 0]
+        rows.append((i, i + 1000, lo - shift - to_lo, lo, to_lo, a.tobytes(), b.tobytes(), [{"key": int(k), "at": x} for k, x in zip(random_.integers(-1 << 60, 1 << 60, len(at)), at, strict=True)]))
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int64())]))]
+    names = ["doc", "to_doc", "diagonal", "lo", "to_lo", "one", "two", "windows"]
+    batch = pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    monkeypatch.setattr(substring, "TOGETHER", 2_000)
+    got = pa.Table.from_batches(list(substring._verified(least, 0.8)(iter([batch])))).to_pylist()
+    assert len(got) == len(rows) and sum(bool(g["spans"]) for g in got) > 20
+    for g, (doc, to_doc, diagonal, lo, to_lo, one, two, windows) in zip(got, rows, strict=True):
+        a, b, shift = np.frombuffer(one, np.uint32), np.frombuffer(two, np.uint32), lo - diagonal - to_lo
+        there, here = substring.alike(a, b, least, 0.8, shift), substring.alike(b, a, least, 0.8, -shift)
+        there, here = (there, here) if there and here else ([], [])
+        assert (g["doc"], g["to_doc"]) == (doc, to_doc)
+        assert [(s["begin"], s["end"]) for s in g["spans"]] == [(lo + x, lo + y + substring.SHINGLE) for x, y in there]
+        assert [(s["begin"], s["end"]) for s in g["to_spans"]] == [(to_lo + x, to_lo + y + substring.SHINGLE) for x, y in here]
+        key, at = (np.array([w[n] for w in windows], np.int64) for n in ("key", "at"))
+        assert sorted((w["key"], w["at"]) for w in g["finer"]) == sorted(zip(*(x.tolist() for x in substring.parted(a, b, shift, there, key, at, lo)), strict=True))
