@@ -333,3 +333,74 @@ def test_stretches_judged_together_are_as_each_by_itself(monkeypatch):
         assert [(s["begin"], s["end"]) for s in g["to_spans"]] == [(to_lo + x, to_lo + y + substring.SHINGLE) for x, y in here]
         key, at = (np.array([w[n] for w in windows], np.int64) for n in ("key", "at"))
         assert sorted((w["key"], w["at"]) for w in g["finer"]) == sorted(zip(*(x.tolist() for x in substring.parted(a, b, shift, there, key, at, lo)), strict=True))
+
+
+def brute_passages(docs, least_words, similarity):
+    """{id: (merged spans, class)}: every two stretches of all documents compared, along every diagonal that has a shingle in common."""
+    least = least_words - substring.SHINGLE + 1
+    shingles = {i: (substring.shingles_of(t.encode()) >> np.uint64(32)).astype(np.uint32) for i, t in docs.items()}
+    spans, links = {i: set() for i in docs}, {i: set() for i in docs}
+    for i in docs:
+        for j in (j for j in docs if j > i):
+            a, b = shingles[i], shingles[j]
+            at = {v: q for q, v in enumerate(b.tolist())}
+            for diagonal in {at[v] - p for p, v in enumerate(a.tolist()) if v in at}:
+                there, here = substring.alike(a, b, least, similarity, diagonal), substring.alike(b, a, least, similarity, -diagonal)
+                if there and here:
+                    links[i].add(j)
+                    links[j].add(i)
+                    spans[i] |= {(x, y + substring.SHINGLE) for x, y in there}
+                    spans[j] |= {(x, y + substring.SHINGLE) for x, y in here}
+    out = {}
+    for i in docs:
+        merged = []
+        for x, y in sorted(spans[i]):
+            if merged and x <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], y)
+            else:
+                merged.append([x, y])
+        seen, todo = {i}, [i]
+        while todo:
+            todo += [k for k in links[todo.pop()] if k not in seen and not seen.add(k)]
+        out[i] = ([tuple(m) for m in merged], min(seen), links[i])
+    return out
+
+
+def copies_of_passages(seed):
+    """Exact and edited passages, shared by two documents or many, two in one document, a common phrase that is too short."""
+    random_ = random.Random(seed)
+    fresh = lambda n: [f"u{random_.randrange(10**9)}" for _ in range(n)]
+    common, passages = fresh(30), [fresh(random_.randrange(70, 130)) for _ in range(12)]
+    docs = {}
+    for i in range(90):
+        words = fresh(random_.randrange(20, 90))
+        for _ in range(random_.randrange(0, 3)):
+            piece = list(random_.choice(passages))
+            if i % 4 == 1:
+                piece[random_.randrange(30, len(piece) - 30)] = "other"
+            elif i % 4 == 2:
+                piece.insert(random_.randrange(30, len(piece) - 30), "more")
+            words += piece + fresh(random_.randrange(25, 60))
+        if i % 5 == 0:
+            words += common + fresh(30)
+        docs[i] = " ".join(words)
+    return docs
+
+
+@pytest.mark.parametrize("functions", [4, 8])
+def test_passages_and_classes_are_those_of_brute_force(spark, functions):
+    """Eight functions give all of it. The default of four is a matter of chance at similarities near 0.8 (see the README):
+    it must find 97 % of the words, all classes here, and nothing else."""
+    docs = copies_of_passages(17)
+    want = brute_passages(docs, 50, 0.8)
+    found = substring.repeated(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(4), functions=functions)
+    got = {r.doc_id: r for r in found.collect()}
+    spans = {i: [(s.begin, s.end) for s in r.spans] for i, r in got.items()}
+    words = lambda found: {(i, w) for i, own in found.items() for x, y in own for w in range(x, y)}
+    all_spans = {i: own for i, (own, _, _) in want.items()}
+    assert {i: r.class_id for i, r in got.items()} == {i: c for i, (_, c, _) in want.items()}
+    assert len({c for _, c, _ in want.values()}) > 10
+    assert all(set(r.linked_to) <= want[i][2] for i, r in got.items())
+    if functions == 8:
+        assert spans == all_spans
+    assert words(spans) <= words(all_spans) and len(words(spans)) >= 0.97 * len(words(all_spans))
