@@ -31,7 +31,8 @@ def normalized(text: Column) -> Column:
 
 
 def stem(token: Column) -> Column:
-    return F.regexp_replace(token, STEM_PATTERN, "$1")
+    """Every ending is Cyrillic, so only a token whose last letter is (beyond z) is looked at."""
+    return F.when(F.substring(token, -1, 1) > "z", F.regexp_replace(token, STEM_PATTERN, "$1")).otherwise(token)
 
 
 def stems(text: Column) -> Column:

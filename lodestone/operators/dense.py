@@ -54,7 +54,7 @@ class Block:
         return {scope: np.flatnonzero(scopes == scope) for scope in dict.fromkeys(scopes.tolist())}
 
 
-class _Best:
+class NearestRows:
     """The nearest rows of each query so far; what can't be among them is dropped from time to time."""
 
     def __init__(self, depths: np.ndarray):
@@ -93,7 +93,7 @@ def _nearest(shared, metric: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = shared.value
-        best, groups = _Best(block.depths), block.groups()
+        best, groups = NearestRows(block.depths), block.groups()
         lengths_sq = (block.vectors**2).sum(1)
         for batch in batches:
             if not batch.num_rows:

@@ -14,7 +14,7 @@ from lodestone.operators import bm25, chunks, dense, evaluation, examples, hiera
 from lodestone.plans import sql
 from lodestone.sources import chat, help_book, modules
 from lodestone.streaming.incremental import ScanStore
-from lodestone.tables import shared_dir
+from lodestone.tables import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,6 +159,10 @@ def index_of(spark, d) -> bm25.Bm25Index:
     return bm25.build(corpus(spark, d)).persist()
 
 
+def searched_once(spark, d) -> bm25.Bm25Index:
+    return bm25.unstored(corpus(spark, d))
+
+
 @registered(f"WITH {sql.CHUNKS}, {sql.BM25} SELECT chunk_ord, tok, tf FROM postings")
 def bm25_postings(spark, d):
     return index_of(spark, d).postings.select("chunk_ord", "tok", "tf")
@@ -184,12 +188,12 @@ def top(rows: DataFrame) -> DataFrame:
 @registered(f"WITH {sql.CHUNKS}, {sql.BM25}, asked AS (SELECT CAST(1 AS BIGINT) AS query_id, '*' AS scope, '{QUERY}' AS query), {sql.ranked('asked')} {TOP_SQL} FROM ranked WHERE rank <= 20")
 def bm25_topk(spark, d):
     request = spark.createDataFrame([(1, "*", QUERY, 20)], "query_id bigint, scope string, query string, depth int")
-    return top(bm25.ranked(request, index_of(spark, d)))
+    return top(bm25.ranked(request, searched_once(spark, d)))
 
 
 @registered(f"WITH {sql.CHUNKS}, {sql.BM25}, asked AS (SELECT CAST(1 AS BIGINT) AS query_id, lang AS scope, '{QUERY}' AS query FROM (SELECT DISTINCT lang FROM documents)), {sql.ranked('asked')} {TOP_SQL} FROM ranked WHERE rank <= 20")
 def bm25_topk_domain(spark, d):
-    index = index_of(spark, d)
+    index = searched_once(spark, d)
     request = stats.known_domains(corpus(spark, d)).select(F.lit(1).cast("bigint").alias("query_id"), F.col("domain").alias("scope"), F.lit(QUERY).alias("query"), F.lit(20).alias("depth"))
     return top(bm25.ranked(request, index))
 
@@ -197,7 +201,7 @@ def bm25_topk_domain(spark, d):
 @registered(f"WITH {sql.CHUNKS}, {sql.BM25}, asked AS (SELECT item_id AS query_id, '*' AS scope, text AS query FROM benchmark), {sql.ranked('asked')} {TOP_SQL} FROM ranked WHERE rank <= 5")
 def bm25_batch(spark, d):
     request = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("*").alias("scope"), F.col("text").alias("query"), F.lit(5).alias("depth"))
-    return top(bm25.ranked(request, index_of(spark, d)))
+    return top(bm25.ranked(request, searched_once(spark, d)))
 
 
 # --- vectors ---------------------------------------------------------------------------------------------------
@@ -273,7 +277,7 @@ def ann_cells(spark, d):
 
 
 def prepared(spark, d):
-    return search.requests(asked(spark), SETTINGS), index_of(spark, d), vectors(spark, d), query_vectors(spark, d)
+    return search.requests(asked(spark), SETTINGS), searched_once(spark, d), vectors(spark, d), query_vectors(spark, d)
 
 
 #: Everything up to the candidates of each query.
@@ -364,8 +368,8 @@ MATCHED = sql.distinct(f"list_filter({sql.tokens('query')}, lambda t: list_conta
   array_to_string(list_filter([CASE WHEN dense_rrf > 0 OR dense_similarity > 0 THEN 'semantic' END, CASE WHEN bm25_rrf > 0 THEN 'bm25' END, CASE WHEN title_bonus > 0 THEN 'title' END], lambda s: s IS NOT NULL), ',') AS match_sources
   FROM best WHERE rank <= k""")
 def search_results(spark, d):
-    request, _, _, qv = prepared(spark, d)
-    found = search.search(asked(spark), corpus(spark, d), index_of(spark, d), vectors(spark, d), qv)
+    qv = query_vectors(spark, d)
+    found = search.search(asked(spark), corpus(spark, d), searched_once(spark, d), vectors(spark, d), qv)
     return found.select("query_id", "rank", "id", "domain", "title", "score", *[F.array_join(c, ",").alias(c) for c in ("highlight_terms", "semantic_highlight_terms", "match_sources")])
 
 
@@ -382,8 +386,8 @@ def semantic_highlights(spark, d):
 @registered(RESCORED + f"""SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, array_to_string(list_filter([CASE WHEN dense_rrf > 0 OR dense_similarity > 0 THEN 'semantic' END, CASE WHEN bm25_rrf > 0 THEN 'bm25' END, CASE WHEN title_bonus > 0 THEN 'title' END], lambda s: s IS NOT NULL), ',') AS sources,
   round(dense_rrf, 4) AS dense_rrf, round(dense_similarity, 4) AS dense_similarity, round(bm25_rrf, 4) AS bm25_rrf, round(title_bonus, 4) AS title_bonus, CAST(dense_rank AS INTEGER) AS dense_rank, CAST(bm25_rank AS INTEGER) AS bm25_rank, round(dense_distance, 4) AS dense_distance, round(bm25_raw, 4) AS bm25_raw FROM best WHERE rank <= k""")
 def score_breakdown(spark, d):
-    request, _, _, qv = prepared(spark, d)
-    found = search.search(asked(spark), corpus(spark, d), index_of(spark, d), vectors(spark, d), qv)
+    qv = query_vectors(spark, d)
+    found = search.search(asked(spark), corpus(spark, d), searched_once(spark, d), vectors(spark, d), qv)
     parts = ["dense_rrf", "dense_similarity", "bm25_rrf", "title_bonus", "dense_rank", "bm25_rank", "dense_distance", "bm25_raw"]
     return found.select("query_id", "rank", F.array_join("match_sources", ",").alias("sources"), *[F.col("score_breakdown")[p].alias(p) for p in parts])
 
@@ -412,7 +416,7 @@ TOLD = """concat_ws('; ', CASE WHEN dense_rank IS NOT NULL THEN 'Семанти
 
 @registered(RESCORED + f"SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, id, {TOLD} || '.' AS explanation FROM best WHERE rank <= k")
 def match_explanation(spark, d):
-    found = search.search(asked(spark), corpus(spark, d), index_of(spark, d), vectors(spark, d), query_vectors(spark, d))
+    found = search.search(asked(spark), corpus(spark, d), searched_once(spark, d), vectors(spark, d), query_vectors(spark, d))
     return found.select("query_id", "rank", "id", F.col("match_explanation").alias("explanation"))
 
 
@@ -628,17 +632,20 @@ def json_answers(spark, d):
 
 def benchmark_search(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    index = bm25.build(corpus(spark, d), "text").persist()
+    docs = corpus(spark, d)
+    index = bm25.unstored(docs, "text")
     ranked = bm25.ranked(items.withColumn("scope", F.lit("*")).withColumn("depth", F.lit(5)), index)
-    # A document that holds an item has all of its words but the outer two, which may be parts of others. The postings of the rarest one
-    # give the documents to look at; only these fetch their text, to compare the whole item.
+    # A document that holds an item has all of its words but the outer two, which may be parts of others. The documents that have the
+    # rarest one are looked at where they are, to compare the whole item.
     stems = text.stems(F.col("query"))
     inner = F.when(F.size(stems) > 2, F.slice(stems, F.lit(2), F.greatest(F.size(stems) - 2, F.lit(1)))).otherwise(stems)
     words = items.select("query_id", F.explode(inner).alias("tok")).join(index.terms.where("scope = '*'").select("tok", "df"), "tok")
-    rarest = words.groupBy("query_id").agg(F.min(F.struct("df", "tok"))["tok"].alias("tok"))
-    pairs = rarest.join(index.postings.select("tok", "id", F.col("chunk_ord").alias("doc_id")), "tok").join(items, "query_id")
-    found = pairs.join(table(spark, d, "documents").select("doc_id", F.col("text").alias("_own")), "doc_id").where(F.col("_own").contains(F.col("query")))
-    relevant = found.select("query_id", "id").distinct()
+    rarest = words.groupBy("query_id").agg(F.min(F.struct("df", "tok"))["tok"].alias("tok")).join(items, "query_id").groupBy("tok").agg(F.collect_list(F.struct("query_id", "query")).alias("items"))
+    rarest = written(rarest, "rarest")  # no more rows than items
+    rare = F.broadcast(rarest.agg(F.collect_list("tok").alias("rare")))
+    own = docs.select("id", F.col("text").alias("_own")).join(rare, F.lit(True)).select("id", "_own", F.explode(F.array_intersect(text.stems(F.col("_own")), "rare")).alias("tok"))
+    held = own.join(F.broadcast(rarest), "tok").select("id", F.explode(F.filter("items", lambda x: F.col("_own").contains(x["query"]))).alias("item"))
+    relevant = held.select(F.col("item.query_id").alias("query_id"), "id").distinct()
     return ranked, relevant, items
 
 

@@ -311,3 +311,34 @@ def test_listings_and_streams_of_a_folder(spark, tmp_path):
     assert store.scan(listing(spark, str(folder), "l"))["unchanged"] == 2
     (folder / "a.bsl").unlink()
     assert store.scan(listing(spark, str(folder), "l"))["gone"] == 1 and set(now(store)) == {("l", "deep er/б.os")}
+
+
+# --- searches of chunks that are read once ---------------------------------------------------------------------
+
+
+def test_a_scan_of_the_texts_gives_the_rows_of_all_postings(spark, lexical, corpus, requests):
+    scanned = bm25.unstored(corpus)
+    assert rows_of(bm25.ranked(requests, scanned)) == rows_of(bm25.ranked(requests, lexical))
+    at_once = bm25.SCORES_AT_ONCE
+    bm25.SCORES_AT_ONCE = 50  # a few chunks at a time
+    try:
+        assert rows_of(bm25.ranked(requests, scanned)) == rows_of(bm25.ranked(requests, lexical))
+    finally:
+        bm25.SCORES_AT_ONCE = at_once
+    numbers = lambda index: sorted((r.scope, r.tok, r.df, round(r.idf, 9)) for r in index.terms.collect()) + sorted((r.scope, r.n, round(r.avgdl, 9), round(r.avg_idf, 9)) for r in index.corpora.collect())
+    assert numbers(scanned) == numbers(lexical)
+
+
+def test_a_scan_knows_negative_weights_and_empty_texts(spark):
+    tiny = spark.createDataFrame([(0, "a", "x", "p q"), (1, "b", "x", "p"), (2, "c", None, "p r"), (3, "d", "x", None)], "chunk_ord bigint, id string, domain string, lexical_text string")
+    asked = spark.createDataFrame([(1, "*", "p q", 4), (2, "x", "p", 3), (3, "*", "r", 2)], "query_id bigint, scope string, query string, depth int")
+    assert rows_of(bm25.ranked(asked, bm25.unstored(tiny))) == rows_of(bm25.ranked(asked, bm25.build(tiny)))
+
+
+def test_a_search_of_the_benchmark_shuffles_no_text_and_no_postings(spark):
+    from lodestone.plans import catalog
+
+    ranked, relevant, _ = catalog.benchmark_search(spark, "/root/testdata/sf0.001")
+    for rows, scanned in ((ranked, True), (relevant, False)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and ("MapInArrow" in plan) == scanned and "InMemoryRelation" not in plan
