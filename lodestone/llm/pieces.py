@@ -44,8 +44,8 @@ RANK_OFFSET, SHARPNESS = 10, 1.5
 LONG = 64
 #: The tables of a task's units have so many edges (36 bytes each) and units; one batch may need more.
 EDGES, UNITS = 3_000_000, 300_000
-#: Texts encoded together: rows, and characters unless one text has more.
-ROWS, CHARS = 200, 500_000
+#: Texts encoded together: rows, and characters unless one text has more. What a task holds for them is some 400 bytes a character.
+ROWS, CHARS = 200, 150_000
 #: Cells of (unit, end, edge) that are worked on at once.
 CELLS = 1 << 15
 
@@ -94,6 +94,11 @@ class Units:
 
     def clear(self, edges: int = EDGES) -> None:
         self.count = self.nodes = self.used = 0
+        if edges and len(getattr(self, "till", ())) == edges and len(self.slots) == 4 * UNITS:
+            self.slots[:] = 0  # begins anew in the same memory
+            self.first[0] = 0
+            return
+        self.slots = self.slot_node = self.first = self.till = self.log_p = self.log_rest = self.before = self.id = None
         self.slots, self.slot_node = np.zeros(4 * UNITS if edges else 0, np.uint64), np.empty(4 * UNITS if edges else 0, np.int32)
         self.first = np.zeros(edges + 1, np.int32)
         self.till, self.log_p, self.log_rest = (np.empty(edges) for _ in range(3))

@@ -149,3 +149,16 @@ def test_damaged_payloads_are_noticed():
     data = warc.record("response", 1, "u", b"payload").replace(b"payload", b"paYload")
     with pytest.raises(ValueError, match="digest"):
         warc.parsed(data)
+
+
+def test_tables_begin_anew_in_the_memory_that_they_have():
+    own = pieces.Pieces(pieces.read_model())
+    text = "Привет, world " * 3
+    before, held = own.sampled(text, 3, np.random.default_rng(1)), own.units.till
+    own.units.clear()
+    assert own.units.till is held and own.units.count == 0
+    after = own.sampled(text, 3, np.random.default_rng(1))
+    assert after == before
+    own.units.drop()
+    own.units.clear()
+    assert own.sampled(text, 3, np.random.default_rng(1)) == before
