@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import ACTION_STEMS, EXECUTABLE_KINDS, STATIC_KINDS, content_stems, is_transformation, normalized, related, stems, strings, tokens
+from lodestone.functions.text import ACTION_STEMS, EXECUTABLE_KINDS, STATIC_KINDS, content_stems, is_transformation, normalized, related_stems, stem, stems, strings, tokens, valued
 
 
 @dataclass(frozen=True)
@@ -42,12 +42,32 @@ def similarity(distance: Column, weight: float) -> Column:
 
 def title_bonus(query: Column, title: Column) -> Column:
     """Rewards query words that the title has, and the query as a phrase of it; more for queries that are a name."""
-    asked, own = tokens(query), tokens(title)
-    covered = F.size(F.filter(asked, lambda q: F.exists(own, lambda t: related(q, t)))) / F.size(asked)
-    phrase = F.array_join(own, " ").contains(normalized(query)).cast("double")
-    name = F.size(content_stems(query)) <= 1
-    bonus = F.when(name, 0.02 * covered + 0.03 * phrase).otherwise(0.004 * covered + 0.006 * phrase)
-    return F.when((F.size(asked) > 0) & (F.size(own) > 0), bonus).otherwise(0.0)
+    return title_bonus_of(asked_words(query), title_words(title))
+
+
+def asked_words(query: Column) -> Column:
+    """What ``title_bonus_of`` needs of a query: its stems, its words as a phrase, and whether it is a name."""
+    return F.struct(stems(query).alias("stems"), normalized(query).alias("phrase"), (F.size(content_stems(query)) <= 1).alias("name"))
+
+
+def title_words(title: Column) -> Column:
+    """What ``title_bonus_of`` needs of a title: each of its stems once, and its words as a phrase."""
+    once = lambda own: F.struct(F.array_distinct(F.transform(F.array_distinct(own), stem)).alias("stems"), F.array_join(own, " ").alias("phrase"))
+    return valued(tokens(title), once)
+
+
+def title_bonus_of(asked: Column, own: Column) -> Column:
+    """``title_bonus`` of a query's ``asked_words`` and a title's ``title_words``. Where each title meets several queries, both are best made
+    before they meet."""
+
+    def bonus(x: Column) -> Column:
+        asked, own = x["asked"]["stems"], x["own"]["stems"]
+        covered = F.size(F.filter(asked, lambda q: F.exists(own, lambda t: related_stems(q, t)))) / F.size(asked)
+        phrase = x["own"]["phrase"].contains(x["asked"]["phrase"]).cast("double")
+        found = F.when(x["asked"]["name"], 0.02 * covered + 0.03 * phrase).otherwise(0.004 * covered + 0.006 * phrase)
+        return F.when((F.size(asked) > 0) & (F.size(own) > 0), found).otherwise(0.0)
+
+    return valued(F.struct(asked.alias("asked"), own.alias("own")), bonus)
 
 
 def intent_bonus(query: Column, text: Column, kind: Column, domain: Column) -> Column:

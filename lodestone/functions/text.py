@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,7 +57,18 @@ def _overlap(a: Column, b: Column) -> Column:
 
 def related(a: Column, b: Column) -> Column:
     """Whether two tokens, or their stems, are equal or one begins the other (three characters at least)."""
-    return (a == b) | _overlap(a, b) | (stem(a) == stem(b)) | _overlap(stem(a), stem(b))
+    return related_stems(stem(a), stem(b))
+
+
+def related_stems(a: Column, b: Column) -> Column:
+    """``related`` for the stems of two tokens. A stem begins its token and keeps three characters of it, so tokens that are equal, or of which
+    one begins the other, have stems like that too."""
+    return (a == b) | _overlap(a, b)
+
+
+def valued(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once for a row, however often ``then`` uses it, within lambdas too."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _content(token: Column) -> Column:

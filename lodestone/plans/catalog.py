@@ -335,8 +335,11 @@ def candidate_trim(spark, d):
 
 @registered(f"WITH {sql.CHUNKS}, {ASKED_SQL} SELECT CAST(query_id AS BIGINT) AS query_id, id, round({sql.title_bonus('query', 'lexical_text')}, 6) AS bonus FROM asked JOIN chunks ON scope = '*' OR scope = domain")
 def title_bonus(spark, d):
-    rows = F.broadcast(search.requests(asked(spark), SETTINGS)).join(corpus(spark, d), (F.col("scope") == "*") | (F.col("scope") == F.col("domain")))
-    return rows.select("query_id", "id", F.round(scoring.title_bonus(F.col("query"), F.col("lexical_text")), 6).alias("bonus"))
+    # Titles and queries are split into words before they meet.
+    requests = search.requests(asked(spark), SETTINGS).select("query_id", "scope", scoring.asked_words(F.col("query")).alias("asked"))
+    titles = corpus(spark, d).select("id", "domain", scoring.title_words(F.col("lexical_text")).alias("own"))
+    rows = F.broadcast(requests).join(titles, (F.col("scope") == "*") | (F.col("scope") == F.col("domain")))
+    return rows.select("query_id", "id", F.round(scoring.title_bonus_of(F.col("asked"), F.col("own")), 6).alias("bonus"))
 
 
 INTENTS = [("строку в массив", "Разделить строку и получить массив", "method", "platform_api", 0.1), ("строку в массив", "Разделить строку и получить массив", "function", "bsp", 0.06), ("строку в массив", "строка и массив", "page", "bsp", -0.02), ("split text words", "split text words", "method", "x", 0.06), ("массив", "массив", "method", "x", 0.0)]

@@ -69,3 +69,21 @@ def test_highlight(spark):
 def test_settings_are_checked():
     with pytest.raises(ValueError, match="rrf_k"):
         scoring.SearchSettings(rrf_k=0)
+
+
+def test_words_are_compared_by_their_stems(spark):
+    words = ["a", "ab", "ая", "дом", "дома", "домами", "домик", "до", "слово", "словами", "слов", "strsplit", "str", "st", "ями", "массивами", "массив7", "7", "77"]
+    rows = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    stem = lambda t: F.regexp_replace(t, text.STEM_PATTERN, "$1")
+    over = lambda a, b: (F.length(a) >= 3) & (F.length(b) >= 3) & (a.startswith(b) | b.startswith(a))
+    a, b = F.col("a"), F.col("b")
+    plain = (a == b) | over(a, b) | (stem(a) == stem(b)) | over(stem(a), stem(b))
+    assert rows.where((text.related(a, b) != plain) | (text.stem(a) != stem(a))).count() == 0
+
+
+def test_a_title_is_split_once_however_many_words_are_asked(spark):
+    from lodestone.plans import catalog
+
+    plan = catalog.QUERIES["title_bonus"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join", 1)
+    assert "regexp_extract_all" not in above and "regexp_extract_all" in below
