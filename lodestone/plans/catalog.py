@@ -14,7 +14,7 @@ from lodestone.operators import bm25, chunks, dense, evaluation, examples, hiera
 from lodestone.plans import sql
 from lodestone.sources import chat, help_book, modules
 from lodestone.streaming.incremental import ScanStore
-from lodestone.tables import shared_dir, written
+from lodestone.tables import shared_dir, small_batches, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -549,18 +549,18 @@ def entity_kind(spark, d):
 
 @registered()
 def html_to_markdown(spark, d):
-    return table(spark, d, "pages").select("page_id", markup.html_to_markdown(F.col("html")).alias("markdown"))
+    return small_batches(table(spark, d, "pages")).select("page_id", markup.html_to_markdown(F.col("html")).alias("markdown"))
 
 
 @registered()
 def markdown_sections(spark, d):
-    rows = table(spark, d, "pages").select("page_id", markup.markdown_sections(markup.html_to_markdown(F.col("html"))).alias("sections"))
+    rows = small_batches(table(spark, d, "pages")).select("page_id", markup.markdown_sections(markup.html_to_markdown(F.col("html"))).alias("sections"))
     return rows.select("page_id", F.explode("sections").alias("section", "text"))
 
 
 @registered()
 def behavior_sections(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", markup.behaviour_section_map(F.col("text")).alias("sections"))
+    rows = small_batches(table(spark, d, "documents")).select("doc_id", markup.behaviour_section_map(F.col("text")).alias("sections"))
     return rows.select("doc_id", *[F.col("sections")[k].alias(k) for k in markup.BEHAVIOUR_HEADINGS])
 
 

@@ -10,6 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 FALLBACK_DIR = "/tmp/checkpoints/lodestone"
 
 
+#: Rows of one Arrow batch. Pages can be long, and a batch is held several times over in a task; the default is 10,000 rows.
+ARROW_ROWS = "500"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the Arrow batches of its session bounded."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``. Only on one machine may it be unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

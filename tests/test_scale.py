@@ -342,3 +342,33 @@ def test_a_search_of_the_benchmark_shuffles_no_text_and_no_postings(spark):
     for rows, scanned in ((ranked, True), (relevant, False)):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and ("MapInArrow" in plan) == scanned and "InMemoryRelation" not in plan
+
+
+def test_pages_are_python_objects_a_few_at_a_time():
+    import pyarrow as pa
+
+    from lodestone.functions import markup
+
+    most = []
+
+    class Watched(list):
+        """A column that notes how many of its rows become objects at once."""
+
+        def slice(self, at, n):
+            return Watched(self[at : at + n])
+
+        def to_pylist(self):
+            most.append(len(self))
+            return list(self)
+
+    rows = ["a", None, *["b"] * 2500]
+    assert markup.in_parts(str.upper, pa.string(), Watched(rows)).to_pylist() == ["A", "", *["B"] * 2500]
+    assert max(most) <= markup.ROWS and markup.in_parts(str.upper, pa.string(), Watched()).to_pylist() == []
+
+
+def test_pages_come_in_small_batches(spark):
+    from lodestone.plans import catalog
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    catalog.QUERIES["markdown_sections"](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
