@@ -11,14 +11,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lodestone.tables import written
 
 #: Query vectors that go to every task at once; distances that a task has at once; numbers up to which squared differences are added up one by one.
 QUERY_BLOCK, CELLS_AT_ONCE, EXACT_CELLS = 2000, 1 << 21, 1 << 22
+#: Vectors that centres are found from, about.
+FIT = 20_000
 #: What distances from centres are widened by, for rounding.
 SLACK = 1e-7
+#: How far apart two distances that are equal to nine digits can be.
+ROUNDED = 2e-9
 
 
 def normalized(vector: Column) -> Column:
@@ -54,6 +58,15 @@ class Block:
         return {scope: np.flatnonzero(scopes == scope) for scope in dict.fromkeys(scopes.tolist())}
 
 
+def points_of(vectors: pa.Array) -> np.ndarray:
+    """A row for each vector; all have one size and no nulls, as a matrix needs."""
+    sizes = set(vectors.value_lengths().unique().to_pylist())
+    values = vectors.flatten()
+    if len(sizes) > 1 or None in sizes or values.null_count:
+        raise ValueError(f"vectors of different sizes, or with nulls: {sorted(s for s in sizes if s is not None)}")
+    return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1) if len(vectors) else np.empty((0, 0))
+
+
 class NearestRows:
     """The nearest rows of each query so far; what can't be among them is dropped from time to time."""
 
@@ -63,17 +76,22 @@ class NearestRows:
         self.size = 0
 
     def add(self, of: np.ndarray, distance: np.ndarray, ords: np.ndarray, ids: np.ndarray) -> None:
-        """of: queries; distance: a row for each of them, a column for each vector."""
-        shown = np.round(distance, 9)
+        """of: queries; distance: a row for each of them, a column for each vector. Most are beyond the bar, which one comparison tells; it
+        sinks when rows are dropped, so that distances are ordered for the few that are left only."""
         depth = int(self.depths[of].max())
-        if 0 < depth <= shown.shape[1]:
-            self.bar[of] = np.minimum(self.bar[of], np.partition(shown, depth - 1, axis=1)[:, depth - 1])
-        row, column = np.nonzero(shown <= self.bar[of][:, None])
-        self.parts.append((of[row], shown[row, column], ords[column], ids[column], distance[row, column]))
+        if 0 < depth <= distance.shape[1] and len(fresh := np.flatnonzero(np.isinf(self.bar[of]))):
+            self.bar[of[fresh]] = np.partition(distance[fresh], depth - 1, axis=1)[:, depth - 1]
+        row, column = np.nonzero(distance <= self.bar[of][:, None] + ROUNDED)
+        kept = distance[row, column]
+        self.parts.append((of[row], np.round(kept, 9), ords[column], ids[column], kept))
         self.size += len(row)
         if self.size > 4 * int(self.depths.sum()) + 100_000:
             self.parts = [self.first()]
-            self.size = len(self.parts[0][0])
+            held, shown = self.parts[0][:2]
+            self.size = len(held)
+            ends = np.searchsorted(held, np.arange(len(self.depths)), "right")
+            full = np.flatnonzero((np.bincount(held, minlength=len(self.depths)) >= self.depths) & (self.depths > 0))
+            self.bar[full] = np.minimum(self.bar[full], shown[ends[full] - 1])
 
     def first(self) -> tuple:
         """The first rows of each query by distance, then place."""
@@ -100,7 +118,7 @@ def _nearest(shared, metric: str):
                 continue
             ords, ids = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(1).to_pylist(), object)
             domains = np.array([d or "" for d in batch.column(2).to_pylist()], object)
-            points = np.array(batch.column(3).to_pylist(), np.float64)
+            points = points_of(batch.column(3))
             if metric == "cosine":
                 lengths = np.sqrt((points**2).sum(1))
                 points = points / np.where(lengths == 0, 1, lengths)[:, None]
@@ -189,26 +207,35 @@ def cell_count(n: int) -> int:
 
 
 def with_cells(vectors: DataFrame, n_cells: int | None = None, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
-    """The vectors with the ``cell`` of each (k-means) and ``off``, how far it is, at length 1, from the cell's centre; and the centres."""
+    """The vectors with the ``cell`` of each (that of the nearest centre) and ``off``, how far it is, at length 1, from the centre; and the centres.
+
+    Centres are found by k-means over about ``FIT`` vectors, chosen by a hash of chunk_ord, where there are more. Every vector gets a cell, and
+    searches by cells stay exact wherever the centres are.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.withColumn("features", array_to_vector(normalized(F.col("vector"))))
-    model = KMeans(k=n_cells or cell_count(vectors.count()), seed=seed, maxIter=10).setPredictionCol("cell").fit(rows)
-    centres = np.array(model.clusterCenters())
+    n = vectors.count()
+    some = vectors if n <= FIT else vectors.where(F.pmod(F.xxhash64("chunk_ord"), F.lit(n)) < FIT)
+    rows = some.select(array_to_vector(normalized(F.col("vector"))).alias("features"))
+    centres = np.array(KMeans(k=n_cells or cell_count(n), seed=seed, maxIter=10).fit(rows).clusterCenters())
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
-    columns = model.transform(rows).drop("features")
-    at = columns.columns.index("vector"), columns.columns.index("cell")
+    at = vectors.columns.index("vector")
 
     def with_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middle = shared.value
+        lengths_sq = (middle**2).sum(1)
         for batch in batches:
-            points = np.array(batch.column(at[0]).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            cells, off = np.empty(0, np.int32), np.empty(0)
             if batch.num_rows:
+                points = points_of(batch.column(at))
                 lengths = np.sqrt((points**2).sum(1))
-                points = points / np.where(lengths == 0, 1, lengths)[:, None] - shared.value[batch.column(at[1]).to_numpy(zero_copy_only=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.sqrt((points**2).sum(1)))], names=[*batch.schema.names, "off"])
+                points = points / np.where(lengths == 0, 1, lengths)[:, None]
+                cells = (lengths_sq[None, :] - 2 * points @ middle.T).argmin(1).astype(np.int32)
+                off = np.sqrt(((points - middle[cells]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(off)], names=[*batch.schema.names, "cell", "off"])
 
-    return columns.mapInArrow(with_distances, StructType([*columns.schema.fields, StructField("off", DoubleType())])), centres
+    return vectors.mapInArrow(with_distances, StructType([*vectors.schema.fields, StructField("cell", IntegerType()), StructField("off", DoubleType())])), centres
 
 
 def radii(cells: DataFrame, n_cells: int) -> np.ndarray:

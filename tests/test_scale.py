@@ -372,3 +372,38 @@ def test_pages_come_in_small_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     catalog.QUERIES["markdown_sections"](spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+
+
+def test_cells_fitted_on_some_vectors_hold_all_and_lose_no_neighbour(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"v{i}", "x", (rng.normal(size=6) + 3 * (i % 4)).tolist()) for i in range(900)]
+    vectors = spark.createDataFrame(rows, "chunk_ord bigint, id string, domain string, vector array<double>").repartition(3)
+    queries = vectors.where("chunk_ord % 20 = 0").selectExpr("chunk_ord AS query_id", "'*' AS scope", "7 AS depth", "vector")
+    fit = dense.FIT
+    dense.FIT = 150
+    try:
+        cells, centres = dense.with_cells(vectors)
+        assert cells.count() == 900 and len(centres) == 30
+    finally:
+        dense.FIT = fit
+    for r in cells.where("chunk_ord % 50 = 0").collect():
+        away = np.linalg.norm(centres - np.array(r.vector) / np.linalg.norm(r.vector), axis=1)
+        assert r.cell == away.argmin() and abs(r.off - away.min()) < 1e-9
+    found = lambda rows: sorted((r.query_id, r["rank"], r.chunk_ord) for r in rows.collect())
+    assert found(dense.probed(cells, centres, queries)) == found(dense.nearest(vectors, queries, "cosine"))
+
+
+def test_rows_beyond_the_bar_go_and_ties_stay():
+    rng = np.random.default_rng(3)
+    best, distance = dense.NearestRows(np.array([3, 5])), rng.integers(0, 2000, (2, 300_000)) / 100
+    distance[0, ::7] += 1e-12  # equal to nine digits
+    ords = rng.permutation(300_000)
+    for at in range(0, 300_000, 1000):
+        best.add(np.array([0, 1]), distance[:, at : at + 1000], ords[at : at + 1000], ords[at : at + 1000].astype(object))
+    of, _, got, _, _ = best.first()
+    for q, depth in ((0, 3), (1, 5)):
+        assert got[of == q].tolist() == ords[np.lexsort((ords, np.round(distance[q], 9)))][:depth].tolist()
+    with pytest.raises(ValueError):
+        import pyarrow as pa
+
+        dense.points_of(pa.array([[1.0], [1.0, 2.0]]))
