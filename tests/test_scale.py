@@ -407,3 +407,12 @@ def test_rows_beyond_the_bar_go_and_ties_stay():
         import pyarrow as pa
 
         dense.points_of(pa.array([[1.0], [1.0, 2.0]]))
+
+
+def test_a_hybrid_search_keeps_no_postings(spark):
+    from lodestone.plans import catalog
+
+    request, index, _, _ = catalog.prepared(spark, "/root/testdata/sf0.001")
+    assert index.words is not None and not index.postings.is_cached and not index.forward.is_cached
+    plan = bm25.ranked(request.withColumn("depth", F.lit(20)), index)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan and "InMemoryTableScan" not in plan
