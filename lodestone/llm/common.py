@@ -22,6 +22,17 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """Returns to the system what this Python worker has freed. Workers take turns, and an idle one would keep it beside those that run."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # where the C library has it
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``. Only on one machine may it be unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

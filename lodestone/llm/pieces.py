@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import need, tuned
+from lodestone.llm.common import give_back, need, tuned
 from lodestone.llm.wordhash import mixed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -92,7 +92,8 @@ class Units:
         self.pieces = pieces
         self.clear()
 
-    def clear(self, edges: int = EDGES) -> None:
+    def clear(self, edges: int | None = None) -> None:
+        edges = EDGES if edges is None else edges
         self.count = self.nodes = self.used = 0
         if edges and len(getattr(self, "till", ())) == edges and len(self.slots) == 4 * UNITS:
             self.slots[:] = 0  # begins anew in the same memory
@@ -115,7 +116,8 @@ class Units:
         if not len(unknown):
             return nodes
         fresh, first = np.unique(coded.keys[unknown], return_index=True)
-        if self.count and (self.used + 12 * len(fresh) > EDGES or self.count + len(fresh) > UNITS):
+        chars = int(coded.sizes[unknown[first]].sum())  # the edges of a character are about as many as so far
+        if self.count and (self.used * (1 + 1.25 * chars / self.nodes) > EDGES or self.count + len(fresh) > UNITS):
             self.clear()
             unknown = np.arange(len(nodes))
             fresh, first = np.unique(coded.keys, return_index=True)
@@ -624,6 +626,7 @@ def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        give_back()  # of earlier stages' tasks
         pieces = _worker(shared, sharpness)
         pieces.units.clear()
         kinds = (pa.int32(), pa.string() if digest else pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
@@ -649,6 +652,7 @@ def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                     begin = end
         finally:
             pieces.units.drop()  # the worker lives on and serves other stages
+            give_back()
 
     rows = need(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.col(text_col).alias("text"))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, sample int, ids {'string' if digest else 'array<int>'}, n_pieces bigint, log_prob double, perturbed double, inclusion double, round_trip boolean"

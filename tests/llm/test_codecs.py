@@ -9,6 +9,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from lodestone.llm import pieces, warc
+from lodestone.llm.common import give_back
 from tests_llm_shared import TEXTS
 
 
@@ -162,3 +163,20 @@ def test_tables_begin_anew_in_the_memory_that_they_have():
     own.units.drop()
     own.units.clear()
     assert own.sampled(text, 3, np.random.default_rng(1)) == before
+
+
+def test_tables_of_units_keep_their_size(monkeypatch):
+    monkeypatch.setattr(pieces, "EDGES", 6000)
+    own, random = pieces.Pieces(pieces.read_model()), np.random.default_rng(3)
+    for _ in range(12):  # units of some 14 letters, so of more than 12 edges each
+        own.learn({"▁" + "".join(random.choice(list("etaoinshr"), 14)) for _ in range(20)})
+        assert len(own.units.till) == 6000
+
+
+def test_freed_memory_goes_back_to_the_system():
+    held = lambda: sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Anonymous:")) // 1024  # noqa: E731, SIM115
+    blocks = [np.ones(8000) for _ in range(2000)]  # 128 MB in blocks too small to be mapped by themselves
+    last, full = np.ones(8000), held()
+    blocks.clear()
+    give_back()
+    assert full - held() > 100 and last[0] == 1
