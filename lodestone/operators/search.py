@@ -21,6 +21,8 @@ from lodestone.tables import written
 #: Short names of domains.
 ALIASES = {"bsl": "bsl_lang", "query": "query_lang"}
 PARTS = ["dense_rrf", "dense_similarity", "bm25_rrf"]
+#: Candidates' ids up to which they are sent to the tasks that read the chunks.
+FEW = 100_000
 
 
 def scope_of(domain: Column) -> Column:
@@ -87,18 +89,19 @@ def trimmed(fused: DataFrame, asked: DataFrame, s: SearchSettings, natural: bool
     return rows.join(asked.select("query_id", "candidates"), "query_id").where(keep).drop("_at", "_n", "candidates")
 
 
-def fused_hybrid(asked: DataFrame, index: Bm25Index, vectors: DataFrame, query_vectors: DataFrame, s: SearchSettings, metric: str = "l2") -> DataFrame:
-    """Candidates of both sides for each request."""
+def fused_hybrid(asked: DataFrame, index: Bm25Index, vectors: DataFrame, query_vectors: DataFrame, s: SearchSettings, metric: str = "l2", hits: DataFrame | None = None) -> DataFrame:
+    """Candidates of both sides for each request. hits: the BM25 ranks of these requests, and maybe of others, if they are there."""
     wanted = asked.join(query_vectors.select("query_id", "vector"), "query_id").select("query_id", "scope", F.col("dense_depth").alias("depth"), "vector")
     near = dense_parts(dense.nearest(vectors, wanted, metric), s)
-    lexical = bm25_parts(bm25.ranked(asked.withColumn("depth", F.lit(s.bm25_top_k)), index), s)
+    ranked = bm25.ranked(asked.withColumn("depth", F.lit(s.bm25_top_k)), index) if hits is None else hits.join(asked.select("query_id", "scope"), ["query_id", "scope"], "left_semi")
+    lexical = bm25_parts(ranked, s)
     return trimmed(summed(near.unionByName(lexical)), asked, s)
 
 
-def fused_domains(asked: DataFrame, index: Bm25Index, s: SearchSettings) -> DataFrame:
-    """Each domain's own BM25 candidates of the queries over all domains."""
+def fused_domains(asked: DataFrame, index: Bm25Index, s: SearchSettings, hits: DataFrame | None = None) -> DataFrame:
+    """Each domain's own BM25 candidates of the queries over all domains; hits as above."""
     own = domain_requests(asked, index.corpora, s)
-    ranked = bm25.ranked(own.withColumn("depth", F.greatest("candidates", F.lit(s.bm25_top_k))), index)
+    ranked = bm25.ranked(own.withColumn("depth", F.greatest("candidates", F.lit(s.bm25_top_k))), index) if hits is None else hits
     kept = ranked.join(own.select("query_id", "scope", "candidates"), ["query_id", "scope"]).where(F.col("rank") <= F.col("candidates"))
     return bm25_parts(kept, s, source=2).withColumn("score", F.col("bm25_rrf"))
 
@@ -112,7 +115,25 @@ def larger(main: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def candidates(asked: DataFrame, index: Bm25Index, vectors: DataFrame, query_vectors: DataFrame, s: SearchSettings, metric: str = "l2") -> DataFrame:
-    return larger(fused_hybrid(asked, index, vectors, query_vectors, s, metric), fused_domains(asked, index, s))
+    hits = ranked_together(asked, index, s) if index.words is not None else None
+    return larger(fused_hybrid(asked, index, vectors, query_vectors, s, metric, hits), fused_domains(asked, index, s, hits))
+
+
+def ranked_together(asked: DataFrame, index: Bm25Index, s: SearchSettings) -> DataFrame:
+    """The BM25 ranks of the requests and of those to single domains by one search, so that the texts are read once for both."""
+    own = domain_requests(asked, index.corpora, s).withColumn("depth", F.greatest("candidates", F.lit(s.bm25_top_k)))
+    every = asked.withColumn("depth", F.lit(s.bm25_top_k)).select("query_id", "query", "scope", "depth").unionByName(own.select("query_id", "query", "scope", "depth"))
+    return written(bm25.ranked(every, index), "hits")
+
+
+def of_candidates(rows: DataFrame, own_id: Column, found: DataFrame) -> DataFrame:
+    """The rows that are candidates, picked before anything is worked out from their texts and, if candidates are few, before any is shuffled.
+
+    found: a written table with ``id``.
+    """
+    ids = found.select(F.col("id").alias("_found")).distinct()
+    few = ids.limit(FEW + 1).count() <= FEW
+    return rows.join(F.broadcast(ids) if few else ids, own_id == F.col("_found"), "left_semi")
 
 
 def rescored(found: DataFrame, asked: DataFrame, chunks: DataFrame) -> DataFrame:

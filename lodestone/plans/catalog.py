@@ -47,9 +47,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def corpus(spark: SparkSession, d: str) -> DataFrame:
+def corpus(spark: SparkSession, d: str, found: DataFrame | None = None) -> DataFrame:
+    """The documents as chunks; of ``found`` (a written table with ``id``) only, if that is given."""
     title = F.regexp_extract("text", r"^[^.\n]*", 0)
-    docs = spread(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
+    docs = spread(docs) if found is None else search.of_candidates(docs, F.concat_ws(":", "lang", "doc_id"), found)
     rows = docs.select(F.col("doc_id").alias("chunk_ord"), F.concat_ws(":", "lang", "doc_id").alias("id"), F.col("lang").alias("domain"), F.lit("").alias("title_ru"), title.alias("title_en"), F.col("source").alias("path"), F.lit("page").alias("entity_kind"), F.lit("").alias("html_path"), F.lit("").alias("syntax"), "text")
     rows = rows.withColumn("lexical_text", F.trim(F.concat_ws(" ", title, text.split_identifier(title)))).withColumn("semantic_text", F.col("text"))
     return rows.withColumn("search_text", F.concat_ws(" ", "lexical_text", "semantic_text"))
@@ -359,7 +361,8 @@ best AS (SELECT *, score + title_bonus AS total, row_number() OVER (PARTITION BY
 @registered(RESCORED + "SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, id, round(total, 6) AS total, round(title_bonus, 6) AS title_bonus FROM best WHERE rank <= k")
 def rerank_final(spark, d):
     request, index, vecs, qv = prepared(spark, d)
-    rows = search.best(search.rescored(search.candidates(request, index, vecs, qv, SETTINGS), request, corpus(spark, d)))
+    found = written(search.candidates(request, index, vecs, qv, SETTINGS), "candidates")
+    rows = search.best(search.rescored(found, request, corpus(spark, d, found)))
     return rows.select("query_id", "rank", "id", F.round("total", 6).alias("total"), F.round("title_bonus", 6).alias("title_bonus"))
 
 
@@ -372,7 +375,7 @@ MATCHED = sql.distinct(f"list_filter({sql.tokens('query')}, lambda t: list_conta
   FROM best WHERE rank <= k""")
 def search_results(spark, d):
     qv = query_vectors(spark, d)
-    found = search.search(asked(spark), corpus(spark, d), searched_once(spark, d), vectors(spark, d), qv)
+    found = search.search(asked(spark), lambda found: corpus(spark, d, found), searched_once(spark, d), vectors(spark, d), qv)
     return found.select("query_id", "rank", "id", "domain", "title", "score", *[F.array_join(c, ",").alias(c) for c in ("highlight_terms", "semantic_highlight_terms", "match_sources")])
 
 
@@ -390,7 +393,7 @@ def semantic_highlights(spark, d):
   round(dense_rrf, 4) AS dense_rrf, round(dense_similarity, 4) AS dense_similarity, round(bm25_rrf, 4) AS bm25_rrf, round(title_bonus, 4) AS title_bonus, CAST(dense_rank AS INTEGER) AS dense_rank, CAST(bm25_rank AS INTEGER) AS bm25_rank, round(dense_distance, 4) AS dense_distance, round(bm25_raw, 4) AS bm25_raw FROM best WHERE rank <= k""")
 def score_breakdown(spark, d):
     qv = query_vectors(spark, d)
-    found = search.search(asked(spark), corpus(spark, d), searched_once(spark, d), vectors(spark, d), qv)
+    found = search.search(asked(spark), lambda found: corpus(spark, d, found), searched_once(spark, d), vectors(spark, d), qv)
     parts = ["dense_rrf", "dense_similarity", "bm25_rrf", "title_bonus", "dense_rank", "bm25_rank", "dense_distance", "bm25_raw"]
     return found.select("query_id", "rank", F.array_join("match_sources", ",").alias("sources"), *[F.col("score_breakdown")[p].alias(p) for p in parts])
 
@@ -419,7 +422,7 @@ TOLD = """concat_ws('; ', CASE WHEN dense_rank IS NOT NULL THEN 'Семанти
 
 @registered(RESCORED + f"SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, id, {TOLD} || '.' AS explanation FROM best WHERE rank <= k")
 def match_explanation(spark, d):
-    found = search.search(asked(spark), corpus(spark, d), searched_once(spark, d), vectors(spark, d), query_vectors(spark, d))
+    found = search.search(asked(spark), lambda found: corpus(spark, d, found), searched_once(spark, d), vectors(spark, d), query_vectors(spark, d))
     return found.select("query_id", "rank", "id", F.col("match_explanation").alias("explanation"))
 
 

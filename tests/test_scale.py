@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import bm25, dense, hierarchy, numbering
+from lodestone.operators import bm25, dense, hierarchy, numbering, search
 from lodestone.operators.ranking import _first_rows, best_rows
 from lodestone.streaming.incremental import ScanStore, change_stream, listing
-from lodestone.tables import Versions
+from lodestone.tables import Versions, written
 
 # --- top rows of any depth -------------------------------------------------------------------------------------
 
@@ -416,3 +416,22 @@ def test_a_hybrid_search_keeps_no_postings(spark):
     assert index.words is not None and not index.postings.is_cached and not index.forward.is_cached
     plan = bm25.ranked(request.withColumn("depth", F.lit(20)), index)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "SortMergeJoin" not in plan and "InMemoryTableScan" not in plan
+
+
+def test_a_hybrid_search_reads_the_texts_once_and_shuffles_none(spark, monkeypatch):
+    from lodestone.plans import catalog
+
+    scans, plain = [], bm25.by_scan
+    monkeypatch.setattr(bm25, "by_scan", lambda *a: scans.append(a) or plain(*a))
+    request, index, vecs, qv = catalog.prepared(spark, "/root/testdata/sf0.001")
+    found = search.candidates(request, index, vecs, qv, catalog.SETTINGS)
+    assert len(scans) == 1
+    # The same candidates as by a search of its own for the domains.
+    apart = search.larger(search.fused_hybrid(request, index, vecs, qv, catalog.SETTINGS), search.fused_domains(request, index, catalog.SETTINGS))
+    rows = lambda x: sorted((r.query_id, r.id, round(r.score, 9), r.seen) for r in x.collect())
+    assert rows(found) == rows(apart)
+    found = written(found.select("id"), "candidates")
+    read = catalog.corpus(spark, "/root/testdata/sf0.001", found)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "RoundRobin" not in plan
+    assert {r.id for r in read.select("id").collect()} == {r.id for r in found.distinct().collect()}
